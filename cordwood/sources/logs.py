@@ -1,0 +1,7 @@
+"""The stored log table as a source."""
+
+from __future__ import annotations
+
+from cordwood.operators.store import LogTable, read_logs
+
+__all__ = ["LogTable", "read_logs"]
