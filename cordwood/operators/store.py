@@ -13,6 +13,7 @@ nothing else, instead of in the records. One writer per table is assumed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -74,7 +75,9 @@ def read_logs(spark: SparkSession, table: LogTable | str) -> DataFrame:
     return _read(spark, RECORD, table.logs_path)
 
 
-def to_records(events: DataFrame, received_at: Column | None = None) -> DataFrame:
+def to_records(
+    events: DataFrame, received_at: Column | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Events in stored form; the level is normalised once more, as the store does."""
     received_at = F.current_timestamp() if received_at is None else received_at
     return events.select(
@@ -87,6 +90,7 @@ def to_records(events: DataFrame, received_at: Column | None = None) -> DataFram
         "source",
         "timestamp",
         received_at.alias("received_at"),
+        *keep,
     )
 
 
