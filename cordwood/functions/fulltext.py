@@ -102,6 +102,10 @@ def _stable_prefix(term: str) -> str:
     return term[:-2]
 
 
+def _starting_with(words: Column, prefix: str) -> Column:
+    return F.filter(words, lambda t: t.startswith(prefix))
+
+
 def matches(message: Column, terms: list[str]) -> Column:
     """True where the message holds every term; no terms match nothing.
 
@@ -117,7 +121,7 @@ def matches(message: Column, terms: list[str]) -> Column:
         likely = tokens(lowered)
         if prefix:
             cheap.append(lowered.contains(prefix))
-            likely = F.filter(likely, lambda t, p=prefix: t.startswith(p))
+            likely = _starting_with(likely, prefix)
         exact.append(F.array_contains(stems_of(likely), term))
     # A conjunction stops at its first false part, so the cheap tests lead.
     return reduce(and_, cheap + exact)

@@ -29,7 +29,7 @@ QUERIES: dict[str, Query] = {}
 START = dt.datetime(2024, 1, 10, 6, 0, tzinfo=UTC)
 END = dt.datetime(2024, 1, 12, 18, 30, tzinfo=UTC)
 CURSOR = PageCursor(dt.datetime(2024, 1, 20, 10, 4, tzinfo=UTC), "evt-64")
-SEARCH_TEXT = "the stationing"
+SEARCH_TEXT = "Licensing the versions"
 MAX_LINE = 120
 
 

@@ -113,13 +113,16 @@ _TURNS = """turns AS (
 _FOUND = """SELECT schema_version, id, service, level, message, attributes, source, "timestamp", received_at"""
 _NEWEST = 'ORDER BY "timestamp" DESC, id DESC'
 
-# The stems of the search words and every word form of the documents that has them.
-_SEARCH_WORDS = "SEARCH_WORDS"
-
 SQL: dict[str, str] = {
     "scan_logs": f"WITH {_LOGS} SELECT * FROM logs",
     "search_service": f"WITH {_LOGS} {_FOUND} FROM logs WHERE service = 'svc-3'",
     "search_level": f"WITH {_LOGS} {_FOUND} FROM logs WHERE level = 'warn'",
+    # The search words are "licensing" and "versions"; these are their inflections.
+    "search_text": """SELECT 'doc-' || doc_id AS id, source AS service,
+ TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS "timestamp"
+FROM documents
+WHERE lang = 'en' AND regexp_matches(lower(text), '\\blicens(e|ed|es|ing)\\b')
+ AND regexp_matches(lower(text), '\\bversions?\\b')""",
     "search_time_range": f"""WITH {_LOGS} {_FOUND} FROM logs
  WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00'""",
     "search_all_filters": f"""WITH {_LOGS}, {_TIED} {_FOUND} FROM tied
