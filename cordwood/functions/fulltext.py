@@ -8,9 +8,9 @@ stay as they are; a hyphenated word counts as a whole and by its parts.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordwood.functions.stemming import stem_words
@@ -35,61 +35,44 @@ _TOKEN = "|".join(
         # number: signed, decimal, version
         r"(?<![\p{L}\p{N}])[+-]?\p{N}++(?:\.\p{N}++)*(?![\p{L}\p{N}])",
         # host name, with or without a path
-        rf"{_WORD}(?:[-]{_WORD})*(?:\.{_WORD}(?:[-]{_WORD})*)*\.\p{{L}}[\p{{L}}\p{{N}}]*"
-        r"(?:/[^\s\"'<>]*)?",
+        rf"{_WORD}(?:-{_WORD})*(?:\.{_WORD}(?:-{_WORD})*)*\.\p{{L}}[\p{{L}}\p{{N}}]*"
+        r"(?:/[^\s\x22\x27<>]*)?",
         # word or hyphenated word
         rf"{_WORD}(?:-{_WORD})*",
     )
 )
+_COMPOUND = r"^[^.]*[\p{L}\p{N}]-[^.]*$"
+# Only letters and hyphens: these are stemmed, the rest is kept as it is.
+_PLAIN_WORD = r"^[\p{L}-]+$"
 
 
-def tokens(lowered: Column) -> Column:
-    """Tokens of a lower-case text; compounds also give their parts."""
-    found = F.regexp_extract_all(lowered, F.lit(_TOKEN), F.lit(0))
+def tokens(lowered: str) -> str:
+    """SQL for the tokens of a lower-case text; compounds also give their parts."""
+    return f"""flatten(transform(regexp_extract_all({lowered}, r'{_TOKEN}', 0), t -> CASE
+ WHEN contains(t, '@') THEN array(t)
+ WHEN contains(t, '/') THEN array(t, regexp_extract(t, '^[^/]*', 0), regexp_extract(t, '/.*$', 0))
+ WHEN t RLIKE r'{_COMPOUND}' THEN concat(array(t), split(t, '-'))
+ ELSE array(t) END))"""
 
-    def expand(token: Column) -> Column:
-        return (
-            F.when(token.contains("@"), F.array(token))
-            .when(
-                token.contains("/"),
-                F.array(
-                    token,
-                    F.regexp_extract(token, "^[^/]*", 0),
-                    F.regexp_extract(token, "/.*$", 0),
-                ),
-            )
-            .when(
-                token.rlike(r"^[^.]*[\p{L}\p{N}]-[^.]*$"),
-                F.concat(F.array(token), F.split(token, "-")),
-            )
-            .otherwise(F.array(token))
-        )
 
-    return F.flatten(F.transform(found, expand))
+def stems_of(words: str) -> str:
+    """SQL for the index terms of tokens: stop words out, words stemmed, no repeats."""
+    kept = f"""array_distinct(filter({words},
+ t -> NOT array_contains(split('{' '.join(STOP_WORDS)}', ' '), t)))"""
+    stems = stem_words(f"filter(k, t -> t RLIKE r'{_PLAIN_WORD}')")
+    plain = f"filter(k, t -> NOT t RLIKE r'{_PLAIN_WORD}')"
+    return f"""flatten(transform(array({kept}), k -> array_distinct(concat({stems}, {plain}))))"""
 
 
-def _is_word(token: Column) -> Column:
-    """Only letters and hyphens: these are stemmed, the rest is kept as it is."""
-    return token.rlike(r"^[\p{L}-]+$")
-
-
-def stems_of(words: Column) -> Column:
-    """Index terms of tokens: stop words out, words stemmed, no repeats."""
-    stop = F.array(*[F.lit(word) for word in STOP_WORDS])
-    kept = F.array_distinct(F.filter(words, lambda t: ~F.array_contains(stop, t)))
-    plain = F.filter(kept, lambda t: ~_is_word(t))
-    return F.array_distinct(F.concat(stem_words(F.filter(kept, _is_word)), plain))
-
-
-def message_terms(text: Column) -> Column:
-    """All index terms of a text."""
-    return stems_of(tokens(F.lower(text)))
+def message_terms(column: str) -> Column:
+    """All index terms of a text column."""
+    return F.expr(stems_of(tokens(f"lower(`{column}`)")))
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
     """Index terms of a search text, by the same analysis on a one-row relation."""
     one_row = spark.sql("SELECT q FROM VALUES (:q) AS t(q)", args={"q": query})
-    return list(one_row.select(message_terms(F.col("q"))).first()[0])
+    return list(one_row.select(message_terms("q")).first()[0])
 
 
 def _stable_prefix(term: str) -> str:
@@ -102,26 +85,23 @@ def _stable_prefix(term: str) -> str:
     return term[:-2]
 
 
-def _starting_with(words: Column, prefix: str) -> Column:
-    return F.filter(words, lambda t: t.startswith(prefix))
+def where_text(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
+    """Rows whose text column holds every term; no terms match nothing.
 
-
-def matches(message: Column, terms: list[str]) -> Column:
-    """True where the message holds every term; no terms match nothing.
-
-    The substring test runs on compiled code and leaves few rows and few
-    words for the analysis proper.
+    Words that can have one of the stems share its stable prefix. The
+    substring tests on the prefixes come first and leave few rows, and within
+    those rows few words, for the analysis proper.
     """
     if not terms:
-        return F.lit(False)
-    lowered = F.lower(message)
-    cheap, exact = [], []
-    for term in terms:
-        prefix = _stable_prefix(term)
-        likely = tokens(lowered)
-        if prefix:
-            cheap.append(lowered.contains(prefix))
-            likely = _starting_with(likely, prefix)
-        exact.append(F.array_contains(stems_of(likely), term))
-    # A conjunction stops at its first false part, so the cheap tests lead.
-    return reduce(and_, cheap + exact)
+        return df.where(F.lit(False))
+    lowered = F.lower(F.col(column))
+    prefixes = [_stable_prefix(term) for term in terms]
+    cheap = [lowered.contains(prefix) for prefix in prefixes if prefix]
+    rows = df.where(reduce(and_, cheap)) if cheap else df
+    likely = F.filter(
+        F.expr(tokens(f"lower(`{column}`)")),
+        lambda t: reduce(or_, [t.startswith(prefix) for prefix in prefixes]),
+    )
+    wanted = F.array(*[F.lit(term) for term in terms])
+    hits = F.array_intersect(F.expr(stems_of("_likely")), wanted)
+    return rows.withColumn("_likely", likely).where(F.size(hits) == len(terms)).drop("_likely")

@@ -4,15 +4,13 @@ Every step is one ``transform`` over the array, so a word is bound once per
 step and the whole stemmer stays inside the JVM. A word travels as
 ``struct(word, w, p1, p2)``: the word itself, its current form, and the lengths
 of the parts before the regions R1 and R2.
+
+The steps are SQL text: parsed in one go, they cost a query no more than a
+name, while building them call by call takes a second.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Words the algorithm treats one by one.
 _SPECIAL = {
     "skis": "ski",
@@ -98,169 +96,96 @@ _STEP4 = (
     "ion",
 )
 
-_V = "aeiouy"
-_SHORT = rf"(?:[^{_V}][{_V}][^{_V}wxY]|^[{_V}][^{_V}])"
-
-
-def _string_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
-
-
-def _suffix(word: Column, suffixes) -> Column:
-    """Longest of the suffixes that the word ends with, or the empty text."""
-    choices = "|".join(sorted(suffixes, key=len, reverse=True))
-    return F.regexp_extract(word, rf"^.*?({choices})$", 1)
-
-
-def _cut(word: Column, count: Column | int) -> Column:
-    size = count if isinstance(count, Column) else F.lit(count)
-    return F.substring(word, F.lit(1), F.length(word) - size)
-
-
-def _prepared(word: Column) -> Column:
-    """Write consonant y as Y; y counts as a vowel otherwise."""
-    initial = F.regexp_replace(word, "^y", "Y")
-    return F.struct(
-        word.alias("word"),
-        F.when(word.contains("y"), F.regexp_replace(initial, f"(?<=[{_V}])y", "Y"))
-        .otherwise(word)
-        .alias("w"),
-    )
-
-
-def _with_p1(state: Column) -> Column:
-    """R1 starts after the first consonant that follows a vowel."""
-    head = F.regexp_extract(
-        state.w, rf"^(gener|commun|arsen|[^{_V}]*[{_V}]+[^{_V}])", 1
-    )
-    size = F.when(head == "", F.length(state.w)).otherwise(F.length(head))
-    return F.struct(state.word, state.w, size.alias("p1"))
-
-
-def _with_p2(state: Column) -> Column:
-    """R2 is found in R1 the way R1 is found in the word."""
-    rest = F.substring(state.w, state.p1 + 1, F.length(state.w))
-    head = F.regexp_extract(rest, rf"^([^{_V}]*[{_V}]+[^{_V}])", 1)
-    size = F.when(head == "", F.length(state.w)).otherwise(state.p1 + F.length(head))
-    return F.struct(state.word, state.w, state.p1, size.alias("p2"))
-
-
-def _plural(state: Column) -> Column:
-    w = state.w
-    return (
-        F.when(w.endswith("sses"), _cut(w, 2))
-        .when(w.rlike("..ie[ds]$"), _cut(w, 2))
-        .when(w.rlike("ie[ds]$"), _cut(w, 1))
-        .when(w.rlike(f"[{_V}].*[^us]s$"), _cut(w, 1))
-        .otherwise(w)
-    )
-
-
-def _past(state: Column) -> Column:
-    """Cut -ed and -ing forms; a trailing ``+`` marks a word to be repaired."""
-    w = state.w
-    in_r1 = F.length(w) - F.length(F.regexp_extract(w, "(eed(?:ly)?)$", 1)) >= state.p1
-    return (
-        F.when(w.rlike("eed(ly)?$"), F.when(in_r1, F.regexp_replace(w, "ly$", "")).otherwise(w))
-        .when(
-            w.rlike(f"[{_V}].*(ed|edly|ing|ingly)$"),
-            F.regexp_replace(w, f"^(.*[{_V}].*?)(?:ed|edly|ing|ingly)$", "$1+"),
-        )
-        .otherwise(w)
-    )
-
-
-def _eed(state: Column) -> Column:
-    w = state.w
-    cut = _cut(w, 1)
-    return (
-        F.when(w.endswith("eed") & (F.length(w) - 3 >= state.p1), cut)
-        .when(~w.endswith("+"), w)
-        .when(w.rlike(r"(at|bl|iz)\+$"), F.concat(cut, F.lit("e")))
-        .when(w.rlike(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)\+$"), _cut(w, 2))
-        .when(
-            (F.length(w) - 1 == state.p1) & w.rlike(rf"{_SHORT}\+$"), F.concat(cut, F.lit("e"))
-        )
-        .otherwise(cut)
-    )
-
-
-def _final_y(state: Column) -> Column:
-    return F.regexp_replace(state.w, rf"(?<=.[^{_V}])[yY]$", "i")
-
-
-def _derived(table: dict[str, str]) -> Callable[[Column], Column]:
+_V = "[aeiouy]"
+_C = "[^aeiouy]"
+_SHORT = f"(?:{_C}{_V}[^aeiouywxY]|^{_V}{_C})"
+
+# First forms: a consonant y is written Y.
+_PREPARED = f"""named_struct('word', x, 'w', if(contains(x, 'y'),
+ regexp_replace(regexp_replace(x, '^y', 'Y'), '(?<={_V})y', 'Y'), x))"""
+
+# R1 starts after the first consonant that follows a vowel, R2 likewise within R1.
+_WITH_P1 = f"""named_struct('word', x.word, 'w', x.w, 'p1', coalesce(nullif(
+ length(regexp_extract(x.w, '^(gener|commun|arsen|{_C}*{_V}+{_C})', 1)), 0), length(x.w)))"""
+_WITH_P2 = f"""named_struct('word', x.word, 'w', x.w, 'p1', x.p1, 'p2', coalesce(x.p1 + nullif(
+ length(regexp_extract(substring(x.w, x.p1 + 1), '^({_C}*{_V}+{_C})', 1)), 0), length(x.w)))"""
+
+_PLURAL = f"""CASE
+ WHEN x.w LIKE '%sses' THEN left(x.w, length(x.w) - 2)
+ WHEN x.w RLIKE '..ie[ds]$' THEN left(x.w, length(x.w) - 2)
+ WHEN x.w RLIKE 'ie[ds]$' THEN left(x.w, length(x.w) - 1)
+ WHEN x.w RLIKE '{_V}.*[^us]s$' THEN left(x.w, length(x.w) - 1)
+ ELSE x.w END"""
+
+# A trailing + marks a word that lost its -ed or -ing and may need repair.
+_PAST = f"""CASE
+ WHEN x.w LIKE '%eed' THEN if(length(x.w) - 3 >= x.p1, left(x.w, length(x.w) - 1), x.w)
+ WHEN x.w LIKE '%eedly' THEN if(length(x.w) - 5 >= x.p1, left(x.w, length(x.w) - 3), x.w)
+ WHEN x.w RLIKE '{_V}.*(ed|edly|ing|ingly)$'
+  THEN regexp_replace(x.w, '^(.*{_V}.*?)(?:ed|edly|ing|ingly)$', '$1+')
+ ELSE x.w END"""
+_REPAIRED = f"""CASE
+ WHEN x.w NOT LIKE '%+' THEN x.w
+ WHEN x.w RLIKE '(at|bl|iz)[+]$' THEN concat(left(x.w, length(x.w) - 1), 'e')
+ WHEN x.w RLIKE '(bb|dd|ff|gg|mm|nn|pp|rr|tt)[+]$' THEN left(x.w, length(x.w) - 2)
+ WHEN length(x.w) - 1 = x.p1 AND x.w RLIKE '{_SHORT}[+]$' THEN concat(left(x.w, length(x.w) - 1), 'e')
+ ELSE left(x.w, length(x.w) - 1) END"""
+
+_FINAL_Y = f"regexp_replace(x.w, '(?<=.{_C})[yY]$', 'i')"
+
+_RESIDUAL = """CASE
+ WHEN x.found = '' OR length(x.w) - length(x.found) < x.p2 THEN x.w
+ WHEN x.found = 'ion' AND NOT x.w RLIKE '[st]ion$' THEN x.w
+ ELSE left(x.w, length(x.w) - length(x.found)) END"""
+
+_FINAL_E_OR_L = f"""CASE
+ WHEN x.w LIKE '%e' AND (length(x.w) - 1 >= x.p2
+  OR length(x.w) - 1 >= x.p1 AND NOT x.w RLIKE '{_SHORT}e$') THEN left(x.w, length(x.w) - 1)
+ WHEN x.w LIKE '%ll' AND length(x.w) - 1 >= x.p2 THEN left(x.w, length(x.w) - 1)
+ ELSE x.w END"""
+
+
+def _constant_map(values: dict[str, str]) -> str:
+    text = ",".join(f"{key}:{value}" for key, value in values.items())
+    return f"str_to_map('{text}', ',', ':')"
+
+
+def _derived(table: dict[str, str]) -> str:
     """Replace the longest suffix of the table when it lies in R1."""
+    return f"""CASE
+ WHEN x.found = '' OR length(x.w) - length(x.found) < x.p1 THEN x.w
+ WHEN x.found = 'ogi' AND NOT x.w LIKE '%logi' THEN x.w
+ WHEN x.found = 'li' AND NOT x.w RLIKE '[cdeghkmnrt]li$' THEN x.w
+ WHEN x.found = 'ative' AND length(x.w) - 5 < x.p2 THEN x.w
+ ELSE concat(left(x.w, length(x.w) - length(x.found)), {_constant_map(table)}[x.found]) END"""
 
-    def step(state: Column) -> Column:
-        w, found = state.w, state.found
-        allowed = (
-            F.when(found == "ogi", w.endswith("logi"))
-            .when(found == "li", w.rlike("[cdeghkmnrt]li$"))
-            .when(found == "ative", F.length(w) - 5 >= state.p2)
-            .otherwise(F.lit(True))
-        )
-        fits = (found != "") & (F.length(w) - F.length(found) >= state.p1)
-        return F.when(
-            fits & allowed, F.concat(_cut(w, F.length(found)), _string_map(table)[found])
-        ).otherwise(w)
-
-    return step
-
-
-def _residual(state: Column) -> Column:
-    w, found = state.w, state.found
-    fits = (found != "") & (F.length(w) - F.length(found) >= state.p2)
-    allowed = (found != "ion") | w.rlike("[st]ion$")
-    return F.when(fits & allowed, _cut(w, F.length(found))).otherwise(w)
 
+def _step(words: str, rule: str) -> str:
+    return f"""transform({words}, x -> named_struct('word', x.word, 'w', {rule},
+ 'p1', x.p1, 'p2', x.p2))"""
 
-def _final_e_or_l(state: Column) -> Column:
-    w = state.w
-    last = F.length(w) - 1
-    drop_e = (last >= state.p2) | ((last >= state.p1) & ~w.rlike(rf"{_SHORT}e$"))
-    return (
-        F.when(w.endswith("e") & drop_e, _cut(w, 1))
-        .when(w.endswith("ll") & (last >= state.p2), _cut(w, 1))
-        .otherwise(w)
-    )
 
-
-def _step(words: Column, rule: Callable[[Column], Column]) -> Column:
-    return F.transform(
-        words, lambda x: F.struct(x.word, rule(x).alias("w"), x.p1, x.p2)
-    )
-
-
-def _suffix_step(words: Column, suffixes, rule: Callable[[Column], Column]) -> Column:
-    found = F.transform(
-        words,
-        lambda x: F.struct(x.word, x.w, x.p1, x.p2, _suffix(x.w, suffixes).alias("found")),
-    )
+def _suffix_step(words: str, suffixes, rule: str) -> str:
+    choices = "|".join(sorted(suffixes, key=len, reverse=True))
+    found = f"""transform({words}, x -> named_struct('word', x.word, 'w', x.w, 'p1', x.p1, 'p2', x.p2,
+ 'found', regexp_extract(x.w, '^.*?({choices})$', 1)))"""
     return _step(found, rule)
 
 
-def stem_words(words: Column) -> Column:
-    """Stems of an array of lower-case words, in the same order."""
-    states = F.transform(words, _prepared)
-    states = F.transform(states, _with_p1)
-    states = F.transform(states, _with_p2)
-    for rule in (_plural, _past, _eed, _final_y):
+def stem_words(words: str) -> str:
+    """SQL for the stems of an array of lower-case words, in the same order."""
+    states = f"transform({words}, x -> {_PREPARED})"
+    states = f"transform({states}, x -> {_WITH_P1})"
+    states = f"transform({states}, x -> {_WITH_P2})"
+    for rule in (_PLURAL, _PAST, _REPAIRED, _FINAL_Y):
         states = _step(states, rule)
     states = _suffix_step(states, _STEP2, _derived(_STEP2))
     states = _suffix_step(states, _STEP3, _derived(_STEP3))
-    states = _suffix_step(states, _STEP4, _residual)
-    states = _step(states, _final_e_or_l)
+    states = _suffix_step(states, _STEP4, _RESIDUAL)
+    states = _step(states, _FINAL_E_OR_L)
     fixed = dict(_SPECIAL)
     fixed.update({word: word for word in _INVARIANT})
     for word in _INVARIANT_AFTER_PLURAL:
         fixed.update({word: word, word + "s": word})
-    special = _string_map(fixed)
-    return F.transform(
-        states,
-        lambda x: F.coalesce(
-            special[x.word],
-            F.when(F.length(x.word) < 3, x.word),
-            F.regexp_replace(x.w, "Y", "y"),
-        ),
-    )
+    return f"""transform({states}, x -> coalesce({_constant_map(fixed)}[x.word],
+ if(length(x.word) < 3, x.word, replace(x.w, 'Y', 'y'))))"""

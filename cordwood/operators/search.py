@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cordwood.functions.cursors import PageCursor, decode_cursor, encode_cursor, parse_moment
-from cordwood.functions.fulltext import matches, query_terms
+from cordwood.functions.fulltext import query_terms, where_text
 from cordwood.functions.times import UTC, as_utc, moment_literal
 from cordwood.schemas import DEFAULT_PAGE, LEVELS, MAX_FILTER_BYTES, MAX_PAGE, RECORD_FIELDS
 
@@ -132,10 +132,10 @@ def matching(df: DataFrame, params: SearchParams) -> DataFrame:
         tests.append(F.col("service") == params.service)
     if params.level:
         tests.append(F.col("level") == _level_name(params.level))
+    found = df.where(reduce(and_, tests)) if tests else df
     if params.query:
-        terms = query_terms(df.sparkSession, params.query)
-        tests.append(matches(F.col("message"), terms))
-    return df.where(reduce(and_, tests)) if tests else df
+        found = where_text(found, "message", query_terms(df.sparkSession, params.query))
+    return found
 
 
 def newest_first(df: DataFrame, rows: int) -> DataFrame:
