@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def with_value(df: DataFrame, name: str, text: Column) -> DataFrame:
-    """Add the VARIANT of a text that is exactly one JSON object or ``null``, else NULL.
+def with_fields(df: DataFrame, name: str, text: Column, null_fields: Column | None = None) -> DataFrame:
+    """Add the fields of a text that is exactly one JSON object, else NULL.
+
+    The fields come as ``map<string,variant>``; a repeated key keeps its last
+    value. A JSON ``null`` gives ``null_fields``.
 
     Spark stops reading after the first value. Inside brackets a second value
     is either a syntax error or a second element. The one way left to smuggle
@@ -23,11 +26,17 @@ def with_value(df: DataFrame, name: str, text: Column) -> DataFrame:
     closes_early = json_text.rlike(r"[}l]\s*\]")
     in_braces = F.try_parse_json(F.concat(F.lit('{"v":'), json_text, F.lit("}")))
     whole = (F.size(parsed) == 1) & (~closes_early | in_braces.isNotNull())
+    first = F.get(parsed, F.lit(0))
+    keys = F.map_keys(first)
+    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    fields = F.when(first.isNull(), null_fields).when(
+        repeated, fields_of(F.try_parse_json(json_text))
+    )
     wrapped = F.concat(F.lit("["), json_text, F.lit("]"))
     return (
         df.withColumn("_json_text", text)
-        .withColumn("_json_parsed", F.from_json(wrapped, "array<variant>", _STRICT))
-        .withColumn(name, F.when(whole, F.get(parsed, F.lit(0))))
+        .withColumn("_json_parsed", F.from_json(wrapped, "array<map<string,variant>>", _STRICT))
+        .withColumn(name, F.when(whole, fields.otherwise(first)))
         .drop("_json_text", "_json_parsed")
     )
 
@@ -52,13 +61,3 @@ def string_of(value: Column) -> Column:
     ``variant_get(…, 'string')`` alone would turn 42 into ``'42'``.
     """
     return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-
-def first_string(fields: Column, *keys: str) -> Column:
-    """Text of the first key whose value is a JSON string."""
-    return F.coalesce(*[string_of(fields[key]) for key in keys])
-
-
-def first_string_key(fields: Column, *keys: str) -> Column:
-    """The key that :func:`first_string` takes, NULL when it takes none."""
-    return F.coalesce(*[F.when(kind(fields[key]) == "STRING", F.lit(key)) for key in keys])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.functions.strict_json import fields_of, kind, no_fields, string_of, with_value
+from cordwood.functions.strict_json import fields_of, kind, no_fields, string_of, with_fields
 from cordwood.functions.text import lossy_utf8
 from cordwood.functions.times import parse_rfc3339
 from cordwood.schemas import EVENT_FIELDS
@@ -72,8 +72,7 @@ def decode_fields(opened: Column) -> Column:
 
 def decode_strict(records: DataFrame, value: str = "value") -> DataFrame:
     """Add ``event`` (struct) and ``decode_ok`` to records with a JSON payload."""
-    opened = with_value(records, "_value", lossy_utf8(F.col(value)))
-    opened = opened.withColumn("_fields", event_fields(F.col("_value")))
+    opened = with_fields(records, "_fields", lossy_utf8(F.col(value)), no_fields())
     opened = opened.withColumn("_opened", open_fields(F.col("_fields")))
     decoded = opened.withColumn("_decoded", decode_fields(F.col("_opened")))
     return decoded.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.levels import strict_level
 from cordwood.functions.once import with_once
-from cordwood.functions.strict_json import fields_of, kind, no_fields, with_value
+from cordwood.functions.strict_json import kind, no_fields, with_fields
 from cordwood.operators.decode import decode_fields, event_fields, open_fields
 from cordwood.operators.validate import event_json, violation
 from cordwood.schemas import EVENT_FIELDS, MAX_BATCH_EVENTS, MAX_BODY_BYTES
@@ -35,13 +35,7 @@ def judge_requests(
     """
     body_bytes = F.octet_length("body")
     fits = body_bytes <= max_body_bytes
-    opened = with_value(requests, "_value", F.when(fits, F.col("body")))
-    opened = opened.withColumn(
-        "_fields",
-        F.coalesce(
-            fields_of(F.col("_value")), F.when(F.is_variant_null("_value"), no_fields())
-        ),
-    )
+    opened = with_fields(requests, "_fields", F.when(fits, F.col("body")), no_fields())
     events = F.col("_fields")["events"]
     array = F.try_variant_get(events, "$", "array<variant>")
     known = F.size(F.array_except(F.map_keys("_fields"), F.array(F.lit("events")))) == 0
@@ -63,7 +57,7 @@ def judge_requests(
     admitted = F.col("_well_formed") & (count > 0) & (count <= max_batch)
     outcome = outcome.withColumn("_judged", F.when(admitted, judged))
     invalid_json = F.when(
-        F.col("_value").isNull() & F.try_parse_json("body").isNotNull(),
+        F.col("_fields").isNull() & F.try_parse_json("body").isNotNull(),
         F.lit("request body must contain one JSON value"),
     ).otherwise(F.lit("request body must be valid JSON"))
     result = with_once(

@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.levels import lenient_level
 from cordwood.functions.once import with_once
-from cordwood.functions.strict_json import (
-    fields_of,
-    first_string,
-    first_string_key,
-    no_fields,
-    with_value,
-)
+from cordwood.functions.strict_json import kind, no_fields, with_fields
 from cordwood.functions.text import is_blank, lossy_utf8, strip_carriage_return
 from cordwood.functions.times import parse_rfc3339_lenient
 from cordwood.schemas import EVENT_FIELDS, MAX_LINE_BYTES, SCHEMA_VERSION
@@ -22,6 +16,7 @@ from cordwood.sources.lines import JSON
 _LEVEL_KEYS = ("level", "severity")
 _MESSAGE_KEYS = ("message", "msg")
 _TIME_KEYS = ("timestamp", "time")
+_ALL_KEYS = _LEVEL_KEYS + _MESSAGE_KEYS + _TIME_KEYS
 
 
 def prepare_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -30,13 +25,12 @@ def prepare_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> Dat
     The limit counts bytes after stripping and before the repair of broken
     UTF-8; a line of exactly the limit is kept.
     """
-    stripped = strip_carriage_return(F.col("value"))
-    checked = lines.withColumn("value", stripped).withColumn(
+    stripped = with_once(lines, "_line", strip_carriage_return(F.col("value")))
+    repaired = stripped.withColumn("value", F.col("_line")).drop("_line")
+    repaired = repaired.withColumn(
         "oversized", F.octet_length("value") > max_line_bytes
-    )
-    return checked.withColumn("value", lossy_utf8(F.col("value"))).withColumn(
-        "blank", is_blank(F.col("value"))
-    )
+    ).withColumn("value", lossy_utf8(F.col("value")))
+    return repaired.withColumn("blank", is_blank(F.col("value")))
 
 
 def line_counters() -> list[Column]:
@@ -76,18 +70,28 @@ def parse_prepared(
     line = F.col("value")
 
     lines = prepared.where(~F.col("oversized") & ~F.col("blank"))
-    opened = with_value(lines, "_value", F.when(F.col("format") == JSON, line))
-    opened = with_once(opened, "_fields", fields_of(F.col("_value")))
-    fields = F.col("_fields")
+    opened = with_fields(lines, "_fields", F.when(F.col("format") == JSON, line))
+    kinds = F.struct(*[kind(F.col("_fields")[key]).alias(key) for key in _ALL_KEYS])
+    opened = with_once(opened, "_opened", F.struct("_fields", kinds.alias("kinds")))
+    fields, kinds = F.col("_opened._fields"), F.col("_opened.kinds")
+
+    def first_string(keys: tuple[str, ...]) -> tuple[Column, Column]:
+        """The first of the keys that holds a JSON string, and that string."""
+        is_text = [kinds[key] == "STRING" for key in keys]
+        key = F.coalesce(*[F.when(test, F.lit(key)) for test, key in zip(is_text, keys)])
+        texts = [F.when(t, F.try_variant_get(fields[k], "$", "string")) for t, k in zip(is_text, keys)]
+        return key, F.coalesce(*texts)
+
+    level_key, level = first_string(_LEVEL_KEYS)
+    message_key, message = first_string(_MESSAGE_KEYS)
+    time_key, time = first_string(_TIME_KEYS)
     picked = opened.select(
         *[F.col(c) for c in (*extra, "value", "service", "file")],
         fields.alias("_fields"),
-        first_string(fields, *_LEVEL_KEYS).alias("_level"),
-        first_string(fields, *_MESSAGE_KEYS).alias("_message"),
-        first_string(fields, *_TIME_KEYS).alias("_time"),
-        F.array(
-            *[first_string_key(fields, *keys) for keys in (_LEVEL_KEYS, _MESSAGE_KEYS, _TIME_KEYS)]
-        ).alias("_taken"),
+        level.alias("_level"),
+        message.alias("_message"),
+        time.alias("_time"),
+        F.array(level_key, message_key, time_key).alias("_taken"),
     )
     rest = F.map_filter(
         "_fields", lambda k, _: ~F.coalesce(F.array_contains("_taken", k), F.lit(False))

@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of a few small files; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def raw_level() -> Column:
     """Levels as applications write them."""
     kind = F.col("event_type")
@@ -76,7 +84,7 @@ def logs(spark: SparkSession, sf_dir: str, ties: bool = False, levels: str = "st
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents as log messages."""
-    documents = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    documents = spread(table(spark, sf_dir, "documents").where(F.col("lang") == "en"))
     return documents.select(
         F.concat(F.lit("doc-"), "doc_id").alias("id"),
         F.col("source").alias("service"),
@@ -90,7 +98,7 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth event is delivered a second time, later and with another message."""
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     times = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
@@ -193,7 +201,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(body, F.lit("}")))
     )
     ending = F.when(n % 2 == 0, "\r").otherwise("")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.concat(text, ending).alias("value"),
         _service().alias("service"),
         _file().alias("file"),
@@ -204,7 +212,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the conversations; odd turns end in a carriage return."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     split = turns.select(
         "conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
@@ -262,7 +270,7 @@ def untidy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     moment = F.expr("timestamp'2024-01-01 00:00:00Z' + make_dt_interval(0, 0, doc_id, 0)")
     language = F.col("lang")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.when(n % 67 == 0, 2).otherwise(1).cast("long").alias("schema_version"),
         F.when(n % 41 == 0, " \t")

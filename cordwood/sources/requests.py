@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.functions.strict_json import fields_of, string_of, with_value
+from cordwood.functions.strict_json import string_of, with_fields
 from cordwood.schemas import REQUEST
 
 
@@ -26,8 +26,8 @@ def read_requests(
 
 def explode_requests(requests: DataFrame) -> DataFrame:
     """One row per array element of ``events``: ``request_id, pos, id, event``."""
-    events = F.try_variant_get(fields_of(F.col("_value"))["events"], "$", "array<variant>")
-    opened = with_value(requests, "_value", F.col("body"))
+    events = F.try_variant_get(F.col("_fields")["events"], "$", "array<variant>")
+    opened = with_fields(requests, "_fields", F.col("body"))
     return opened.select("request_id", F.posexplode(events).alias("pos", "event")).select(
         "request_id",
         "pos",
