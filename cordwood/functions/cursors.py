@@ -87,15 +87,9 @@ def decode_cursor(raw: str | None) -> PageCursor | None:
     return cursor
 
 
-def cursor_column(timestamp: Column, key: Column) -> Column:
+def cursor_column(timestamp: str, key: str) -> Column:
     """The cursor of every row, for exports that hand out a resume point per row."""
-    payload = F.to_json(
-        F.struct(
-            F.lit(CURSOR_VERSION).alias("v"),
-            format_rfc3339(timestamp).alias("t"),
-            key.alias("i"),
-        )
-    )
-    return F.rtrim(
-        F.translate(F.base64(F.encode(payload, "UTF-8")), "+/\r\n", "-_"), F.lit("=")
-    )
+    moment = format_rfc3339(f"`{timestamp}`")
+    payload = f"to_json(struct({CURSOR_VERSION} AS v, {moment} AS t, `{key}` AS i))"
+    encoded = f"translate(base64(encode({payload}, 'UTF-8')), '+/\\r\\n', '-_')"
+    return F.expr(f"rtrim('=', {encoded})")

@@ -1,28 +1,27 @@
-"""Severity names. Collection is lenient, the event contract is strict."""
+"""Severity names. Collection is lenient, the event contract is strict.
 
-from __future__ import annotations
+All helpers take and give SQL text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from cordwood.functions.text import utrim
 from cordwood.schemas import LEVELS
 
+_NAMES = ", ".join(f"'{level}'" for level in LEVELS)
+
 
-def strict_level(level: Column) -> Column:
+def strict_level(level: str) -> str:
     """Trimmed lower-case level with ``warning`` written as ``warn``; other names pass."""
-    folded = F.lower(utrim(level))
-    return (
-        F.when(level.isin(*LEVELS), level)
-        .when(folded == "warning", F.lit("warn"))
-        .otherwise(folded)
-    )
+    folded = f"lower({utrim(level)})"
+    return f"""CASE WHEN {level} IN ({_NAMES}) THEN {level}
+ WHEN {folded} = 'warning' THEN 'warn' ELSE {folded} END"""
 
 
-def is_level(level: Column) -> Column:
-    return F.coalesce(strict_level(level).isin(*LEVELS), F.lit(False))
+def is_level(level: str) -> str:
+    return f"coalesce({strict_level(level)} IN ({_NAMES}), false)"
 
 
-def lenient_level(level: Column) -> Column:
+def lenient_level(level: str) -> str:
     """Like :func:`strict_level`, but a missing or unknown name becomes ``info``."""
-    return F.when(is_level(level), strict_level(level)).otherwise(F.lit("info"))
+    return f"if({is_level(level)}, {strict_level(level)}, 'info')"

@@ -1,18 +1,41 @@
-"""Strict JSON on top of Spark's lenient readers."""
+"""Strict JSON on top of Spark's lenient readers.
+
+The helpers that take and give SQL text are for the inside of larger
+expressions: one text is parsed at once, where a hundred column calls would
+take longer than a small query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+
+# Fields of the JSON object without any.
+NO_FIELDS = "from_json('{}', 'map<string,variant>')"
+
+
+def fields_of(value: str) -> str:
+    """Top-level fields of an object VARIANT as ``map<string,variant>``, else NULL."""
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
+
 
+def kind(value: str) -> str:
+    """``STRING``, ``BIGINT``, ``VOID`` …; ``VOID`` too when the field is absent."""
+    return f"coalesce(schema_of_variant({value}), 'VOID')"
+
+
+def text_of(value: str) -> str:
+    """A scalar VARIANT as text. Turns 42 into ``'42'``, so look at its kind first."""
+    return f"try_variant_get({value}, '$', 'string')"
 
-def with_fields(df: DataFrame, name: str, text: Column, null_fields: Column | None = None) -> DataFrame:
+
+def with_fields(df: DataFrame, name: str, text: str, null_fields: str = "NULL") -> DataFrame:
     """Add the fields of a text that is exactly one JSON object, else NULL.
 
-    The fields come as ``map<string,variant>``; a repeated key keeps its last
-    value. A JSON ``null`` gives ``null_fields``.
+    ``text`` is SQL. The fields come as ``map<string,variant>``; a repeated key
+    keeps its last value. A JSON ``null`` gives ``null_fields``.
 
     Spark stops reading after the first value. Inside brackets a second value
     is either a syntax error or a second element. The one way left to smuggle
@@ -22,42 +45,18 @@ def with_fields(df: DataFrame, name: str, text: Column, null_fields: Column | No
 
     Text and parse are columns of their own, so each is computed once.
     """
-    json_text, parsed = F.col("_json_text"), F.col("_json_parsed")
-    closes_early = json_text.rlike(r"[}l]\s*\]")
-    in_braces = F.try_parse_json(F.concat(F.lit('{"v":'), json_text, F.lit("}")))
-    whole = (F.size(parsed) == 1) & (~closes_early | in_braces.isNotNull())
-    first = F.get(parsed, F.lit(0))
-    keys = F.map_keys(first)
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    fields = F.when(first.isNull(), null_fields).when(
-        repeated, fields_of(F.try_parse_json(json_text))
-    )
-    wrapped = F.concat(F.lit("["), json_text, F.lit("]"))
+    parsed = f"""from_json(concat('[', _json_text, ']'), 'array<map<string,variant>>', {_STRICT})"""
+    fields = f"""CASE
+ WHEN coalesce(size(_json_parsed), 0) <> 1 THEN NULL
+ WHEN _json_text RLIKE r'[}}l]\\s*\\]'
+  AND try_parse_json(concat('{{"v":', _json_text, '}}')) IS NULL THEN NULL
+ WHEN _json_parsed[0] IS NULL THEN {null_fields}
+ WHEN size(array_distinct(map_keys(_json_parsed[0]))) < size(_json_parsed[0])
+  THEN {fields_of('try_parse_json(_json_text)')}
+ ELSE _json_parsed[0] END"""
     return (
-        df.withColumn("_json_text", text)
-        .withColumn("_json_parsed", F.from_json(wrapped, "array<map<string,variant>>", _STRICT))
-        .withColumn(name, F.when(whole, fields.otherwise(first)))
+        df.withColumn("_json_text", F.expr(text))
+        .withColumn("_json_parsed", F.expr(parsed))
+        .withColumn(name, F.expr(fields))
         .drop("_json_text", "_json_parsed")
     )
-
-
-def fields_of(value: Column) -> Column:
-    """Top-level fields of an object VARIANT as ``map<string,variant>``, else NULL."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
-
-
-def no_fields() -> Column:
-    return F.from_json(F.lit("{}"), "map<string,variant>")
-
-
-def kind(value: Column) -> Column:
-    """``STRING``, ``BIGINT``, ``VOID`` …; ``VOID`` too when the field is absent."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-
-
-def string_of(value: Column) -> Column:
-    """The text of a JSON string, NULL for every other kind of value.
-
-    ``variant_get(…, 'string')`` alone would turn 42 into ``'42'``.
-    """
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))

@@ -1,32 +1,28 @@
-"""Whitespace and encoding helpers."""
+"""White space and encoding. All helpers take and give SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def utrim(text: Column) -> Column:
+def utrim(text: str) -> str:
     """Trim Unicode white space; the lookbehind keeps the scan linear in long blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+\z", "")
+    return rf"regexp_replace({text}, r'(?U)^\s+|(?<!\s)\s+\z', '')"
 
 
-def is_blank(text: Column) -> Column:
+def is_blank(text: str) -> str:
     """True when the text is NULL or holds nothing but Unicode white space.
 
     Texts compare by bytes, so the two bounds tell that the first character is
     a visible ASCII one; only other texts are scanned.
     """
-    visible = (text >= "!") & (text < "\x7f")
-    return text.isNull() | ~(visible | text.rlike(r"(?U)\S"))
+    visible = f"{text} >= '!' AND {text} < '\\u007f'"
+    return rf"({text} IS NULL OR NOT ({visible} OR {text} RLIKE r'(?U)\S'))"
 
 
-def lossy_utf8(data: Column) -> Column:
+def lossy_utf8(data: str) -> str:
     """Bytes to text with U+FFFD in place of invalid sequences."""
-    return F.make_valid_utf8(data.cast("string"))
+    return f"make_valid_utf8(cast({data} AS string))"
 
 
-def strip_carriage_return(line: Column) -> Column:
+def strip_carriage_return(line: str) -> str:
     """Drop one trailing carriage return; the line feed is the reader's separator."""
-    shorter = F.substring(line, F.lit(1), F.length(line) - 1)
-    return F.when(line.endswith("\r"), shorter).otherwise(line)
+    return f"if(endswith({line}, '\\r'), left({line}, length({line}) - 1), {line})"

@@ -16,9 +16,9 @@ _LENIENT = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{
 UTC = dt.timezone.utc
 
 
-def parse_rfc3339(text: Column) -> Column:
-    """Timestamp of a strict RFC 3339 text, else NULL. Sub-microseconds are cut."""
-    return F.when(text.rlike(_STRICT), text.try_cast("timestamp"))
+def parse_rfc3339(text: str) -> str:
+    """SQL: timestamp of a strict RFC 3339 text, else NULL. Sub-microseconds are cut."""
+    return f"if({text} RLIKE r'{_STRICT}', try_cast({text} AS timestamp), NULL)"
 
 
 def parse_rfc3339_lenient(text: Column) -> Column:
@@ -27,10 +27,10 @@ def parse_rfc3339_lenient(text: Column) -> Column:
     return F.when(text.rlike(_LENIENT), canonical.try_cast("timestamp"))
 
 
-def format_rfc3339(moment: Column) -> Column:
-    """UTC text with the shortest fraction, such as ``2026-07-07T20:15:00.5Z``."""
-    digits = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(digits, r"\.?0+\z", ""), F.lit("Z"))
+def format_rfc3339(moment: str) -> str:
+    """SQL: UTC text with the shortest fraction, such as ``2026-07-07T20:15:00.5Z``."""
+    digits = f"date_format({moment}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+    return f"concat(regexp_replace({digits}, r'\\.?0+\\z', ''), 'Z')"
 
 
 def as_utc(moment: dt.datetime) -> dt.datetime:

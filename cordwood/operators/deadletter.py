@@ -46,8 +46,8 @@ def dead_letter_rows(letters: DataFrame) -> DataFrame:
     body = F.to_json(
         F.struct(
             *["schema_version", "id", "original_topic", "original_partition", "original_offset"],
-            format_rfc3339(F.col("original_timestamp")).alias("original_timestamp"),
-            format_rfc3339(F.col("failed_at")).alias("failed_at"),
+            F.expr(format_rfc3339("original_timestamp")).alias("original_timestamp"),
+            F.expr(format_rfc3339("failed_at")).alias("failed_at"),
             *["failure", "payload_sha256", "payload_bytes", "key_sha256"],
         )
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.levels import strict_level
 from cordwood.functions.once import with_once
-from cordwood.functions.strict_json import kind, no_fields, with_fields
+from cordwood.functions.strict_json import NO_FIELDS, kind, with_fields
 from cordwood.operators.decode import decode_fields, event_fields, open_fields
 from cordwood.operators.validate import event_json, violation
 from cordwood.schemas import EVENT_FIELDS, MAX_BATCH_EVENTS, MAX_BODY_BYTES
@@ -33,59 +33,48 @@ def judge_requests(
     that breaks the contract only fails itself. A batch of nothing but broken
     events is accepted with a count of zero.
     """
-    body_bytes = F.octet_length("body")
-    fits = body_bytes <= max_body_bytes
-    opened = with_fields(requests, "_fields", F.when(fits, F.col("body")), no_fields())
-    events = F.col("_fields")["events"]
-    array = F.try_variant_get(events, "$", "array<variant>")
-    known = F.size(F.array_except(F.map_keys("_fields"), F.array(F.lit("events")))) == 0
-    opened = opened.withColumn(
-        "_events",
-        F.when(
-            known,
-            F.coalesce(array, F.when(kind(events) == "VOID", F.expr("cast(array() as array<variant>)"))),
-        ),
+    fits = f"octet_length(body) <= {max_body_bytes}"
+    opened = with_fields(requests, "_fields", f"if({fits}, body, NULL)", NO_FIELDS)
+    events = f"""CASE WHEN size(array_except(map_keys(_fields), array('events'))) = 0 THEN coalesce(
+ try_variant_get(_fields.events, '$', 'array<variant>'),
+ if({kind('_fields.events')} = 'VOID', cast(array() AS array<variant>), NULL)) END"""
+    decoded = opened.withColumn(
+        "_events", F.expr(f"transform({events}, e -> {event_fields('e')})")
+    ).withColumn(
+        "_decoded",
+        F.expr(f"transform(transform(_events, e -> {open_fields('e')}), o -> {decode_fields('o')})"),
     )
-    parts = F.transform(F.transform("_events", event_fields), open_fields)
-    decoded = opened.withColumn("_decoded", F.transform(parts, decode_fields))
-    well_formed = F.col("_decoded").isNotNull() & F.forall("_decoded", lambda e: e.ok)
-    judged = F.transform(
-        "_decoded", lambda e: F.struct(e.alias("event"), violation(e, body_bytes).alias("why"))
+    outcome = decoded.withColumn(
+        "_well_formed", F.expr("coalesce(forall(_decoded, e -> e.ok), false)")
+    ).withColumn(
+        "_admitted", F.expr(f"_well_formed AND size(_decoded) BETWEEN 1 AND {max_batch}")
     )
-    outcome = decoded.withColumn("_well_formed", F.coalesce(well_formed, F.lit(False)))
-    count = F.size("_decoded")
-    admitted = F.col("_well_formed") & (count > 0) & (count <= max_batch)
-    outcome = outcome.withColumn("_judged", F.when(admitted, judged))
-    invalid_json = F.when(
-        F.col("_fields").isNull() & F.try_parse_json("body").isNotNull(),
-        F.lit("request body must contain one JSON value"),
-    ).otherwise(F.lit("request body must be valid JSON"))
-    result = with_once(
-        outcome,
-        "_result",
-        F.struct(
-            F.when(~fits, F.lit(TOO_LARGE))
-            .when(~F.col("_well_formed"), F.lit(INVALID_JSON))
-            .when(~admitted, F.lit(INVALID_REQUEST))
-            .otherwise(F.lit(ACCEPTED))
-            .alias("status"),
-            F.when(~fits, F.lit("request body exceeds the configured limit"))
-            .when(~F.col("_well_formed"), invalid_json)
-            .when(count == 0, F.lit("events must not be empty"))
-            .when(count > max_batch, F.lit("batch exceeds max size"))
-            .alias("message"),
-            F.filter("_judged", lambda j: j.why.isNull()).alias("valid"),
-            F.coalesce(F.size("_judged"), F.lit(0)).alias("events"),
-        ),
-    )
-    accepted = F.coalesce(F.size("_result.valid"), F.lit(0))
-    return result.select(
+    judged = f"""transform(_decoded,
+ e -> struct(e AS event, {violation('e', 'octet_length(body)')} AS why))"""
+    outcome = outcome.withColumn("_judged", F.expr(f"if(_admitted, {judged}, NULL)"))
+    result = f"""struct(CASE
+  WHEN NOT {fits} THEN '{TOO_LARGE}'
+  WHEN NOT _well_formed THEN '{INVALID_JSON}'
+  WHEN NOT _admitted THEN '{INVALID_REQUEST}'
+  ELSE '{ACCEPTED}' END AS status,
+ CASE
+  WHEN NOT {fits} THEN 'request body exceeds the configured limit'
+  WHEN NOT _well_formed AND _fields IS NULL AND try_parse_json(body) IS NOT NULL
+   THEN 'request body must contain one JSON value'
+  WHEN NOT _well_formed THEN 'request body must be valid JSON'
+  WHEN size(_decoded) = 0 THEN 'events must not be empty'
+  WHEN NOT _admitted THEN 'batch exceeds max size' END AS message,
+ transform(filter(_judged, j -> j.why IS NULL), j -> j.event) AS valid,
+ coalesce(size(_judged), 0) AS events)"""
+    done = with_once(outcome, "_result", F.expr(result))
+    accepted = "coalesce(size(_result.valid), 0)"
+    return done.select(
         *requests.columns,
-        F.col("_result.status").alias("status"),
-        F.col("_result.message").alias("message"),
-        accepted.cast("long").alias("accepted"),
-        (F.col("_result.events") - accepted).cast("long").alias("rejected"),
-        F.transform("_result.valid", lambda j: j.event).alias("valid"),
+        "_result.status",
+        "_result.message",
+        F.expr(f"cast({accepted} AS bigint)").alias("accepted"),
+        F.expr(f"cast(_result.events - {accepted} AS bigint)").alias("rejected"),
+        "_result.valid",
     )
 
 
@@ -108,14 +97,14 @@ def accepted_events(judged: DataFrame) -> DataFrame:
     """Valid events of the admitted requests with canonical levels."""
     events = judged.select(F.explode("valid").alias("e"))
     named = events.select(*[F.col("e")[name].alias(name) for name in EVENT_FIELDS])
-    return named.withColumn("level", strict_level(F.col("level")))
+    return named.withColumn("level", F.expr(strict_level("level")))
 
 
 def publish_events(events: DataFrame) -> DataFrame:
     """``key, value, timestamp`` rows for a message sink, keyed by event id."""
-    event = F.struct(*[F.col(name) for name in EVENT_FIELDS])
-    return events.select(
+    framed = events.select("id", "timestamp", F.struct(*EVENT_FIELDS).alias("_event"))
+    return framed.select(
         F.col("id").cast("binary").alias("key"),
-        event_json(event).cast("binary").alias("value"),
-        F.col("timestamp"),
+        F.expr(event_json("_event")).cast("binary").alias("value"),
+        "timestamp",
     )

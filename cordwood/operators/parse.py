@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.levels import lenient_level
 from cordwood.functions.once import with_once
-from cordwood.functions.strict_json import kind, no_fields, with_fields
+from cordwood.functions.strict_json import NO_FIELDS, kind, text_of, with_fields
 from cordwood.functions.text import is_blank, lossy_utf8, strip_carriage_return
 from cordwood.functions.times import parse_rfc3339_lenient
 from cordwood.schemas import EVENT_FIELDS, MAX_LINE_BYTES, SCHEMA_VERSION
@@ -16,6 +16,7 @@ from cordwood.sources.lines import JSON
 _LEVEL_KEYS = ("level", "severity")
 _MESSAGE_KEYS = ("message", "msg")
 _TIME_KEYS = ("timestamp", "time")
+_KEYS = (_LEVEL_KEYS, _MESSAGE_KEYS, _TIME_KEYS)
 _ALL_KEYS = _LEVEL_KEYS + _MESSAGE_KEYS + _TIME_KEYS
 
 
@@ -25,12 +26,12 @@ def prepare_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> Dat
     The limit counts bytes after stripping and before the repair of broken
     UTF-8; a line of exactly the limit is kept.
     """
-    stripped = with_once(lines, "_line", strip_carriage_return(F.col("value")))
+    stripped = with_once(lines, "_line", F.expr(strip_carriage_return("value")))
     repaired = stripped.withColumn("value", F.col("_line")).drop("_line")
     repaired = repaired.withColumn(
         "oversized", F.octet_length("value") > max_line_bytes
-    ).withColumn("value", lossy_utf8(F.col("value")))
-    return repaired.withColumn("blank", is_blank(F.col("value")))
+    ).withColumn("value", F.expr(lossy_utf8("value")))
+    return repaired.withColumn("blank", F.expr(is_blank("value")))
 
 
 def line_counters() -> list[Column]:
@@ -67,47 +68,45 @@ def parse_prepared(
     event_id = F.uuid() if event_id is None else event_id
     used = ("value", "service", "file", "format", "oversized", "blank")
     extra = [c for c in prepared.columns if c not in used]
-    line = F.col("value")
 
     lines = prepared.where(~F.col("oversized") & ~F.col("blank"))
-    opened = with_fields(lines, "_fields", F.when(F.col("format") == JSON, line))
-    kinds = F.struct(*[kind(F.col("_fields")[key]).alias(key) for key in _ALL_KEYS])
-    opened = with_once(opened, "_opened", F.struct("_fields", kinds.alias("kinds")))
-    fields, kinds = F.col("_opened._fields"), F.col("_opened.kinds")
-
-    def first_string(keys: tuple[str, ...]) -> tuple[Column, Column]:
-        """The first of the keys that holds a JSON string, and that string."""
-        is_text = [kinds[key] == "STRING" for key in keys]
-        key = F.coalesce(*[F.when(test, F.lit(key)) for test, key in zip(is_text, keys)])
-        texts = [F.when(t, F.try_variant_get(fields[k], "$", "string")) for t, k in zip(is_text, keys)]
-        return key, F.coalesce(*texts)
-
-    level_key, level = first_string(_LEVEL_KEYS)
-    message_key, message = first_string(_MESSAGE_KEYS)
-    time_key, time = first_string(_TIME_KEYS)
+    opened = with_fields(lines, "_fields", f"if(format = '{JSON}', value, NULL)")
+    kinds = ", ".join(f"{kind(f'_fields.`{key}`')} AS `{key}`" for key in _ALL_KEYS)
+    opened = with_once(opened, "_opened", F.expr(f"struct(_fields, struct({kinds}) AS kinds)"))
+
+    def first(keys: tuple[str, ...], value) -> str:
+        """``value`` of the first key that holds a JSON string."""
+        cases = " ".join(f"WHEN _opened.kinds.`{k}` = 'STRING' THEN {value(k)}" for k in keys)
+        return f"CASE {cases} END"
+
+    def text(key: str) -> str:
+        return text_of(f"_opened._fields.`{key}`")
+
+    taken = ", ".join(first(keys, "'{}'".format) for keys in _KEYS)
     picked = opened.select(
-        *[F.col(c) for c in (*extra, "value", "service", "file")],
-        fields.alias("_fields"),
-        level.alias("_level"),
-        message.alias("_message"),
-        time.alias("_time"),
-        F.array(level_key, message_key, time_key).alias("_taken"),
+        *extra,
+        "value",
+        "service",
+        "file",
+        F.col("_opened._fields").alias("_fields"),
+        F.expr(first(_LEVEL_KEYS, text)).alias("_level"),
+        F.expr(first(_MESSAGE_KEYS, text)).alias("_message"),
+        F.expr(first(_TIME_KEYS, text)).alias("_time"),
+        F.expr(f"array_compact(array({taken}))").alias("_taken"),
     )
-    rest = F.map_filter(
-        "_fields", lambda k, _: ~F.coalesce(F.array_contains("_taken", k), F.lit(False))
+    rest = f"coalesce(map_filter(_fields, (k, v) -> NOT array_contains(_taken, k)), {NO_FIELDS})"
+    source = F.create_map(
+        *[F.lit("agent"), F.lit(agent), F.lit("file"), F.col("file"), F.lit("host"), F.lit(host)]
     )
     return picked.select(
         F.lit(SCHEMA_VERSION).cast("long").alias("schema_version"),
         event_id.alias("id"),
         "service",
-        lenient_level(F.col("_level")).alias("level"),
-        F.coalesce("_message", line).alias("message"),
+        F.expr(lenient_level("_level")).alias("level"),
+        F.coalesce("_message", "value").alias("message"),
         F.coalesce(parse_rfc3339_lenient(F.col("_time")), now).alias("timestamp"),
-        F.to_variant_object(F.coalesce(rest, no_fields())).alias("attributes"),
-        F.create_map(
-            *[F.lit("agent"), F.lit(agent), F.lit("file"), F.col("file")],
-            *[F.lit("host"), F.lit(host)],
-        ).alias("source"),
+        F.expr(f"to_variant_object({rest})").alias("attributes"),
+        source.alias("source"),
         *extra,
     )
 

@@ -84,7 +84,7 @@ def to_records(
         F.col("schema_version").cast("short").alias("schema_version"),
         "id",
         "service",
-        strict_level(F.col("level")).alias("level"),
+        F.expr(strict_level("level")).alias("level"),
         "message",
         "attributes",
         "source",

@@ -24,98 +24,81 @@ INVALID = "invalid_event"
 MALFORMED_MESSAGE = "record is not one valid LogEvent JSON object"
 
 
-def event_json(event: Column) -> Column:
+def event_json(event: str) -> str:
     """Wire form of an event struct: fixed field order, UTC time, sorted source keys."""
-    source = F.map_from_entries(F.array_sort(F.map_entries(event["source"])))
-    return F.to_json(
-        F.struct(
-            event["schema_version"].alias("schema_version"),
-            *[event[name].alias(name) for name in ("id", "service", "level", "message")],
-            format_rfc3339(event["timestamp"]).alias("timestamp"),
-            event["attributes"].alias("attributes"),
-            source.alias("source"),
-        )
-    )
+    e = event
+    return f"""to_json(struct({e}.schema_version, {e}.id, {e}.service, {e}.level, {e}.message,
+ {format_rfc3339(f'{e}.`timestamp`')} AS `timestamp`, {e}.attributes,
+ map_from_entries(array_sort(map_entries({e}.source))) AS source))"""
 
 
-def encoded_bytes(event: Column) -> Column:
+def encoded_bytes(event: str) -> str:
     """Size of the wire form, with ``<``, ``>`` and ``&`` counted as six-byte escapes."""
     text = event_json(event)
-    escaped = F.length(text) - F.length(F.translate(text, "<>&", ""))
-    return F.octet_length(text) + 5 * escaped
+    escaped = f"length({text}) - length(translate({text}, '<>&', ''))"
+    return f"(octet_length({text}) + 5 * ({escaped}))"
 
 
-def violation(event: Column, payload_bytes: Column | None = None) -> Column:
+def violation(event: str, payload_bytes: str | None = None) -> str:
     """First broken rule of an event struct, NULL for a valid event.
 
     ``payload_bytes``, where known, is the size of the JSON the event came
     from. An encoding grows a byte to six at most, so small payloads need no
     second encoding for the size rule.
     """
-
-    def too_long(text: Column, limit: int) -> Column:
-        return F.octet_length(text) > limit
-
-    moment = event["timestamp"]
-    zero = F.lit("0001-01-01T00:00:00+00:00").cast("timestamp")
-    oversized = encoded_bytes(event) > MAX_EVENT_BYTES
+    e = event
+    oversized = f"{encoded_bytes(e)} > {MAX_EVENT_BYTES}"
     if payload_bytes is not None:
-        oversized = (payload_bytes * 6 + 1024 > MAX_EVENT_BYTES) & oversized
+        oversized = f"{payload_bytes} * 6 + 1024 > {MAX_EVENT_BYTES} AND {oversized}"
+    zero = "timestamp'0001-01-01 00:00:00+00:00'"
     rules = [
         (
-            event["schema_version"].isNull() | (event["schema_version"] != SCHEMA_VERSION),
+            f"{e}.schema_version IS NULL OR {e}.schema_version <> {SCHEMA_VERSION}",
             f"schema_version must be {SCHEMA_VERSION}",
         ),
-        (is_blank(event["id"]), "id is required"),
-        (too_long(event["id"], MAX_ID_BYTES), f"id exceeds {MAX_ID_BYTES} bytes"),
-        (is_blank(event["service"]), "service is required"),
+        (is_blank(f"{e}.id"), "id is required"),
+        (f"octet_length({e}.id) > {MAX_ID_BYTES}", f"id exceeds {MAX_ID_BYTES} bytes"),
+        (is_blank(f"{e}.service"), "service is required"),
         (
-            too_long(event["service"], MAX_SERVICE_BYTES),
+            f"octet_length({e}.service) > {MAX_SERVICE_BYTES}",
             f"service exceeds {MAX_SERVICE_BYTES} bytes",
         ),
-        (is_blank(event["message"]), "message is required"),
-        (~is_level(event["level"]), "level is unsupported"),
-        (moment.isNull() | (moment == zero), "timestamp is required"),
+        (is_blank(f"{e}.message"), "message is required"),
+        (f"NOT {is_level(f'{e}.level')}", "level is unsupported"),
+        (f"{e}.`timestamp` IS NULL OR {e}.`timestamp` = {zero}", "timestamp is required"),
         (
-            too_long(event["message"], MAX_MESSAGE_BYTES),
+            f"octet_length({e}.message) > {MAX_MESSAGE_BYTES}",
             f"message exceeds {MAX_MESSAGE_BYTES} bytes",
         ),
-        (event["attributes"].isNull(), "attributes must be an object"),
-        (event["source"].isNull(), "source must be an object"),
+        (f"{e}.attributes IS NULL", "attributes must be an object"),
+        (f"{e}.source IS NULL", "source must be an object"),
         (oversized, f"event exceeds {MAX_EVENT_BYTES} bytes"),
     ]
-    first = F.when(rules[0][0], F.lit(rules[0][1]))
-    for broken, message in rules[1:]:
-        first = first.when(broken, F.lit(message))
-    return first
+    return "CASE " + " ".join(f"WHEN {broken} THEN '{text}'" for broken, text in rules) + " END"
 
 
 def validate(events: DataFrame) -> DataFrame:
     """Add ``violation`` to a frame of event columns."""
-    event = F.struct(*[F.col(name) for name in EVENT_FIELDS])
-    return events.withColumn("violation", violation(event))
+    event = F.struct(*EVENT_FIELDS).alias("_event")
+    checked = events.select("*", event).withColumn("violation", F.expr(violation("_event")))
+    return checked.drop("_event")
 
 
 def normalize(events: DataFrame) -> DataFrame:
     """Canonical level names; timestamps are instants already."""
-    return events.withColumn("level", strict_level(F.col("level")))
+    return events.withColumn("level", F.expr(strict_level("level")))
 
 
 def classify(records: DataFrame) -> DataFrame:
     """Decode and check raw records; ``failure`` is NULL for a valid record."""
     decoded = decode_strict(records)
-    broken = decoded.withColumn(
-        "_violation", violation(F.col("event"), F.octet_length(F.col("value")))
-    )
-    failure = F.when(
-        ~F.col("decode_ok"),
-        F.struct(F.lit(MALFORMED).alias("code"), F.lit(MALFORMED_MESSAGE).alias("message")),
-    ).when(
-        F.col("_violation").isNotNull(),
-        F.struct(F.lit(INVALID).alias("code"), F.col("_violation").alias("message")),
-    )
-    outcome = with_once(broken, "_outcome", F.struct("event", failure.alias("failure")))
-    return outcome.select(*records.columns, "_outcome.event", "_outcome.failure")
+    broken = decoded.withColumn("_violation", F.expr(violation("event", "octet_length(value)")))
+    outcome = f"""struct(event, CASE
+ WHEN NOT decode_ok THEN struct('{MALFORMED}' AS code, '{MALFORMED_MESSAGE}' AS message)
+ WHEN _violation IS NOT NULL THEN struct('{INVALID}' AS code, _violation AS message)
+ END AS failure)"""
+    routed = with_once(broken, "_outcome", F.expr(outcome))
+    return routed.select(*records.columns, "_outcome.event", "_outcome.failure")
 
 
 def route_counters() -> list[Column]:

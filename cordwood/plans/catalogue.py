@@ -119,7 +119,7 @@ def search_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cursor_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.logs(spark, sf_dir).select(
-        "id", cursors.cursor_column(F.col("timestamp"), F.col("id")).alias("cursor")
+        "id", cursors.cursor_column("timestamp", "id").alias("cursor")
     )
 
 
@@ -213,7 +213,8 @@ def level_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 11 == 0, None)
         .otherwise(views.raw_level())
     )
-    return views.table(spark, sf_dir, "events").select("event_id", lenient_level(written).alias("level"))
+    named = views.table(spark, sf_dir, "events").select("event_id", written.alias("level"))
+    return named.withColumn("level", F.expr(lenient_level("level")))
 
 
 # Raw records: decode, check, route.

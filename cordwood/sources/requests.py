@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.functions.strict_json import string_of, with_fields
+from cordwood.functions.strict_json import kind, text_of, with_fields
 from cordwood.schemas import REQUEST
 
 
@@ -26,11 +26,13 @@ def read_requests(
 
 def explode_requests(requests: DataFrame) -> DataFrame:
     """One row per array element of ``events``: ``request_id, pos, id, event``."""
-    events = F.try_variant_get(F.col("_fields")["events"], "$", "array<variant>")
-    opened = with_fields(requests, "_fields", F.col("body"))
-    return opened.select("request_id", F.posexplode(events).alias("pos", "event")).select(
+    opened = with_fields(requests, "_fields", "body")
+    events = F.expr("try_variant_get(_fields.events, '$', 'array<variant>')")
+    rows = opened.select("request_id", F.posexplode(events).alias("pos", "event"))
+    key = "try_variant_get(event, '$.id', 'variant')"
+    return rows.select(
         "request_id",
         "pos",
-        string_of(F.try_variant_get("event", "$.id", "variant")).alias("id"),
+        F.expr(f"if({kind(key)} = 'STRING', {text_of(key)}, NULL)").alias("id"),
         "event",
     )
