@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,17 @@ def _path_pattern(path: str) -> str:
     return r"^(?:[a-z0-9]+:/{0,2})?.*?" + body if "://" in path else r"^(?:file:/{0,2})?" + body
 
 
+def _one_glob(paths: list[str]) -> str:
+    """A stream takes one path: the common root with the rest as alternatives."""
+    if len(paths) == 1:
+        return paths[0]
+    common = os.path.commonprefix(paths)
+    root = common[: common.rfind("/") + 1]
+    if not root or root.endswith("://"):
+        raise ValueError("the sources of a stream must lie under one root")
+    return root + "{" + ",".join(path[len(root) :] for path in paths) + "}"
+
+
 def _by_source(file: Column, sources: list[LogSource], value) -> Column:
     chosen = None
     for source in sources:
@@ -60,7 +72,7 @@ def read_lines(
         reader = spark.readStream.option("lineSep", "\n")
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        lines = reader.text(paths[0] if len(paths) == 1 else "{" + ",".join(paths) + "}")
+        lines = reader.text(_one_glob(paths))
     else:
         lines = spark.read.option("lineSep", "\n").text(paths)
     file = F.coalesce(F.try_url_decode(F.col("_metadata.file_path")), F.col("_metadata.file_path"))
