@@ -27,40 +27,50 @@ where why how all any both each few more most other some such no nor not only ow
 same so than too very s t can will just don should now
 """.split()
 
-_WORD = r"[\p{L}\p{N}]+"
+# Possessive quantifiers throughout: a repeated group that can backtrack recurses
+# once per repeat, which a long hyphenated text would turn into a stack overflow.
+_WORD = r"[\p{L}\p{N}]++"
+_HYPHENATED = rf"{_WORD}(?:-{_WORD})*+"
 _TOKEN = "|".join(
     (
-        # mail address
-        r"[\p{L}\p{N}][\p{L}\p{N}._+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+        # mail address; tried once per run of its characters
+        r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}][\p{L}\p{N}._+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
         # number: signed, decimal, version
-        r"(?<![\p{L}\p{N}])[+-]?\p{N}++(?:\.\p{N}++)*(?![\p{L}\p{N}])",
-        # host name, with or without a path
-        rf"{_WORD}(?:-{_WORD})*(?:\.{_WORD}(?:-{_WORD})*)*\.\p{{L}}[\p{{L}}\p{{N}}]*"
-        r"(?:/[^\s\x22\x27<>]*)?",
-        # word or hyphenated word
-        rf"{_WORD}(?:-{_WORD})*",
+        r"(?<![\p{L}\p{N}])[+-]?\p{N}++(?:\.\p{N}++)*+(?![\p{L}\p{N}])",
+        # host name with a path
+        rf"{_HYPHENATED}(?:\.{_HYPHENATED})++/[^\s\x22\x27<>]*+",
+        # word, hyphenated word or dotted name
+        rf"{_HYPHENATED}(?:\.{_HYPHENATED})*+",
     )
 )
-_COMPOUND = r"^[^.]*[\p{L}\p{N}]-[^.]*$"
+# A dotted name is a host when its last part begins with a letter.
+_HOST = r"\.\p{L}[^.]*$"
 # Only letters and hyphens: these are stemmed, the rest is kept as it is.
 _PLAIN_WORD = r"^[\p{L}-]+$"
+# Fixed limits in bytes: longer tokens are not indexed, longer words not stemmed.
+_MAX_TOKEN = 2046
+_MAX_STEMMED = 1000
 
 
 def tokens(lowered: str) -> str:
     """SQL for the tokens of a lower-case text; compounds also give their parts."""
-    return f"""flatten(transform(regexp_extract_all({lowered}, r'{_TOKEN}', 0), t -> CASE
+    names = rf"""flatten(transform(regexp_extract_all({lowered}, r'{_TOKEN}', 0), t -> CASE
  WHEN contains(t, '@') THEN array(t)
  WHEN contains(t, '/') THEN array(t, regexp_extract(t, '^[^/]*', 0), regexp_extract(t, '/.*$', 0))
- WHEN t RLIKE r'{_COMPOUND}' THEN concat(array(t), split(t, '-'))
+ WHEN contains(t, '.') AND NOT t RLIKE r'{_HOST}' AND t RLIKE r'\p{{L}}' THEN split(t, '[.]')
  ELSE array(t) END))"""
+    parts = rf"""flatten(transform({names}, t -> IF(t RLIKE r'^[\p{{L}}\p{{N}}]+-[^.@/]*$',
+ concat(array(t), split(t, '-')), array(t))))"""
+    return f"filter({parts}, t -> octet_length(t) <= {_MAX_TOKEN})"
 
 
 def stems_of(words: str) -> str:
     """SQL for the index terms of tokens: stop words out, words stemmed, no repeats."""
     kept = f"""array_distinct(filter({words},
  t -> NOT array_contains(split('{' '.join(STOP_WORDS)}', ' '), t)))"""
-    stems = stem_words(f"filter(k, t -> t RLIKE r'{_PLAIN_WORD}')")
-    plain = f"filter(k, t -> NOT t RLIKE r'{_PLAIN_WORD}')"
+    stemmed = f"t RLIKE r'{_PLAIN_WORD}' AND octet_length(t) <= {_MAX_STEMMED}"
+    stems = stem_words(f"filter(k, t -> {stemmed})")
+    plain = f"filter(k, t -> NOT ({stemmed}))"
     return f"""flatten(transform(array({kept}), k -> array_distinct(concat({stems}, {plain}))))"""
 
 

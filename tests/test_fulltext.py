@@ -36,6 +36,7 @@ def test_stems(spark):
         ("The quick-brown foxes failed at login", {"quick-brown", "quick", "brown", "fox", "fail", "login"}),
         ("don't e-mail bob@example.com", {"e-mail", "e", "mail", "bob@example.com"}),
         ("www.example.com/a?b=1 v2 -5 3.14", {"www.example.com/a?b=1", "www.example.com", "/a?b=1", "v2", "-5", "3.14"}),
+        ("a v1.2.3 end.Next state-of-1 x-1.y-2", {"v1", "2", "3", "end.next", "state-of-1", "state", "1", "x-1.y-2"}),
         ("user_id=42 ÉTATS", {"user", "id", "42", "état"}),
         ("the of and", set()),
         ("", set()),
@@ -70,3 +71,28 @@ def test_substring_test_loses_no_row(spark, tables):
             full = full.where(F.array_contains("terms", term))
         quick = {r.doc_id for r in where_text(documents, "text", terms).collect()}
         assert quick == {r.doc_id for r in full.select("doc_id").collect()}
+
+
+def test_very_long_tokens(spark):
+    """Neither stack nor time runs out, and what is too long is not indexed."""
+    size = 30_000
+    texts = [
+        "failed " + text
+        for text in (
+            "a" * size,
+            "a-" * size,
+            "a." * size,
+            "a_" * size,
+            "1." * size,
+            "a-b." * size,
+            "bo" * 450 + "ing",
+            "y" * 1500 + "ing",
+            "a.b/" + "c" * size,
+            " " * size + "x",
+        )
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    assert where_text(frame, "text", ["fail"]).count() == len(texts)
+    assert where_text(frame, "text", ["bo" * 450]).count() == 1
+    assert where_text(frame, "text", ["y" * 1500 + "ing"]).count() == 1
+    assert where_text(frame, "text", ["a" * 1000]).count() == 0
