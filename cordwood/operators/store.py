@@ -47,7 +47,7 @@ class LogTable:
     """
 
     path: str
-    buckets: int = 64
+    buckets: int = 16
     broadcast_bytes: int = 64 * 1024 * 1024
 
     @property
@@ -124,10 +124,14 @@ def insert_logs(
         size = winners.agg(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0)).alias("bytes"),
+            F.collect_set("bucket").alias("buckets"),
         ).first()
         if not size["rows"]:
             return {"unique": 0, "stored": 0}
-        claims = _read(spark, CLAIM, table.claims_path)
+        # At most table.buckets values: a small batch reads only the folders of its ids.
+        claims = _read(spark, CLAIM, table.claims_path).where(
+            F.col("bucket").isin(sorted(size["buckets"]))
+        )
         ids = winners.select("bucket", "id")
         small = size["bytes"] <= table.broadcast_bytes
         seen = claims.join(F.broadcast(ids) if small else ids, ["bucket", "id"], "left_semi")
