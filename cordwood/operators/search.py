@@ -10,12 +10,14 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cordwood.functions.cursors import PageCursor, decode_cursor, encode_cursor, parse_moment
 from cordwood.functions.fulltext import query_terms, where_text
 from cordwood.functions.times import UTC, as_utc, moment_literal
 from cordwood.schemas import DEFAULT_PAGE, LEVELS, MAX_FILTER_BYTES, MAX_PAGE, RECORD_FIELDS
 
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=UTC)
 _PARAMETERS = ("service", "level", "q", "start", "end", "limit", "cursor")
 
 
@@ -152,14 +154,36 @@ class SearchPage:
 
     def next_cursor(self) -> PageCursor | None:
         """Position of the last row when a further row exists (at most 501 rows)."""
-        return _next_cursor(self.one_more.select("timestamp", "id").collect(), self.limit)
+        keys = self.one_more.select("id", _instant(self.one_more).alias("_instant"))
+        return _next_cursor(keys.collect(), self.limit)
+
+
+def _instant(df: DataFrame) -> Column:
+    """The time of a row in a form that collects the same in every time zone.
+
+    A timestamp with time zone reaches Python in the zone of the machine, so
+    it is carried as microseconds; one without is UTC wall-clock time here.
+    """
+    moment = F.col("timestamp")
+    is_wall_clock = isinstance(df.schema["timestamp"].dataType, T.TimestampNTZType)
+    return moment if is_wall_clock else F.unix_micros(moment)
 
 
 def _next_cursor(rows: list[Row], limit: int) -> PageCursor | None:
     if len(rows) <= limit:
         return None
     last = rows[limit - 1]
-    return PageCursor(as_utc(last["timestamp"]), last["id"])
+    instant = last["_instant"]
+    if isinstance(instant, int):
+        instant = _EPOCH + dt.timedelta(microseconds=instant)
+    return PageCursor(as_utc(instant), last["id"])
+
+
+def _without_instant(rows: list[Row]) -> list[Row]:
+    if not rows:
+        return []
+    shape = Row(*rows[0].__fields__[:-1])
+    return [shape(*row[:-1]) for row in rows]
 
 
 def record_columns(df: DataFrame) -> DataFrame:
@@ -209,8 +233,9 @@ def fetch_page(
     """
     limit = page_limit(params.limit)
     if "event_date" not in logs.columns:
-        rows = search(logs, params).one_more.collect()
-        return rows[:limit], encode_cursor(_next_cursor(rows, limit))
+        one_more = search(logs, params).one_more
+        rows = one_more.withColumn("_instant", _instant(logs)).collect()
+        return _without_instant(rows[:limit]), encode_cursor(_next_cursor(rows, limit))
     rows: list[Row] = []
     today = today or dt.datetime.now(UTC).date()
     for low, high in _day_windows(params, today):
@@ -220,10 +245,11 @@ def fetch_page(
         if high is not None:
             window = window.where(F.col("event_date") < F.lit(high))
         found = record_columns(matching(window, params))
-        rows += newest_first(found, limit + 1 - len(rows)).collect()
+        newest = newest_first(found, limit + 1 - len(rows))
+        rows += newest.withColumn("_instant", _instant(logs)).collect()
         if len(rows) > limit:
             break
-    return rows[:limit], encode_cursor(_next_cursor(rows, limit))
+    return _without_instant(rows[:limit]), encode_cursor(_next_cursor(rows, limit))
 
 
 def walk_pages(

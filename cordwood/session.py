@@ -39,8 +39,9 @@ def local_session(cpus: int | str = 8, app: str = "cordwood", **extra: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the checkpoint folder of the session; set one only where none is set."""
+    """Keep the checkpoint folder of the session; make one only where none is set."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+    if context.getCheckpointDir():
         return
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cordwood-checkpoint-"))
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cordwood-checkpoint-"))

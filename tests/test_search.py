@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +170,7 @@ def test_pages_have_no_gaps_and_no_repeats(logs, partitioned):
 def test_a_full_last_page_has_no_next(logs):
     rows, cursor = fetch_page(logs, SearchParams(limit=60), dt.date(2020, 1, 1))
     assert [r.id for r in rows] == EXPECTED and cursor == ""
+    assert list(rows[0].asDict()) == ["id", "service", "level", "message", "timestamp"]
     rows, cursor = fetch_page(logs, SearchParams(limit=59), dt.date(2027, 1, 1))
     assert [r.id for r in rows] == EXPECTED[:59] and decode_cursor(cursor).id == EXPECTED[58]
 
@@ -181,6 +183,21 @@ def test_pages_respect_time_bounds(logs):
     assert sorted(walked) == sorted(wanted) and len(walked) > 5
 
 
+def test_cursors_do_not_depend_on_the_zone_of_the_machine(logs, monkeypatch):
+    def cursors():
+        page = search(logs, SearchParams(limit=7)).next_cursor()
+        return page, [fetch_page(t, SearchParams(limit=7))[1] for t in (logs, logs.drop("event_date"))]
+
+    here = cursors()
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        assert cursors() == here and here[1][0] == here[1][1] == encode_cursor(here[0])
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
 def test_search_gives_a_page_and_the_next_cursor(logs):
     page = search(logs, SearchParams(level="error", limit=10))
     assert page.items.count() == 10
