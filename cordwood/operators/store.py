@@ -15,16 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cordwood.functions.levels import strict_level
 from cordwood.operators.firstwins import first_per_key
 from cordwood.schemas import POSITION, RECORD, RECORD_FIELDS
+from cordwood.session import ensure_checkpoint_dir
 
 CLAIM = T.StructType(
     [
@@ -41,9 +43,8 @@ CLAIM = T.StructType(
 class LogTable:
     """Location and layout of a stored log table.
 
-    ``buckets`` may not change once rows are stored. A batch whose ids take up
-    more than ``broadcast_bytes`` is joined to the claims by shuffle instead
-    of by broadcast.
+    ``buckets`` may not change once rows are stored. The ids of a batch are
+    broadcast to the claims in groups of buckets of at most ``broadcast_bytes``.
     """
 
     path: str
@@ -105,6 +106,32 @@ def _append(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
     ordered.write.mode("append").partitionBy(partition).parquet(path)
 
 
+def _claims_of(ids: DataFrame, sizes: list[Row], table: LogTable) -> DataFrame:
+    """Claims of the given ids, without a shuffle of the claims where it can be helped.
+
+    The buckets are taken in groups whose ids fit a broadcast. Each group reads
+    only its own claim folders, so together the groups read no claim twice. A
+    bucket whose ids do not fit is left to a shuffle join.
+    """
+    groups: list[list[int]] = []
+    room = 0
+    for size in sorted(sizes, key=lambda s: s["bytes"]):
+        if not groups or size["bytes"] > room:
+            groups.append([])
+            room = table.broadcast_bytes
+        groups[-1].append(size["bucket"])
+        room -= size["bytes"]
+    fits = {size["bucket"]: size["bytes"] <= table.broadcast_bytes for size in sizes}
+    claims = _read(ids.sparkSession, CLAIM, table.claims_path)
+    found = []
+    for group in groups:
+        chosen = F.col("bucket").isin(group)
+        wanted = ids.where(chosen)
+        wanted = F.broadcast(wanted) if all(fits[bucket] for bucket in group) else wanted
+        found.append(claims.where(chosen).join(wanted, ["bucket", "id"], "left_semi"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def insert_logs(
     events: DataFrame, table: LogTable | str, received_at: Column | None = None
 ) -> dict[str, int]:
@@ -121,21 +148,24 @@ def insert_logs(
     winners = first_per_key(events, "id", POSITION).withColumn("bucket", _bucket(table))
     winners = winners.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        size = winners.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0)).alias("bytes"),
-            F.collect_set("bucket").alias("buckets"),
-        ).first()
-        if not size["rows"]:
-            return {"unique": 0, "stored": 0}
-        # At most table.buckets values: a small batch reads only the folders of its ids.
-        claims = _read(spark, CLAIM, table.claims_path).where(
-            F.col("bucket").isin(sorted(size["buckets"]))
+        # One row per bucket, so at most table.buckets rows.
+        sizes = (
+            winners.groupBy("bucket")
+            .agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.sum(F.octet_length("id") + 32).alias("bytes"),
+            )
+            .collect()
         )
-        ids = winners.select("bucket", "id")
-        small = size["bytes"] <= table.broadcast_bytes
-        seen = claims.join(F.broadcast(ids) if small else ids, ["bucket", "id"], "left_semi")
-        seen = seen.groupBy("id").agg(F.min(F.struct(*POSITION)).alias("_claim"))
+        unique = sum(size["rows"] for size in sizes)
+        if not unique:
+            return {"unique": 0, "stored": 0}
+        seen = _claims_of(winners.select("bucket", "id"), sizes, table)
+        # Spark recomputes cached rows that read a folder once that folder is written
+        # to, so the result of the lookup is cut loose from the claims.
+        ensure_checkpoint_dir(spark)
+        seen = seen.groupBy("id").agg(F.min(F.struct(*POSITION)).alias("_claim")).checkpoint()
+        small = sum(size["bytes"] for size in sizes) <= table.broadcast_bytes
         claimed = winners.join(F.broadcast(seen) if small else seen, "id", "left")
         own = F.struct(*POSITION) == F.col("_claim")
         pending = claimed.where(F.col("_claim").isNull() | own).withColumn(
@@ -143,7 +173,7 @@ def insert_logs(
         )
         pending = pending.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return {"unique": size["rows"], "stored": _store(pending, table, received_at)}
+            return {"unique": unique, "stored": _store(pending, table, received_at)}
         finally:
             pending.unpersist()
     finally:
@@ -158,20 +188,21 @@ def _store(pending: DataFrame, table: LogTable, received_at: Column | None) -> i
         F.min(F.when(replayed, F.col("event_date"))).alias("low"),
         F.max(F.when(replayed, F.col("event_date"))).alias("high"),
     ).first()
-    missing = pending
+    missing, lost = pending, 0
     if facts["again"]:
         # Same position means same event, hence same day: only those days are read.
         days = F.col("event_date").between(F.lit(facts["low"]), F.lit(facts["high"]))
         present = read_logs(pending.sparkSession, table).where(days).select("event_date", "id")
         missing = pending.join(present, ["event_date", "id"], "left_anti")
+        lost = missing.where(replayed).count()
     if facts["fresh"]:
         fresh = pending.where(~replayed).select(*CLAIM.fieldNames())
         _append(fresh, table.claims_path, "bucket", ["id"])
-    elif not missing.take(1):
+    if not facts["fresh"] + lost:
         return 0
     records = to_records(missing, received_at)
     stored = records.withColumn("event_date", F.to_date("timestamp"))
     _append(
         stored.select(*RECORD_FIELDS, "event_date"), table.logs_path, "event_date", ["timestamp", "id"]
     )
-    return facts["fresh"] + (missing.where(replayed).count() if facts["again"] else 0)
+    return facts["fresh"] + lost

@@ -42,7 +42,7 @@ def test_a_replay_changes_nothing(spark, table):
     assert read_logs(spark, table).count() == 2
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+@pytest.mark.parametrize("broadcast_bytes", [0, 50, 1 << 20])
 def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, monkeypatch, broadcast_bytes):
     table = LogTable(table.path, table.buckets, broadcast_bytes)
     insert_logs(deliveries(spark, [event(id="old")], partition=3), table)
@@ -63,6 +63,23 @@ def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, mon
     assert sorted(r.id for r in read_logs(spark, table).collect()) == ["b", "event-1", "old"]
 
 
+@pytest.mark.parametrize("limit, joins, broadcasts", [(0, 4, 0), (200, 2, 2), (360, 1, 1)])
+def test_claims_are_looked_up_in_groups(spark, table, limit, joins, broadcasts):
+    """Four buckets of 90 bytes each: one by one, in pairs, or all at once."""
+    events = [event(id=f"id-{n}") for n in range(40)]
+    insert_logs(deliveries(spark, events), table)
+    grouped = LogTable(table.path, table.buckets, limit)
+    ids = spark.range(30, 70).selectExpr("concat('id-', id) AS id").withColumn("bucket", store._bucket(table))
+    sizes = ids.groupBy("bucket").agg(F.count("*").alias("rows"), F.lit(90).alias("bytes")).collect()
+    found = store._claims_of(ids, sizes, grouped)
+    assert sorted(r.id for r in found.collect()) == sorted(f"id-{n}" for n in range(30, 40))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftSemi") == joins
+    assert text.count("rightHint=(strategy=broadcast)") == broadcasts
+    replay = deliveries(spark, events + [event(id="new")])
+    assert insert_logs(replay, grouped) == {"unique": 41, "stored": 1}
+
+
 def test_a_hot_id_is_collapsed_before_the_shuffle(spark):
     rows = spark.range(30_000).selectExpr(
         "if(id % 3 = 0, 'hot', cast(id AS string)) AS id", "'t' AS topic", "0 AS partition", "id AS offset"
