@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +26,25 @@ class LogSource:
             raise ValueError(f"unknown log format {self.format!r}")
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//)?"
+
+
 def _path_pattern(path: str) -> str:
-    scheme_free = path.split("://", 1)[-1] if "://" in path else path.removeprefix("file:")
-    # fnmatch anchors with \z or \Z by version; Java reads \z.
-    body = fnmatch.translate(scheme_free).replace(r"\Z", r"\z")
-    return r"^(?:[a-z0-9]+:/{0,2})?.*?" + body if "://" in path else r"^(?:file:/{0,2})?" + body
+    """Pattern of a file name without its scheme for a path with ``* ? [] {}``."""
+    pattern, depth = "", 0
+    for part in re.findall(r"\[[^\]]*\]|.", re.sub(_SCHEME, "", path)):
+        depth += (part == "{") - (part == "}")
+        if part == "*":
+            pattern += "[^/]*"
+        elif part == "?":
+            pattern += "[^/]"
+        elif part in ("{", "}") or (part == "," and depth):
+            pattern += {"{": "(?:", "}": ")", ",": "|"}[part]
+        elif len(part) > 1:
+            pattern += part
+        else:
+            pattern += re.escape(part)
+    return rf"^{pattern}\z"
 
 
 def _one_glob(paths: list[str]) -> str:
@@ -76,7 +90,7 @@ def read_lines(
     else:
         lines = spark.read.option("lineSep", "\n").text(paths)
     file = F.coalesce(F.try_url_decode(F.col("_metadata.file_path")), F.col("_metadata.file_path"))
-    located = lines.select("value", file.alias("_file"))
+    located = lines.select("value", F.regexp_replace(file, _SCHEME, "").alias("_file"))
     return located.select(
         "value",
         _by_source(F.col("_file"), sources, lambda s: s.service).alias("service"),

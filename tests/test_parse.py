@@ -134,14 +134,18 @@ def test_read_lines_of_several_sources(spark, tmp_path):
     (tmp_path / "auth 1.log").write_bytes(b'{"message":"a"}\r\nlast line')
     (tmp_path / "pay-1.log").write_bytes(b"one\rstill one\n")
     (tmp_path / "pay-2.log").write_bytes(b"two\n")
+    (tmp_path / "pay-x").mkdir()
+    (tmp_path / "pay-x" / "old.log").write_bytes(b"deep\n")
     sources = [
         LogSource("auth", f"{tmp_path}/auth 1.log", "json"),
-        LogSource("pay", f"{tmp_path}/pay-*.log"),
+        LogSource("pay", f"file://{tmp_path}/pay-*.log"),
+        LogSource("deep", f"{tmp_path}/pay-[w-z]/{{old,new}}.log"),
     ]
     rows = sorted(read_lines(spark, sources).select("service", "format", "value", "file").collect())
     assert [(r.service, r.format, r.value) for r in rows] == [
         ("auth", "json", "last line"),
         ("auth", "json", '{"message":"a"}\r'),
+        ("deep", "plain", "deep"),
         ("pay", "plain", "one\rstill one"),
         ("pay", "plain", "two"),
     ]
