@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {}
 # Search arguments, shared with the SQL side.
 START = dt.datetime(2024, 1, 10, 6, 0, tzinfo=UTC)
 END = dt.datetime(2024, 1, 12, 18, 30, tzinfo=UTC)
-CURSOR = PageCursor(dt.datetime(2024, 1, 20, 10, 4, tzinfo=UTC), "evt-64")
+CURSOR = PageCursor(dt.datetime(2024, 1, 20, 3, 45, tzinfo=UTC), "evt-6382")
 SEARCH_TEXT = "Licensing the versions"
 MAX_LINE = 120
 

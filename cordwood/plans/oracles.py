@@ -133,7 +133,7 @@ WHERE lang = 'en' AND regexp_matches(lower(text), '\\blicens(e|ed|es|ing)\\b')
  {_NEWEST} LIMIT 25""",
     "search_page1": f"WITH {_LOGS}, {_TIED} {_FOUND} FROM tied WHERE level = 'error' {_NEWEST} LIMIT 50",
     "search_page2": f"""WITH {_LOGS}, {_TIED} {_FOUND} FROM tied
- WHERE ("timestamp", id) < (TIMESTAMP '2024-01-20 10:04:00', 'evt-64') {_NEWEST} LIMIT 50""",
+ WHERE ("timestamp", id) < (TIMESTAMP '2024-01-20 03:45:00', 'evt-6382') {_NEWEST} LIMIT 50""",
     "cursor_column": f"""WITH {_LOGS} SELECT id, rtrim(translate(to_base64(encode(
   '{{"v":1,"t":"' || regexp_replace(strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '')
   || 'Z","i":"' || id || '"}}')), '+/', '-_'), '=') AS cursor FROM logs""",
