@@ -36,48 +36,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def raw_level() -> Column:
-    """Levels as applications write them."""
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "error", "error")
-        .when(kind == "purchase", " WARNING ")
-        .when(kind == "click", "DEBUG")
-        .when(kind == "view", "trace")
-        .otherwise("info")
-    )
-
-
-def _service() -> Column:
-    return F.concat(F.lit("svc-"), F.col("user_id") % 7)
-
+# SQL over the events table.
+_EVENT_ID = "concat('evt-', event_id)"
+_SERVICE = "concat('svc-', user_id % 7)"
+_MESSAGE = "concat(event_type, ' by user ', user_id)"
+_FILE = "concat('app', user_id % 3, '.log')"
+# Levels as applications write them.
+RAW_LEVEL = """CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN ' WARNING '
+ WHEN 'click' THEN 'DEBUG' WHEN 'view' THEN 'trace' ELSE 'info' END"""
 
-def _event_id() -> Column:
-    return F.concat(F.lit("evt-"), F.col("event_id"))
 
-
-def _message() -> Column:
-    return F.concat("event_type", F.lit(" by user "), "user_id")
-
-
-def _file() -> Column:
-    return F.concat(F.lit("app"), F.col("user_id") % 3, F.lit(".log"))
+def _iso(moment: str) -> str:
+    return f"""date_format({moment}, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")"""
 
 
 def logs(spark: SparkSession, sf_dir: str, ties: bool = False, levels: str = "stored") -> DataFrame:
     """Stored records. ``ties`` cuts the time to the minute, so many rows share it."""
-    events = table(spark, sf_dir, "events")
-    moment = F.date_trunc("minute", "ts").cast("timestamp_ntz") if ties else F.col("ts")
-    stored = events.select(
-        F.lit(1).cast("short").alias("schema_version"),
-        _event_id().alias("id"),
-        _service().alias("service"),
-        raw_level().alias("level"),
-        _message().alias("message"),
-        F.parse_json("props").alias("attributes"),
-        F.create_map(F.lit("agent"), F.lit("fixture"), F.lit("file"), _file()).alias("source"),
-        moment.alias("timestamp"),
-        F.expr("ts + make_dt_interval(0, 0, 0, event_id % 90)").alias("received_at"),
+    moment = "cast(date_trunc('minute', ts) AS timestamp_ntz)" if ties else "ts"
+    stored = table(spark, sf_dir, "events").selectExpr(
+        "1S AS schema_version",
+        f"{_EVENT_ID} AS id",
+        f"{_SERVICE} AS service",
+        f"{RAW_LEVEL} AS level",
+        f"{_MESSAGE} AS message",
+        "parse_json(props) AS attributes",
+        f"map('agent', 'fixture', 'file', {_FILE}) AS source",
+        f"{moment} AS timestamp",
+        "ts + make_dt_interval(0, 0, 0, event_id % 90) AS received_at",
     )
     return normalize(stored) if levels == "stored" else stored
 
@@ -99,113 +84,65 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth event is delivered a second time, later and with another message."""
     events = spread(table(spark, sf_dir, "events"))
-    times = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0))
+    return events.selectExpr(
+        "*", "explode(if(event_id % 10 = 0, array(0, 1), array(0))) AS again"
     )
-    return events.select("*", F.explode(times).alias("again"))
 
 
-def _payload(rule: Column) -> Column:
-    """JSON of one event, built by hand so that its bytes are known."""
+def _payload(rule: str) -> str:
+    """SQL for the JSON of one event, built by hand so that its bytes are known."""
+    return f"""concat(
+ '{{"schema_version":', if({rule} = 'version', '2', '1'),
+ ',"id":"', {_EVENT_ID}, '","service":"', {_SERVICE},
+ '","level":"', if({rule} = 'level', 'sideways', {RAW_LEVEL}),
+ '","message":"', if({rule} = 'blank', ' ', concat({_MESSAGE}, if(again = 1, ' again', ''))),
+ '","timestamp":"', if(event_id % 6 = 1, concat({_iso('ts - interval 4 hours')}, '-04:00'),
+  concat({_iso('ts')}, 'Z')),
+ '","attributes":', props, ',"source":{{"agent":"fixture","file":"', {_FILE}, '"}}',
+ if({rule} = 'unknown', ',"api_key":"x"', ''), '}}', if({rule} = 'trailing', ' {{}}', ''))"""
 
-    def when_rule(name: str, text: str, otherwise: Column | str) -> Column:
-        other = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
-        return F.when(rule == name, F.lit(text)).otherwise(other)
 
-    offset_time = F.concat(
-        F.date_format(F.expr("ts - interval 4 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-        F.lit("-04:00"),
-    )
-    utc_time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    again = F.when(F.col("again") == 1, " again").otherwise("")
-    return F.concat(
-        F.lit('{"schema_version":'),
-        when_rule("version", "2", "1"),
-        F.lit(',"id":"'),
-        _event_id(),
-        F.lit('","service":"'),
-        _service(),
-        F.lit('","level":"'),
-        when_rule("level", "sideways", raw_level()),
-        F.lit('","message":"'),
-        when_rule("blank", " ", F.concat(_message(), again)),
-        F.lit('","timestamp":"'),
-        F.when(F.col("event_id") % 6 == 1, offset_time).otherwise(utc_time),
-        F.lit('","attributes":'),
-        F.col("props"),
-        F.lit(',"source":{"agent":"fixture","file":"'),
-        _file(),
-        F.lit('"}'),
-        when_rule("unknown", ',"api_key":"x"', ""),
-        F.lit("}"),
-        when_rule("trailing", " {}", ""),
-    )
-
-
-def _rule(malformed_allowed: Column | None = None) -> Column:
-    """How an event is broken; the first rule that applies counts."""
-    n = F.col("event_id")
-    allowed = F.lit(True) if malformed_allowed is None else malformed_allowed
-    return (
-        F.when((n % 17 == 0) & allowed, "unknown")
-        .when(n % 19 == 0, "level")
-        .when((n % 23 == 0) & allowed, "trailing")
-        .when(n % 29 == 0, "version")
-        .when(n % 31 == 0, "blank")
-        .otherwise("good")
-    )
+def _rule(malformed_allowed: str = "true") -> str:
+    """SQL for how an event is broken; the first rule that applies counts."""
+    return f"""CASE
+ WHEN event_id % 17 = 0 AND {malformed_allowed} THEN 'unknown'
+ WHEN event_id % 19 = 0 THEN 'level'
+ WHEN event_id % 23 = 0 AND {malformed_allowed} THEN 'trailing'
+ WHEN event_id % 29 = 0 THEN 'version'
+ WHEN event_id % 31 = 0 THEN 'blank'
+ ELSE 'good' END"""
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records in the columns of the Kafka source."""
-    return _deliveries(spark, sf_dir).select(
-        _event_id().cast("binary").alias("key"),
-        _payload(_rule()).cast("binary").alias("value"),
-        F.lit("logs.raw").alias("topic"),
-        (F.col("event_id") % 4).cast("int").alias("partition"),
-        (F.col("event_id") + F.col("again") * 10_000_000).cast("long").alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+    ruled = _deliveries(spark, sf_dir).selectExpr("*", f"{_rule()} AS rule")
+    return ruled.selectExpr(
+        f"cast({_EVENT_ID} AS binary) AS key",
+        f"cast({_payload('rule')} AS binary) AS value",
+        "'logs.raw' AS topic",
+        "cast(event_id % 4 AS int) AS partition",
+        "event_id + again * 10000000L AS offset",
+        "cast(ts AS timestamp) AS timestamp",
     )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON log lines: other key names, wrong types, bad times, blanks, broken JSON."""
-    n = F.col("event_id")
-    other_names = n % 3 == 0
-
-    def name(first: str, second: str) -> Column:
-        return F.when(other_names, second).otherwise(first)
-
-    moment = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    level = F.when(n % 7 == 0, F.lit("5")).otherwise(F.concat(F.lit('"'), raw_level(), F.lit('"')))
-    body = F.concat(
-        F.lit('{"'),
-        name("level", "severity"),
-        F.lit('":'),
-        level,
-        F.lit(',"'),
-        name("message", "msg"),
-        F.lit('":"'),
-        _message(),
-        F.lit('","user_id":'),
-        F.col("user_id"),
-        F.lit(',"'),
-        name("timestamp", "time"),
-        F.lit('":"'),
-        F.when(n % 13 == 0, "yesterday").otherwise(moment),
-        F.lit('"'),
-    )
-    text = (
-        F.when(n % 37 == 0, "   ")
-        .when(n % 11 == 0, body)
-        .otherwise(F.concat(body, F.lit("}")))
-    )
-    ending = F.when(n % 2 == 0, "\r").otherwise("")
-    return spread(table(spark, sf_dir, "events")).select(
-        F.concat(text, ending).alias("value"),
-        _service().alias("service"),
-        _file().alias("file"),
-        F.lit("json").alias("format"),
+
+    def name(first: str, second: str) -> str:
+        return f"if(event_id % 3 = 0, '{second}', '{first}')"
+
+    body = f"""concat('{{"', {name('level', 'severity')}, '":',
+ if(event_id % 7 = 0, '5', concat('"', {RAW_LEVEL}, '"')),
+ ',"', {name('message', 'msg')}, '":"', {_MESSAGE}, '","user_id":', user_id,
+ ',"', {name('timestamp', 'time')}, '":"',
+ if(event_id % 13 = 0, 'yesterday', concat({_iso('ts')}, 'Z')), '"')"""
+    return spread(table(spark, sf_dir, "events")).selectExpr(
+        f"""concat(CASE WHEN event_id % 37 = 0 THEN '   ' WHEN event_id % 11 = 0 THEN {body}
+ ELSE concat({body}, '}}') END, if(event_id % 2 = 0, '\\r', '')) AS value""",
+        f"{_SERVICE} AS service",
+        f"{_FILE} AS file",
+        "'json' AS format",
         "event_id",
     )
 
@@ -234,16 +171,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every fourth group may hold malformed events, every sixth pair of groups
     makes one body over the limit of fifty, and now and then a body is empty.
     """
-    n = F.col("event_id")
-    group = F.floor(n / 40)
-    pair = F.floor(n / 80)
-    name = F.when(pair % 6 == 5, F.concat(F.lit("wide-"), pair)).otherwise(
-        F.concat(F.lit("req-"), group)
+    events = _deliveries(spark, sf_dir).selectExpr(
+        "*", f"{_rule('event_id div 40 % 4 = 0')} AS rule"
     )
-    events = _deliveries(spark, sf_dir).select(
-        name.alias("request_id"),
-        (n * 2 + F.col("again")).alias("order"),
-        _payload(_rule(group % 4 == 0)).alias("value"),
+    events = events.selectExpr(
+        """if(event_id div 80 % 6 = 5, concat('wide-', event_id div 80),
+ concat('req-', event_id div 40)) AS request_id""",
+        "event_id * 2 + again AS order",
+        f"{_payload('rule')} AS value",
     )
     # A group is a fixed span of row numbers, so its array stays small.
     bodies = events.groupBy("request_id").agg(
@@ -253,11 +188,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id",
         F.concat(F.lit('{"events":['), F.array_join("all.value", ","), F.lit("]}")).alias("body"),
     )
-    empty = table(spark, sf_dir, "events").where(n % 360 == 0)
+    empty = table(spark, sf_dir, "events").where("event_id % 360 = 0")
     return filled.unionByName(
-        empty.select(
-            F.concat(F.lit("empty-"), n).alias("request_id"), F.lit('{"events":[]}').alias("body")
-        )
+        empty.selectExpr("concat('empty-', event_id) AS request_id", """'{"events":[]}' AS body""")
     )
 
 
