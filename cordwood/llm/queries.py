@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cordwood.llm import packing
-from cordwood.llm.shared import table, with_package
+from cordwood.llm import packing, records
+from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +35,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, WORD_TOKENIZER, capacity=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as records in ``doc_id`` order and read back from the files."""
+    folder = Scratch(spark, "records").folder("shards")
+    records.write_records(table(spark, sf_dir, "documents"), WORD_TOKENIZER, folder, end_id=1)
+    read = records.read_records(spark, folder, keep_ids=False)
+    return read.select("doc_id", F.col("before").alias("start"), "n_tokens", "ids_crc32")
