@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import packing, records
+from cordwood.llm import exact_dedup, line_rules, packing, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,31 @@ def query(function: Query) -> Query:
     return run
 
 
+@query
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and verdicts of all documents."""
+    judged = line_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_common_lines",
+        "n_removed_words",
+    )
+
+
+@query
+def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return groups.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
