@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import exact_dedup, line_rules, packing, records
+from cordwood.llm import exact_dedup, line_rules, near_dedup, packing, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def query(function: Query) -> Query:
     return run
 
 
+@query
+def op1_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates over all documents, by runs of four words."""
+    settings = near_dedup.Settings(width=4, percent=80)
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"], settings)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdicts of all documents."""
