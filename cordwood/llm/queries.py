@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import exact_dedup, line_rules, near_dedup, packing, records
+from cordwood.llm import exact_dedup, language, line_rules, near_dedup, packing, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,20 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def is_held_out() -> Column:
+    """Documents that no language model learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~is_held_out()))
+    found = language.identify(docs, ["doc_id"], model).select("row.doc_id", "lang_pred", "score", "accepted")
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as records in ``doc_id`` order and read back from the files."""
