@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import exact_dedup, language, line_rules, near_dedup, packing, records
+from cordwood.llm import bpe, exact_dedup, language, line_rules, near_dedup, packing, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,20 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level BPE ids, and back."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ["doc_id"], ranks, pattern)
+    decoded = bpe.decode_documents(encoded, ranks, pattern)
+    return decoded.select(
+        "row.doc_id",
+        "n_tokens",
+        F.sha2("ids_text", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
