@@ -13,33 +13,43 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: Chunks longer than this many bytes are encoded each time and not kept.
 LONGEST_KEPT = 48
-#: The table of a worker is emptied beyond this many chunks.
-MOST_KEPT = 700_000
+#: Beyond so many chunks a worker's table keeps only those of the texts at hand.
+MOST_KEPT = 600_000
+#: Bytes of text that are looked up together.
+_BLOCK = 4 << 20
 #: Stands between chunks in a call; a chunk that holds it is encoded alone.
 _MARK = "\x01"
 _PER_CALL = 100
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
+    """The printable character that stands for each byte of a word in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    letters[32] = " "  # stands between words here
+    return letters
 
 
 BYTE_LETTERS = _byte_letters()
 
 
 def _is_lower_word(part: bytes) -> bool:
-    """Whether a part is one word of letters that normalising leaves as it is."""
+    """Whether a part, A-Z in lower case, is one word of letters that normalising leaves as it is."""
     if part.isascii():
-        return part.isalpha() and part.islower()
+        return part.isalpha()
     text = part.decode("utf-8", "replace")
     return text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text)
 
 
+def _ends_in_letter(part: bytes) -> bool:
+    return (part[-1:] if part[-1] < 128 else part[-4:]).decode("utf-8", "replace")[-1].isalpha()
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -56,12 +66,12 @@ class ChunkEncoder:
         # The same merges for words that need no normalising and are one pre-token.
         self._plain = Tokenizer(self._tokenizer.model)
         self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self._ends = {
-            i for token, i in self._tokenizer.get_vocab(False).items() if token.endswith("</w>")
-        }
+        self.vocabulary = self._tokenizer.get_vocab_size()
+        self._ends_word = np.zeros(self.vocabulary, dtype=bool)
+        for token, i in self._tokenizer.get_vocab(False).items():
+            self._ends_word[i] = token.endswith("</w>")
         self._chunks: dict[bytes, bytes] = {}
         self._parts: dict[bytes, bytes] = {}
-        self.vocabulary = self._tokenizer.get_vocab_size()
         (self._mark,) = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -69,20 +79,18 @@ class ChunkEncoder:
 
     def _learn_words(self, words: list[bytes]) -> None:
         """Lower-case words of letters: the last id of each is one that ends a word."""
-        letters = [word.decode("latin-1").translate(BYTE_LETTERS) for word in words]
         calls = range(0, len(words), _PER_CALL)
-        joint = [" ".join(letters[at : at + _PER_CALL]) for at in calls]
-        found = self._plain.encode_batch_fast(joint, add_special_tokens=False)
-        for at, one in zip(calls, found, strict=True):
-            start, word, ids = 0, at, array("I", one.ids)
-            for i, token in enumerate(ids, 1):
-                if token in self._ends:
-                    self._parts[words[word]] = ids[start:i].tobytes()
-                    start, word = i, word + 1
+        joint = [b" ".join(words[at : at + _PER_CALL]).decode("latin-1").translate(BYTE_LETTERS) for at in calls]
+        for at, one in zip(calls, self._plain.encode_batch_fast(joint, add_special_tokens=False), strict=True):
+            ids = np.array(one.ids, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            ends = (4 * np.flatnonzero(self._ends_word[ids]) + 4).tolist()
+            for word, end in zip(words[at : at + _PER_CALL], ends, strict=True):
+                self._parts[word] = raw[start:end]
+                start = end
 
     def _learn(self, parts: list[bytes]) -> None:
-        words = [part for part in parts if _is_lower_word(part)]
-        self._learn_words(words)
+        self._learn_words([part for part in parts if _is_lower_word(part)])
         parts = [part for part in parts if part not in self._parts]
         texts = [part.decode("utf-8", "replace") for part in parts]
         joint = [i for i, text in enumerate(texts) if _MARK not in text]
@@ -99,38 +107,48 @@ class ChunkEncoder:
                 self._parts[parts[i]] = array("I", ids[start:end]).tobytes()
                 start = end + 1
 
-    @staticmethod
-    def _divide(chunk: bytes) -> tuple[bytes, bytes]:
-        """A chunk in lower case, and apart from it the stops and commas after a letter."""
-        lower = chunk.lower()
-        word = lower.rstrip(b".,")
-        if word == lower or not word:
-            return lower, b""
-        last = word[-1:] if word[-1] < 128 else word[-4:]
-        return (word, lower[len(word) :]) if last.decode("utf-8", "replace")[-1].isalpha() else (lower, b"")
-
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of every text."""
-        chunks, parts = self._chunks, self._parts
-        unknown: set[bytes] = set()
+        encoded: list[bytes] = []
+        block, size = [], 0
         for text in texts:
-            if text:
-                unknown.update([chunk for chunk in set(text.split()) if chunk not in chunks])
+            block.append(text.lower() if text else b"")
+            size += len(block[-1])
+            if size >= _BLOCK:
+                encoded += self._encode_block(block)
+                block, size = [], 0
+        return encoded + self._encode_block(block)
+
+    def _encode_block(self, lower: list[bytes]) -> list[bytes]:
+        chunks, parts = self._chunks, self._parts
+        met: set[bytes] = set()
+        for text in lower:
+            met.update(text.split())
+        unknown = [chunk for chunk in met if chunk not in chunks]
         if len(chunks) + len(unknown) > MOST_KEPT:
+            # Chunks of this block stay: the frequent ones are among them.
+            stay = {chunk: chunks[chunk] for chunk in met if chunk in chunks}
             chunks.clear()
             parts.clear()
-            unknown = {chunk for text in texts if text for chunk in text.split()}
-        divided = {chunk: self._divide(chunk) for chunk in unknown}
-        needed = {part for two in divided.values() for part in two if part and part not in parts}
-        self._learn(list(needed))
+            chunks.update(stay)
+        # A stop or comma after a letter is a pre-token of its own, however it goes on.
+        divided = []
+        for chunk in unknown:
+            word = chunk.rstrip(b".,") if chunk[-1] in b".," else chunk
+            if word and len(word) < len(chunk) and _ends_in_letter(word):
+                divided.append((chunk, word, chunk[len(word) :]))
+            else:
+                divided.append((chunk, chunk, b""))
+        needed = {word for _, word, _ in divided} | {end for _, _, end in divided}
         parts[b""] = b""
-        for chunk, (word, end) in divided.items():
-            chunks[chunk] = parts[word] + parts[end]
-        encoded = [b"".join([chunks[chunk] for chunk in text.split()]) if text else b"" for text in texts]
-        for chunk, (word, _) in divided.items():
+        self._learn([part for part in needed if part not in parts])
+        for chunk, word, end in divided:
+            chunks[chunk] = parts[word] + parts[end] if end else parts[word]
+        encoded = [b"".join(map(chunks.__getitem__, text.split())) for text in lower]
+        for chunk in unknown:
             if len(chunk) > LONGEST_KEPT:
                 del chunks[chunk]
-                parts.pop(word, None)
+                parts.pop(chunk, None)
         return encoded
 
 
