@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import bpe, exact_dedup, language, line_rules, near_dedup, packing, records
+from cordwood.llm import bpe, exact_dedup, language, licenses, line_rules, near_dedup, packing, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,25 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write_records(table(spark, sf_dir, "documents"), WORD_TOKENIZER, folder, end_id=1)
     read = records.read_records(spark, folder, keep_ids=False)
     return read.select("doc_id", F.col("before").alias("start"), "n_tokens", "ids_crc32")
+
+
+@query
+def op9_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license detections of all documents."""
+    found = licenses.scan_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+    base, own = F.col("base.label"), F.col("detections.label")
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, own)).alias("labels"),
+        F.coalesce(F.array_max("detections.score"), F.lit(0.0)).alias("score"),
+        F.size("detections").cast("long").alias("n_detections"),
+    )
