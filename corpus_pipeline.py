@@ -1,20 +1,63 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences, stage by stage.
+
+Each stage works on all rows that the one before it kept. The first four return the columns
+that came in: what they reject is gone, what they change is changed. The last one returns
+the pieces of all remaining documents with their sequences and places.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cordwood.llm import packing
-from cordwood.llm.queries import WORD_TOKENIZER
+from cordwood.llm import exact_dedup, language, line_rules, near_dedup, packing
+from cordwood.llm.queries import WORD_TOKENIZER, is_held_out
 from cordwood.llm.shared import Scratch, table, with_package
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language isn't clear."""
+    with_package(spark)
+    model = language.fit(docs.where(~is_held_out()))
+    return language.identify(docs, docs.columns, model).where("accepted").select("row.*")
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes common lines from texts, and drops documents that fail the rules or are
+    depleted by that. ``n_chars`` follows a changed text."""
+    judged = line_rules.judge(docs, docs.columns).where("kept")
+    changed = F.col("n_common_lines") > 0
+    held = {name: F.col(f"row.`{name}`") for name in docs.columns}
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return judged.select(
+        *(F.when(changed, new[n]).otherwise(c).alias(n) if n in new else c.alias(n) for n, c in held.items())
+    )
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest ``doc_id`` stays."""
+    return exact_dedup.exact_groups(docs, docs.columns).where("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five words, 0.8) the row with the smallest ``doc_id`` stays."""
+    with_package(spark)
+    return near_dedup.near_duplicates(docs, docs.columns).where("stays").select("row.*")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of full sequences."""
+    """All documents as pieces of sequences of 2048 ids."""
+    with_package(spark)
     return packing.pack_documents(docs, WORD_TOKENIZER, capacity=2048, end_id=0)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("language ID", identify_language),
+    ("quality rules", apply_quality_rules),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("best-fit packing", pack),
+]
 
 #: SQL can express neither the compressor nor the tokenizer; tests hold the stages
 #: against brute-force versions.
