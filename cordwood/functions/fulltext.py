@@ -47,7 +47,8 @@ _TOKEN = "|".join(
 _HOST = r"\.\p{L}[^.]*$"
 # Only letters and hyphens: these are stemmed, the rest is kept as it is.
 _PLAIN_WORD = r"^[\p{L}-]+$"
-# Fixed limits in bytes: longer tokens are not indexed, longer words not stemmed.
+# Fixed limits in bytes, rules of the text search type that is matched: longer tokens are
+# not indexed and longer words not stemmed, in messages and in queries alike.
 _MAX_TOKEN = 2046
 _MAX_STEMMED = 1000
 

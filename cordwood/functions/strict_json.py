@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cordwood.session import require_settings
+
 _STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
 # Fields of the JSON object without any.
@@ -31,9 +33,28 @@ def text_of(value: str) -> str:
     return f"try_variant_get({value}, '$', 'string')"
 
 
+# An escape that is half of a surrogate pair whose other half is missing. The
+# backslashes before it are taken along in pairs, so that an escaped backslash
+# isn't read as the beginning of an escape.
+_HIGH, _LOW = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+_LONE = rf"(?<!\\)((?:\\\\)*+)(?:{_HIGH}(?!{_LOW})|(?<!{_HIGH}){_LOW})"
+
+
+def replace_lone_surrogates(text: str) -> str:
+    """SQL: half surrogate escapes of a JSON text as U+FFFD."""
+    return rf"if(contains(lower({text}), '\\ud'), regexp_replace({text}, r'{_LONE}', r'$1\\ufffd'), {text})"
+
+
+def without_lone_surrogates(text: str) -> str:
+    """SQL: the JSON text, or NULL if it has half a surrogate pair."""
+    return rf"if(contains(lower({text}), '\\ud') AND {text} RLIKE r'{_LONE}', NULL, {text})"
+
+
 def with_fields(df: DataFrame, name: str, text: str, null_fields: str = "NULL") -> DataFrame:
     """Add the fields of a text that is exactly one JSON object, else NULL.
 
+    Raises where the session doesn't let the last of repeated keys win.
+
     ``text`` is SQL. The fields come as ``map<string,variant>``; a repeated key
     keeps its last value. A JSON ``null`` gives ``null_fields``.
 
@@ -45,6 +66,7 @@ def with_fields(df: DataFrame, name: str, text: str, null_fields: str = "NULL")
 
     Text and parse are columns of their own, so each is computed once.
     """
+    require_settings(df.sparkSession)
     parsed = f"""from_json(concat('[', _json_text, ']'), 'array<map<string,variant>>', {_STRICT})"""
     fields = f"""CASE
  WHEN coalesce(size(_json_parsed), 0) <> 1 THEN NULL

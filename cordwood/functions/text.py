@@ -24,5 +24,10 @@ def lossy_utf8(data: str) -> str:
 
 
 def strip_carriage_return(line: str) -> str:
-    """Drop one trailing carriage return; the line feed is the reader's separator."""
-    return f"if(endswith({line}, '\\r'), left({line}, length({line}) - 1), {line})"
+    """Drop one trailing carriage return; the line feed is the reader's separator.
+
+    It is cut off as a byte: before the repair of broken UTF-8, a character may
+    seem to reach into it.
+    """
+    cut = f"cast(substring(cast({line} AS binary), 1, octet_length({line}) - 1) AS string)"
+    return f"if(endswith({line}, '\\r'), {cut}, {line})"

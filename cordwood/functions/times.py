@@ -27,10 +27,25 @@ def parse_rfc3339_lenient(text: Column) -> Column:
     return F.when(text.rlike(_LENIENT), canonical.try_cast("timestamp"))
 
 
+def utc_wall_clock(moment: str) -> str:
+    """SQL: the instant as UTC wall-clock time, whatever the zone of the session."""
+    seconds = f"cast(cast(unix_micros(cast({moment} AS timestamp)) AS decimal(20, 0)) / 1000000 AS decimal(18, 6))"
+    return f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})"
+
+
+def utc_day(moment: str) -> str:
+    """SQL: the UTC day of an instant, whatever the zone of the session."""
+    return f"date_add(date'1970-01-01', cast(floor(unix_micros(cast({moment} AS timestamp)) / 86400000000) AS int))"
+
+
 def format_rfc3339(moment: str) -> str:
-    """SQL: UTC text with the shortest fraction, such as ``2026-07-07T20:15:00.5Z``."""
-    digits = f"date_format({moment}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
-    return f"concat(regexp_replace({digits}, r'\\.?0+\\z', ''), 'Z')"
+    """SQL: UTC text with the shortest fraction, such as ``2026-07-07T20:15:00.5Z``.
+
+    Takes instants, and wall-clock times as UTC. Wall-clock times turn into text
+    without a look at the zone of the session.
+    """
+    wall_clock = f"if(typeof({moment}) = 'timestamp_ntz', cast({moment} AS string), cast({utc_wall_clock(moment)} AS string))"
+    return f"concat(replace({wall_clock}, ' ', 'T'), 'Z')"
 
 
 def as_utc(moment: dt.datetime) -> dt.datetime:

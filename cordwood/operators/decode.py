@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.functions.strict_json import NO_FIELDS, fields_of, kind, text_of, with_fields
+from cordwood.functions.strict_json import NO_FIELDS, fields_of, kind, replace_lone_surrogates, text_of, with_fields
 from cordwood.functions.times import parse_rfc3339
 from cordwood.schemas import EVENT_FIELDS
 
@@ -58,7 +58,7 @@ def decode_fields(opened: str) -> str:
 
 def decode_strict(records: DataFrame, value: str = "value") -> DataFrame:
     """Add ``event`` (struct) and ``decode_ok`` to records with a JSON payload."""
-    text = f"make_valid_utf8(cast(`{value}` AS string))"
+    text = replace_lone_surrogates(f"make_valid_utf8(cast(`{value}` AS string))")
     opened = with_fields(records, "_fields", text, NO_FIELDS)
     opened = opened.withColumn("_opened", F.expr(open_fields("_fields")))
     decoded = opened.withColumn("_decoded", F.expr(decode_fields("_opened")))

@@ -20,13 +20,3 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     )
     return picked.select(*[F.col(c) if c == key else F.col("_first")[c].alias(c) for c in df.columns])
-
-
-def merge_first_wins(
-    stored: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]
-) -> DataFrame:
-    """Stored rows, plus the first incoming row of every key not stored yet."""
-    fresh = first_per_key(incoming, key, order)
-    known = stored.select(key).distinct()
-    added = fresh.join(known, key, "left_anti").select(*stored.columns)
-    return stored.unionByName(added)

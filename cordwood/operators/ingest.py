@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.levels import strict_level
 from cordwood.functions.once import with_once
-from cordwood.functions.strict_json import NO_FIELDS, kind, with_fields
+from cordwood.functions.strict_json import NO_FIELDS, kind, replace_lone_surrogates, with_fields
 from cordwood.operators.decode import decode_fields, event_fields, open_fields
 from cordwood.operators.validate import event_json, violation
 from cordwood.schemas import EVENT_FIELDS, MAX_BATCH_EVENTS, MAX_BODY_BYTES
@@ -34,7 +34,7 @@ def judge_requests(
     events is accepted with a count of zero.
     """
     fits = f"octet_length(body) <= {max_body_bytes}"
-    opened = with_fields(requests, "_fields", f"if({fits}, body, NULL)", NO_FIELDS)
+    opened = with_fields(requests, "_fields", f"if({fits}, {replace_lone_surrogates('body')}, NULL)", NO_FIELDS)
     events = f"""CASE WHEN size(array_except(map_keys(_fields), array('events'))) = 0 THEN coalesce(
  try_variant_get(_fields.events, '$', 'array<variant>'),
  if({kind('_fields.events')} = 'VOID', cast(array() AS array<variant>), NULL)) END"""

@@ -8,47 +8,40 @@ from pyspark.sql import functions as F
 
 from cordwood.operators.firstwins import first_per_key
 from cordwood.schemas import EXPLORER_PAGE
-from cordwood.session import ensure_checkpoint_dir
 
 
 def page_numbers(df: DataFrame, page_size: int = EXPLORER_PAGE) -> DataFrame:
     """Add ``row_no`` and ``page_no`` (from 1) in page order, newest first.
 
-    A window over the whole table would put every row into one task. Here the
-    rows are range-partitioned and sorted once; a row's number is its place in
-    its partition plus the rows in the partitions before it. The sorted rows
-    are checkpointed because the counts and the numbers must see the same cut,
-    also when an executor is lost in between. The running total is over one row
-    per partition, and that is all that is broadcast.
+    A window over the whole table would put every row into one task. A row's
+    number is the rows of the hours after its own, plus those of the later
+    seconds of its hour, plus its place within its second. The first two come
+    from counts: one row per hour, and at most 3600 of each hour. Only the rows
+    of one second are sorted together. Nothing runs before the result is read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    place = F.monotonically_increasing_id()
-    cut = (
-        df.orderBy(F.desc("timestamp"), F.desc("id"))
-        .withColumn("_place", place)
-        .withColumn("_part", F.shiftrightunsigned("_place", 33))
-        .checkpoint()
+    second = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    placed = df.withColumn("_second", second).withColumn("_hour", F.expr("_second div 3600"))
+    seconds = placed.groupBy("_hour", "_second").agg(F.count(F.lit(1)).alias("_rows"))
+    hours = seconds.groupBy("_hour").agg(F.sum("_rows").alias("_in_hour"))
+    later_hours = F.sum("_in_hour").over(W.orderBy(F.desc("_hour"))) - F.col("_in_hour")
+    later_seconds = F.sum("_rows").over(W.partitionBy("_hour").orderBy(F.desc("_second"))) - F.col("_rows")
+    before = seconds.withColumn("_later", later_seconds).join(
+        hours.select("_hour", later_hours.alias("_newer")), "_hour"
     )
-    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = sizes.select(
-        "_part",
-        F.coalesce(
-            F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    index = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = cut.join(F.broadcast(before), "_part").withColumn(
-        "row_no", F.col("_before") + index + 1
-    )
-    page = F.floor((F.col("row_no") - 1) / page_size) + 1
-    return numbered.select(*df.columns, "row_no", page.cast("long").alias("page_no"))
+    before = before.select("_second", (F.col("_later") + F.col("_newer")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_second").orderBy(F.desc("timestamp"), F.desc("id")))
+    numbered = placed.withColumn("_place", place).join(before, "_second")
+    numbered = numbered.withColumn("row_no", F.col("_before") + F.col("_place"))
+    return numbered.select(*df.columns, "row_no", F.expr(f"(row_no - 1) div {page_size} + 1").alias("page_no"))
 
 
 def append_unique(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Current rows, then the incoming rows whose id is new; the first copy stays."""
-    # Pages run newest first, so among copies the newest comes first.
-    keyed = incoming.withColumn("_age", -F.unix_micros(F.col("timestamp").cast("timestamp")))
-    fresh = first_per_key(keyed, "id", ["_age"]).drop("_age")
-    known = current.select("id").distinct()
-    return current.unionByName(fresh.join(known, "id", "left_anti").select(*current.columns))
+    """Current rows, then the incoming rows whose id is new; the first copy in page order stays.
+
+    Pages run newest first. Copies of an id at the same time are ordered by
+    ``position`` where the incoming rows have it.
+    """
+    age = -F.unix_micros(F.col("timestamp").cast("timestamp"))
+    order = ["_age"] + [c for c in ("position",) if c in incoming.columns]
+    fresh = first_per_key(incoming.withColumn("_age", age), "id", order)
+    return current.unionByName(fresh.join(current.select("id"), "id", "left_anti").select(*current.columns))

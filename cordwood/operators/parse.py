@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.levels import lenient_level
 from cordwood.functions.once import with_once
-from cordwood.functions.strict_json import NO_FIELDS, kind, text_of, with_fields
+from cordwood.functions.strict_json import NO_FIELDS, kind, text_of, with_fields, without_lone_surrogates
 from cordwood.functions.text import is_blank, lossy_utf8, strip_carriage_return
 from cordwood.functions.times import parse_rfc3339_lenient
 from cordwood.schemas import EVENT_FIELDS, MAX_LINE_BYTES, SCHEMA_VERSION
@@ -70,7 +70,7 @@ def parse_prepared(
     extra = [c for c in prepared.columns if c not in used]
 
     lines = prepared.where(~F.col("oversized") & ~F.col("blank"))
-    opened = with_fields(lines, "_fields", f"if(format = '{JSON}', value, NULL)")
+    opened = with_fields(lines, "_fields", f"if(format = '{JSON}', {without_lone_surrogates('value')}, NULL)")
     kinds = ", ".join(f"{kind(f'_fields.`{key}`')} AS `{key}`" for key in _ALL_KEYS)
     opened = with_once(opened, "_opened", F.expr(f"struct(_fields, struct({kinds}) AS kinds)"))
 

@@ -5,7 +5,8 @@ Two Parquet folders make up a table:
 ``logs/``    the records, partitioned by ``event_date`` and sorted by time
              within each file;
 ``claims/``  one narrow row per stored id with the stream position that won
-             it, partitioned by a hash bucket of the id.
+             it, partitioned by a hash bucket of the id;
+``layout/``  the number of buckets, written with the first batch.
 
 A batch looks its ids up in the claims, which hold every id ever stored and
 nothing else, instead of in the records. One writer per table is assumed.
@@ -13,8 +14,9 @@ nothing else, instead of in the records. One writer per table is assumed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 
 from cordwood.functions.levels import strict_level
 from cordwood.operators.firstwins import first_per_key
+from cordwood.functions.times import utc_day
 from cordwood.schemas import POSITION, RECORD, RECORD_FIELDS
-from cordwood.session import ensure_checkpoint_dir
 
 CLAIM = T.StructType(
     [
@@ -38,19 +40,29 @@ CLAIM = T.StructType(
     ]
 )
 
+LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
+
+#: Buckets of a new table whose creator doesn't choose.
+DEFAULT_BUCKETS = 16
+
 
 @dataclass(frozen=True)
 class LogTable:
     """Location and layout of a stored log table.
 
-    ``buckets`` may not change once rows are stored. The ids of a batch are
+    The number of buckets is kept with the table. Leave it out to take what the
+    table has; a number that differs from it is an error. The ids of a batch are
     broadcast to the claims in groups of buckets of at most ``broadcast_bytes``.
     """
 
     path: str
-    buckets: int = 16
+    buckets: int | None = None
     broadcast_bytes: int = 64 * 1024 * 1024
 
+    @property
+    def layout_path(self) -> str:
+        return f"{self.path.rstrip('/')}/layout"
+
     @property
     def logs_path(self) -> str:
         return f"{self.path.rstrip('/')}/logs"
@@ -76,6 +88,21 @@ def read_logs(spark: SparkSession, table: LogTable | str) -> DataFrame:
     return _read(spark, RECORD, table.logs_path)
 
 
+def open_table(spark: SparkSession, table: LogTable | str, create: bool = False) -> LogTable:
+    """The table with its own number of buckets; ``create`` writes that of a new one."""
+    table = LogTable(table) if isinstance(table, str) else table
+    kept = _read(spark, LAYOUT, table.layout_path).first()
+    if kept is None:
+        table = replace(table, buckets=table.buckets or DEFAULT_BUCKETS)
+        if create:
+            row = spark.createDataFrame([(table.buckets,)], LAYOUT)
+            row.coalesce(1).write.mode("overwrite").parquet(table.layout_path)
+        return table
+    if table.buckets not in (None, kept["buckets"]):
+        raise ValueError(f"the table at {table.path} has {kept['buckets']} buckets, not {table.buckets}")
+    return replace(table, buckets=kept["buckets"])
+
+
 def to_records(
     events: DataFrame, received_at: Column | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -132,6 +159,17 @@ def _claims_of(ids: DataFrame, sizes: list[Row], table: LogTable) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def pending(winners: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
+    """The winners still to be stored, each with the claim on its id (``_claim``) if any.
+
+    ``seen`` has the ids already claimed and the position that won each
+    (``_claim``). An id claimed by another position is left out; a claim by the
+    winner's own position means that a replay may have to store it.
+    """
+    own = F.struct(*POSITION) == F.col("_claim")
+    return winners.join(seen, key, "left").where(F.col("_claim").isNull() | own)
+
+
 def insert_logs(
     events: DataFrame, table: LogTable | str, received_at: Column | None = None
 ) -> dict[str, int]:
@@ -143,10 +181,13 @@ def insert_logs(
     that made it into the table the first time are left out, so a replay
     completes a batch without repeating any of it.
     """
-    table = LogTable(table) if isinstance(table, str) else table
     spark = events.sparkSession
+    table = open_table(spark, table)
     winners = first_per_key(events, "id", POSITION).withColumn("bucket", _bucket(table))
     winners = winners.persist(StorageLevel.MEMORY_AND_DISK)
+    # Spark recomputes cached rows that read a folder once that folder is written to, so
+    # the result of the lookup is cut loose from the claims, under the table's own path.
+    lookup = f"{table.path.rstrip('/')}/_lookup/{uuid.uuid4().hex}"
     try:
         # One row per bucket, so at most table.buckets rows.
         sizes = (
@@ -160,40 +201,40 @@ def insert_logs(
         unique = sum(size["rows"] for size in sizes)
         if not unique:
             return {"unique": 0, "stored": 0}
-        seen = _claims_of(winners.select("bucket", "id"), sizes, table)
-        # Spark recomputes cached rows that read a folder once that folder is written
-        # to, so the result of the lookup is cut loose from the claims.
-        ensure_checkpoint_dir(spark)
-        seen = seen.groupBy("id").agg(F.min(F.struct(*POSITION)).alias("_claim")).checkpoint()
+        table = open_table(spark, table, create=True)
+        found = _claims_of(winners.select("bucket", "id"), sizes, table)
+        found.groupBy("id").agg(F.min(F.struct(*POSITION)).alias("_claim")).write.parquet(lookup)
+        seen = spark.read.parquet(lookup)
         small = sum(size["bytes"] for size in sizes) <= table.broadcast_bytes
-        claimed = winners.join(F.broadcast(seen) if small else seen, "id", "left")
-        own = F.struct(*POSITION) == F.col("_claim")
-        pending = claimed.where(F.col("_claim").isNull() | own).withColumn(
-            "event_date", F.to_date("timestamp")
-        )
-        pending = pending.persist(StorageLevel.MEMORY_AND_DISK)
+        fresh = pending(winners, F.broadcast(seen) if small else seen)
+        fresh = fresh.withColumn("event_date", F.expr(utc_day("timestamp")))
+        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return {"unique": unique, "stored": _store(pending, table, received_at)}
+            return {"unique": unique, "stored": _store(fresh, table, received_at)}
         finally:
-            pending.unpersist()
+            fresh.unpersist()
     finally:
         winners.unpersist()
+        _delete(spark, lookup)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _store(pending: DataFrame, table: LogTable, received_at: Column | None) -> int:
     replayed = F.col("_claim").isNotNull()
     facts = pending.agg(
-        F.count_if(~replayed).alias("fresh"),
-        F.count_if(replayed).alias("again"),
-        F.min(F.when(replayed, F.col("event_date"))).alias("low"),
-        F.max(F.when(replayed, F.col("event_date"))).alias("high"),
+        F.count_if(~replayed).alias("fresh"), F.count_if(replayed).alias("again")
     ).first()
     missing, lost = pending, 0
     if facts["again"]:
-        # Same position means same event, hence same day: only those days are read.
-        days = F.col("event_date").between(F.lit(facts["low"]), F.lit(facts["high"]))
-        present = read_logs(pending.sparkSession, table).where(days).select("event_date", "id")
-        missing = pending.join(present, ["event_date", "id"], "left_anti")
+        # Same position means same event, hence same day: only the days of replayed
+        # events are read, however far apart they are.
+        days = pending.where(replayed).select("event_date").distinct()
+        present = read_logs(pending.sparkSession, table).join(F.broadcast(days), "event_date", "left_semi")
+        missing = pending.join(present.select("event_date", "id"), ["event_date", "id"], "left_anti")
         lost = missing.where(replayed).count()
     if facts["fresh"]:
         fresh = pending.where(~replayed).select(*CLAIM.fieldNames())
@@ -201,7 +242,7 @@ def _store(pending: DataFrame, table: LogTable, received_at: Column | None) -> i
     if not facts["fresh"] + lost:
         return 0
     records = to_records(missing, received_at)
-    stored = records.withColumn("event_date", F.to_date("timestamp"))
+    stored = records.withColumn("event_date", F.expr(utc_day("timestamp")))
     _append(
         stored.select(*RECORD_FIELDS, "event_date"), table.logs_path, "event_date", ["timestamp", "id"]
     )

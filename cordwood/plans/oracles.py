@@ -37,7 +37,8 @@ def _payload(rule: str = "rule") -> str:
   || ',"id":"' || {_ID} || '","service":"' || {_SERVICE}
   || '","level":"' || CASE WHEN {rule} = 'level' THEN 'sideways' ELSE {_RAW_LEVEL} END
   || '","message":"' || CASE WHEN {rule} = 'blank' THEN ' '
-     ELSE {_MESSAGE} || CASE WHEN again = 1 THEN ' again' ELSE '' END END
+     ELSE {_MESSAGE} || CASE WHEN again = 1 THEN ' again' ELSE '' END
+      || CASE WHEN event_id % 37 = 0 THEN '\\ud800!' ELSE '' END END
   || '","timestamp":"' || CASE WHEN event_id % 6 = 1
      THEN strftime(ts - INTERVAL 4 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '-04:00'
      ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END
@@ -46,6 +47,8 @@ def _payload(rule: str = "rule") -> str:
   || CASE WHEN {rule} = 'trailing' THEN ' {{}}' ELSE '' END"""
 
 
+# Half a surrogate pair in a payload becomes the replacement character.
+_REPAIRED = "CASE WHEN event_id % 37 = 0 THEN chr(65533) || '!' ELSE '' END"
 _CODE = """CASE WHEN rule IN ('unknown', 'trailing') THEN 'malformed_event'
  WHEN rule = 'good' THEN 'valid' ELSE 'invalid_event' END"""
 _REASON = """CASE WHEN rule IN ('unknown', 'trailing') THEN 'record is not one valid LogEvent JSON object'
@@ -84,7 +87,7 @@ _INSERTED = f"""{_LOGS}, {_DELIVERIES},
 history AS (SELECT * FROM logs WHERE "timestamp" < TIMESTAMP '2024-01-11'),
 winners AS (
  SELECT CAST(1 AS SMALLINT) AS schema_version, {_ID} AS id, {_SERVICE} AS service, {_LEVEL} AS level,
-  {_MESSAGE} || CASE WHEN again = 1 THEN ' again' ELSE '' END AS message,
+  {_MESSAGE} || CASE WHEN again = 1 THEN ' again' ELSE '' END || {_REPAIRED} AS message,
   {_ATTRIBUTES} AS attributes, {_SOURCE} AS source, ts AS "timestamp",
   TIMESTAMP '2024-01-30 12:00:00' AS received_at
  FROM deliveries WHERE rule = 'good'
@@ -105,9 +108,11 @@ texts AS (
   || CASE WHEN event_id % 13 = 0 THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END
   || '"' || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}}' END END AS line
  FROM lines)"""
+# A cut-off character before a carriage return: one byte, then one replacement character.
 _TURNS = """turns AS (
  SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line,
-  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
+  conv_id % 5 = 0 AND turn % 2 = 1 AS broken
  FROM conversations)"""
 
 _FOUND = """SELECT schema_version, id, service, level, message, attributes, source, "timestamp", received_at"""
@@ -121,7 +126,7 @@ SQL: dict[str, str] = {
     "search_text": """SELECT 'doc-' || doc_id AS id, source AS service,
  TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS "timestamp"
 FROM documents
-WHERE lang = 'en' AND regexp_matches(lower(text), '\\blicens(e|ed|es|ing)\\b')
+WHERE regexp_matches(lower(text), '\\blicens(e|ed|es|ing)\\b')
  AND regexp_matches(lower(text), '\\bversions?\\b')""",
     "search_time_range": f"""WITH {_LOGS} {_FOUND} FROM logs
  WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00'""",
@@ -143,15 +148,14 @@ SELECT "timestamp", id, row_no, (row_no - 1) // 50 + 1 AS page_no FROM numbered"
     "append_unique": f"""WITH {_LOGS}
 SELECT id, level, message, "timestamp" FROM logs WHERE "timestamp" >= TIMESTAMP '2024-01-20'
 UNION ALL
-SELECT id, 'later' AS level, message, "timestamp" FROM logs
-WHERE "timestamp" >= TIMESTAMP '2024-01-15' AND "timestamp" < TIMESTAMP '2024-01-20'""",
+SELECT id, 'later' AS level, message, "timestamp" FROM logs WHERE "timestamp" < TIMESTAMP '2024-01-20'""",
     "services": f"WITH {_LOGS} SELECT DISTINCT service FROM logs ORDER BY service",
     "summary": f"WITH {_LOGS}, {_SUMMARY} SELECT * FROM summary",
     "parse_plain": f"""WITH {_TURNS}
 SELECT CAST(1 AS BIGINT) AS schema_version, conv_id || '-' || turn || '-' || line_no AS id,
- role AS service, 'info' AS level, line AS message, TIMESTAMP '2024-01-30 12:00:00' AS "timestamp",
+ role AS service, 'info' AS level, line || CASE WHEN broken THEN chr(65533) ELSE '' END AS message, TIMESTAMP '2024-01-30 12:00:00' AS "timestamp",
  '{{}}' AS attributes, '{{"agent":"agent-1","file":"' || role || '.log","host":"host-1"}}' AS source
-FROM turns WHERE trim(line) <> ''""",
+FROM turns WHERE broken OR trim(line) <> ''""",
     "parse_json_lines": f"""WITH {_LINES}
 SELECT CAST(1 AS BIGINT) AS schema_version, CAST(event_id AS VARCHAR) AS id, {_SERVICE} AS service,
  CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 THEN 'info' ELSE {_LEVEL} END AS level,
@@ -165,8 +169,8 @@ SELECT CAST(1 AS BIGINT) AS schema_version, CAST(event_id AS VARCHAR) AS id, {_S
  '{{"agent":"agent-1","file":"' || {_FILE} || '","host":"host-1"}}' AS source
 FROM texts WHERE event_id % 37 <> 0""",
     "line_quality": f"""WITH {_LINES}, {_TURNS}, every_line AS (
- SELECT line FROM texts UNION ALL SELECT line FROM turns),
-sized AS (SELECT strlen(line) > 120 AS big, trim(line) = '' AS blank FROM every_line)
+ SELECT line, 0 AS more FROM texts UNION ALL SELECT line, CAST(broken AS INTEGER) FROM turns),
+sized AS (SELECT strlen(line) + more > 120 AS big, more = 0 AND trim(line) = '' AS blank FROM every_line)
 SELECT count(*) AS lines_read, count(*) FILTER (big) AS oversized_lines_dropped,
  count(*) FILTER (big) AS logs_dropped, count(*) FILTER (NOT big AND blank) AS blank_lines,
  count(*) FILTER (NOT big AND NOT blank) AS events
@@ -231,16 +235,26 @@ FROM results""",
     "publish_rows": f"""WITH {_RESULTS}
 SELECT {_ID} AS key, '{{"schema_version":1,"id":"' || {_ID} || '","service":"' || {_SERVICE}
  || '","level":"' || {_LEVEL} || '","message":"' || {_MESSAGE}
- || CASE WHEN again = 1 THEN ' again' ELSE '' END || '","timestamp":"'
+ || CASE WHEN again = 1 THEN ' again' ELSE '' END || {_REPAIRED} || '","timestamp":"'
  || regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z","attributes":'
  || {_ATTRIBUTES} || ',"source":' || {_SOURCE} || '}}' AS value, ts AS "timestamp"
 FROM requested JOIN results USING (request_id) WHERE status = 'accepted' AND rule = 'good'""",
-    "record_contract": f"""SELECT {_ID} AS id, {_RAW_LEVEL} AS level FROM events
-WHERE event_type IN ('purchase', 'click')""",
-    "summary_contract": f"""WITH {_LOGS}, {_SUMMARY}
-SELECT logs_ingested_total >= 0 AS logs_ingested_total, logs_last_minute >= 0 AS logs_last_minute,
- errors_last_minute >= 0 AS errors_last_minute, active_services >= 0 AS active_services, true AS valid
-FROM summary""",
+    "record_contract": f"""SELECT event_id, {_RAW_LEVEL} AS level FROM events
+WHERE event_type IN ('purchase', 'click') OR event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0
+ OR event_id % 19 = 0 OR event_id % 23 = 0 OR event_id % 29 = 0 OR event_id % 31 = 0""",
+    "summary_contract": f"""WITH {_LOGS}, {_SUMMARY}, figures AS (
+ SELECT * FROM summary
+ UNION ALL SELECT logs_ingested_total, -1, errors_last_minute, NULL FROM summary
+ UNION ALL SELECT logs_ingested_total + 9007199254740992, logs_last_minute, errors_last_minute, active_services
+ FROM summary),
+checked AS (
+ SELECT coalesce(logs_ingested_total BETWEEN 0 AND 9007199254740991, false) AS logs_ingested_total,
+  coalesce(logs_last_minute BETWEEN 0 AND 9007199254740991, false) AS logs_last_minute,
+  coalesce(errors_last_minute BETWEEN 0 AND 9007199254740991, false) AS errors_last_minute,
+  coalesce(active_services BETWEEN 0 AND 9007199254740991, false) AS active_services
+ FROM figures)
+SELECT *, logs_ingested_total AND logs_last_minute AND errors_last_minute AND active_services AS valid
+FROM checked""",
     "constraint_violations": f"""WITH {_DELIVERIES}, per_id AS (
  SELECT {_ID} AS id, count(*) AS n, count(*) FILTER (rule = 'version') AS foreign_version
  FROM deliveries WHERE rule NOT IN ('unknown', 'trailing') GROUP BY event_id)

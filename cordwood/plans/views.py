@@ -28,14 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of a few small files; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 # SQL over the events table.
 _EVENT_ID = "concat('evt-', event_id)"
 _SERVICE = "concat('svc-', user_id % 7)"
@@ -67,10 +59,26 @@ def logs(spark: SparkSession, sf_dir: str, ties: bool = False, levels: str = "st
     return normalize(stored) if levels == "stored" else stored
 
 
+def untidy_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records with the levels as written, broken in turn by every rule for readers."""
+    n = F.col("event_id")
+    tidy = logs(spark, sf_dir, levels="raw").withColumn("event_id", F.expr("cast(substring(id, 5) AS bigint)"))
+    return tidy.withColumns(
+        {
+            "schema_version": F.when(n % 11 == 0, 2).otherwise(1).cast("short"),
+            "id": F.when(n % 13 == 0, "").otherwise(F.col("id")),
+            "service": F.when(n % 17 == 0, "").otherwise(F.col("service")),
+            "message": F.when(n % 19 != 0, F.col("message")),
+            "timestamp": F.when(n % 23 != 0, F.col("timestamp")),
+            "attributes": F.when(n % 29 == 0, F.parse_json(F.lit("[1]"))).otherwise(F.col("attributes")),
+            "source": F.when(n % 31 == 0, F.expr("map('file', cast(NULL AS string))")).otherwise(F.col("source")),
+        }
+    )
+
+
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as log messages."""
-    documents = spread(table(spark, sf_dir, "documents").where(F.col("lang") == "en"))
-    return documents.select(
+    """All documents as log messages."""
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc-"), "doc_id").alias("id"),
         F.col("source").alias("service"),
         F.lit("info").alias("level"),
@@ -83,7 +91,7 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth event is delivered a second time, later and with another message."""
-    events = spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
     return events.selectExpr(
         "*", "explode(if(event_id % 10 = 0, array(0, 1), array(0))) AS again"
     )
@@ -95,7 +103,8 @@ def _payload(rule: str) -> str:
  '{{"schema_version":', if({rule} = 'version', '2', '1'),
  ',"id":"', {_EVENT_ID}, '","service":"', {_SERVICE},
  '","level":"', if({rule} = 'level', 'sideways', {RAW_LEVEL}),
- '","message":"', if({rule} = 'blank', ' ', concat({_MESSAGE}, if(again = 1, ' again', ''))),
+ '","message":"', if({rule} = 'blank', ' ', concat({_MESSAGE}, if(again = 1, ' again', ''),
+  if(event_id % 37 = 0, '\\\\ud800!', ''))),
  '","timestamp":"', if(event_id % 6 = 1, concat({_iso('ts - interval 4 hours')}, '-04:00'),
   concat({_iso('ts')}, 'Z')),
  '","attributes":', props, ',"source":{{"agent":"fixture","file":"', {_FILE}, '"}}',
@@ -137,7 +146,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
  ',"', {name('message', 'msg')}, '":"', {_MESSAGE}, '","user_id":', user_id,
  ',"', {name('timestamp', 'time')}, '":"',
  if(event_id % 13 = 0, 'yesterday', concat({_iso('ts')}, 'Z')), '"')"""
-    return spread(table(spark, sf_dir, "events")).selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         f"""concat(CASE WHEN event_id % 37 = 0 THEN '   ' WHEN event_id % 11 = 0 THEN {body}
  ELSE concat({body}, '}}') END, if(event_id % 2 = 0, '\\r', '')) AS value""",
         f"{_SERVICE} AS service",
@@ -148,12 +157,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the conversations; odd turns end in a carriage return."""
-    turns = spread(table(spark, sf_dir, "conversations"))
+    """Lines of the conversations; odd turns end in a carriage return.
+
+    In every fifth conversation the first byte of a character, cut off, stands before it.
+    """
+    turns = table(spark, sf_dir, "conversations")
     split = turns.select(
         "conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    ending = F.when(F.col("turn") % 2 == 1, "\r").otherwise("")
+    broken = F.when(F.col("conv_id") % 5 == 0, F.expr("cast(X'E2' AS string)")).otherwise("")
+    ending = F.when(F.col("turn") % 2 == 1, F.concat(broken, F.lit("\r"))).otherwise("")
     return split.select(
         F.concat("line", ending).alias("value"),
         F.col("role").alias("service"),
@@ -203,7 +216,7 @@ def untidy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     moment = F.expr("timestamp'2024-01-01 00:00:00Z' + make_dt_interval(0, 0, doc_id, 0)")
     language = F.col("lang")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(n % 67 == 0, 2).otherwise(1).cast("long").alias("schema_version"),
         F.when(n % 41 == 0, " \t")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Run-time settings: timestamps are read and written as UTC, and a repeated
@@ -22,6 +20,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_settings(spark: SparkSession) -> None:
+    """Raise where a repeated JSON key would fail its document.
+
+    The time zone needs no check: nothing here depends on it.
+    """
+    name = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(name, "false").lower() != RUNTIME_CONF[name]:
+        raise ValueError(f"{name} must be true: call cordwood.session.configure(spark)")
+
+
 def local_session(cpus: int | str = 8, app: str = "cordwood", **extra: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (
@@ -36,12 +44,3 @@ def local_session(cpus: int | str = 8, app: str = "cordwood", **extra: str) -> S
     for key, value in {**RUNTIME_CONF, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the checkpoint folder of the session; make one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cordwood-checkpoint-"))

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cordwood.functions.once import with_once
+
 JSON = "json"
 PLAIN = "plain"
 
@@ -58,12 +60,15 @@ def _one_glob(paths: list[str]) -> str:
     return root + "{" + ",".join(path[len(root) :] for path in paths) + "}"
 
 
-def _by_source(file: Column, sources: list[LogSource], value) -> Column:
+def _source_of(file: Column, sources: list[LogSource]) -> Column:
+    """The first source whose path a file matches, as a struct; one pattern is tried for each."""
     chosen = None
     for source in sources:
+        found = F.struct(
+            F.lit(source.service).alias("service"), F.lit(source.path).alias("file"), F.lit(source.format).alias("format")
+        )
         test = file.rlike(_path_pattern(source.path))
-        choice = F.lit(value(source))
-        chosen = F.when(test, choice) if chosen is None else chosen.when(test, choice)
+        chosen = F.when(test, found) if chosen is None else chosen.when(test, found)
     return chosen
 
 
@@ -91,9 +96,5 @@ def read_lines(
         lines = spark.read.option("lineSep", "\n").text(paths)
     file = F.coalesce(F.try_url_decode(F.col("_metadata.file_path")), F.col("_metadata.file_path"))
     located = lines.select("value", F.regexp_replace(file, _SCHEME, "").alias("_file"))
-    return located.select(
-        "value",
-        _by_source(F.col("_file"), sources, lambda s: s.service).alias("service"),
-        _by_source(F.col("_file"), sources, lambda s: s.path).alias("file"),
-        _by_source(F.col("_file"), sources, lambda s: s.format).alias("format"),
-    )
+    located = with_once(located, "_source", _source_of(F.col("_file"), sources))
+    return located.select("value", "_source.service", "_source.file", "_source.format")

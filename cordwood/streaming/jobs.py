@@ -57,7 +57,7 @@ def kafka_rows(brokers: str, topic: str) -> RowSink:
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict[str, Any] | None) -> StreamingQuery:
-    trigger = trigger or {"processingTime": "2 seconds"}
+    trigger = trigger or {"processingTime": "1 minute"}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
