@@ -167,3 +167,47 @@ def op10_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = told.unionByName(spark.createDataFrame(more, "conv_id long, turn long, role string, text string"))
     formatted = chat.format_conversations(told, public_tokenizers.path("byte_bpe_50k.json"))
     return chat.read_back(formatted)
+
+
+# The same results in SQL, where it can express them.
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL["op5_block_naming"] = f"""WITH lowered AS (
+ SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+ doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM lowered WINDOW same AS (PARTITION BY text)"""
+
+SQL["op3_line_frequency"] = rf"""WITH texts AS (
+ SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+worded AS (
+ SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM texts),
+runs AS (
+ SELECT doc_id, i, words[i] || chr(1) || words[i + 1] || chr(1) || words[i + 2] AS run
+ FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM worded)),
+repeated AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+covered AS (
+ SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+ FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY doc_id),
+lines AS (
+ SELECT *, regexp_replace(regexp_replace(lower(trim(line, {_BLANKS})), '[\x20\x09-\x0D]{{2,}}', ' ', 'g'), '[0-9]+', '0', 'g') AS normal
+ FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM texts)
+ WHERE trim(line, {_BLANKS}) <> ''),
+hosts AS (SELECT host, count(DISTINCT text) AS documents FROM texts GROUP BY host),
+counted AS (SELECT host, normal, count(DISTINCT text) AS n FROM lines GROUP BY host, normal),
+common AS (SELECT host, normal FROM counted JOIN hosts USING (host) WHERE n > 20 AND n > documents * 0.1),
+removed AS (
+ SELECT doc_id, count(*) AS n_common_lines,
+  sum(len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS n_removed_words
+ FROM lines JOIN common USING (host, normal) GROUP BY doc_id),
+doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+figures AS (
+ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_common_lines, 0) AS n_common_lines, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+ FROM worded LEFT JOIN covered USING (doc_id) LEFT JOIN doubled USING (doc_id) LEFT JOIN removed USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND n_removed_words <= n_words * 0.5 AS kept FROM judged"""

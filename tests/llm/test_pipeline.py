@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from cordwood.llm import line_rules
-from cordwood.llm.queries import QUERIES
+from cordwood.llm.queries import QUERIES, SQL
 from cordwood.llm.shared import Scratch
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -74,3 +74,17 @@ def test_run(spark, tables):
     packed = corpus_pipeline.run(spark, tables)
     assert packed.count() > 0
     assert packed.where("offset + length > 2048").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_result_as_sql(spark, tables, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
+    expected = duck.sql(SQL[name])
+    found = QUERIES[name](spark, tables)
+    columns = sorted(found.columns)
+    assert columns == sorted(expected.columns)
+    rows = {tuple(r) for r in found.select(columns).collect()}
+    assert rows == set(expected.select(*columns).fetchall())
