@@ -35,7 +35,7 @@ _DELIVERIES = f"""deliveries AS (
 def _payload(rule: str = "rule") -> str:
     return f"""'{{"schema_version":' || CASE WHEN {rule} = 'version' THEN '2' ELSE '1' END
   || ',"id":"' || {_ID} || '","service":"' || {_SERVICE}
-  || '","level":"' || CASE WHEN {rule} = 'level' THEN 'sideways' ELSE {_RAW_LEVEL} END
+  || '","level":"' || CASE WHEN {rule} = 'level' THEN 'shouting' ELSE {_RAW_LEVEL} END
   || '","message":"' || CASE WHEN {rule} = 'blank' THEN ' '
      ELSE {_MESSAGE} || CASE WHEN again = 1 THEN ' again' ELSE '' END
       || CASE WHEN event_id % 37 = 0 THEN '\\ud800!' ELSE '' END END

@@ -102,7 +102,7 @@ def _payload(rule: str) -> str:
     return f"""concat(
  '{{"schema_version":', if({rule} = 'version', '2', '1'),
  ',"id":"', {_EVENT_ID}, '","service":"', {_SERVICE},
- '","level":"', if({rule} = 'level', 'sideways', {RAW_LEVEL}),
+ '","level":"', if({rule} = 'level', 'shouting', {RAW_LEVEL}),
  '","message":"', if({rule} = 'blank', ' ', concat({_MESSAGE}, if(again = 1, ' again', ''),
   if(event_id % 37 = 0, '\\\\ud800!', ''))),
  '","timestamp":"', if(event_id % 6 = 1, concat({_iso('ts - interval 4 hours')}, '-04:00'),
@@ -232,7 +232,7 @@ def untidy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(language == "en", "info")
         .when(language == "fr", " WARNING\t")
         .when(language == "de", "Fatal")
-        .otherwise("sideways")
+        .otherwise("shouting")
         .alias("level"),
         F.when(n % 71 == 0, "\n ").otherwise(F.col("text")).alias("message"),
         F.when(n % 53 != 0, moment).alias("timestamp"),

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cordwood.operators.decode import decode_strict
 from cordwood.operators.deadletter import dead_letter_rows, to_dead_letters
 from cordwood.operators.validate import classify, valid_events
 from tests.samples import NOON, event, raw_frame
@@ -14,8 +15,8 @@ GOOD = json.dumps(event())
 BIG = "x" * (256 * 1024)
 
 MALFORMED = {
-    "unknown field": event(api_key="do-not-copy"),
-    "not json": "not-json",
+    "unknown field": event(api_key="hunter2"),
+    "not json": "just words",
     "empty": "",
     "trailing value": GOOD + " {}",
     "closed early": GOOD + "],[" + GOOD,
@@ -32,11 +33,11 @@ MALFORMED = {
     "source value a number": event(source={"file": 1}),
     "version a string": event(schema_version="1"),
     "version a fraction": GOOD.replace('"schema_version": 1', '"schema_version": 1.0'),
-    "no such hour": event(timestamp="2026-07-07T25:00:00Z"),
+    "no such hour": event(timestamp="2031-03-07T25:00:00Z"),
     "no such day": event(timestamp="2026-02-30T00:00:00Z"),
-    "date only": event(timestamp="2026-07-07"),
-    "lower-case zone": event(timestamp="2026-07-07T20:15:00z"),
-    "line break after the time": event(timestamp="2026-07-07T20:15:00Z\n"),
+    "date only": event(timestamp="2031-03-07"),
+    "lower-case zone": event(timestamp="2031-03-07T20:15:00z"),
+    "line break after the time": event(timestamp="2031-03-07T20:15:00Z\n"),
     "other case": GOOD.replace('"id"', '"ID"'),
 }
 
@@ -47,7 +48,7 @@ INVALID = {
     "service is required": [event(service=...), event(service="")],
     "service exceeds 128 bytes": [event(service="s" * 129)],
     "message is required": [event(message=""), event(message="\n")],
-    "level is unsupported": [event(level="sideways"), event(level="")],
+    "level is unsupported": [event(level="shouting"), event(level="")],
     "timestamp is required": [event(timestamp=...), event(timestamp="0001-01-01T00:00:00Z")],
     "message exceeds 32768 bytes": [event(message="m" * 32769)],
     "attributes must be an object": [event(attributes=None), event(attributes=...)],
@@ -97,19 +98,19 @@ def test_first_broken_rule_is_named(spark):
 
 def test_valid_events(spark):
     payloads = [
-        event(level=" WARNING ", timestamp="2026-07-07T16:15:00.25-04:00"),
+        event(level=" WARNING ", timestamp="2031-03-07T16:15:00.25-04:00"),
         event(id="é" * 64, message="m" * 32768),
         event(source={"a": None, "b": "x"}),
         event(attributes={"list": [{"z": 1}]}, message=" padded "),
-        GOOD.replace('"message": "ok"', '"message": "old", "message": "new"'),
+        GOOD.replace('"message": "posted entry 12"', '"message": "old", "message": "new"'),
         event(attributes={"payload": "y" * 200_000}),
         b'{"schema_version":1,"id":"bad utf8","service":"s","level":"info","message":"a\xffb",'
-        b'"timestamp":"2026-07-07T20:15:00Z","attributes":{},"source":{}}',
+        b'"timestamp":"2031-03-07T20:15:00Z","attributes":{},"source":{}}',
         "  " + GOOD + "\n",
     ]
     assert failures(spark, payloads) == [None] * len(payloads)
     rows = {r.offset: r for r in valid_events(classify(raw_frame(spark, payloads))).collect()}
-    assert rows[0].level == "warn" and rows[0].timestamp.isoformat() == "2026-07-07T20:15:00.250000"
+    assert rows[0].level == "warn" and rows[0].timestamp.isoformat() == "2031-03-07T20:15:00.250000"
     assert rows[2].source == {"a": "", "b": "x"}
     assert rows[3].message == " padded "
     assert rows[4].message == "new"
@@ -121,7 +122,7 @@ def letters(spark, payloads, **where):
 
 
 def test_dead_letter_fingerprints(spark):
-    payload = b'{"api_key":"do-not-copy"}'
+    payload = b'{"api_key":"hunter2"}'
     (row,) = letters(spark, [payload]).collect()
     assert row.payload_sha256 == hashlib.sha256(payload).hexdigest()
     assert row.payload_bytes == len(payload)
@@ -129,18 +130,36 @@ def test_dead_letter_fingerprints(spark):
     assert row.id == "dlq-" + hashlib.sha256(b"logs.raw\x000\x000").hexdigest()
     (wire,) = dead_letter_rows(letters(spark, [payload])).collect()
     assert bytes(wire.key).decode() == row.id
-    assert b"do-not-copy" not in bytes(wire.value) and b"api_key" not in bytes(wire.value)
+    assert b"hunter2" not in bytes(wire.value) and b"api_key" not in bytes(wire.value)
     sent = json.loads(bytes(wire.value))
-    assert sent["failure"]["code"] == "malformed_event" and sent["failed_at"] == "2026-07-07T12:00:00Z"
+    assert sent["failure"]["code"] == "malformed_event" and sent["failed_at"] == "2031-03-07T12:00:00Z"
 
 
 def test_dead_letter_id_depends_on_the_position_only(spark):
-    first = letters(spark, ["not-json"]).first().id
-    assert letters(spark, [event(level="sideways")]).first().id == first
-    assert letters(spark, ["not-json"], partition=1).first().id != first
+    first = letters(spark, ["just words"]).first().id
+    assert letters(spark, [event(level="shouting")]).first().id == first
+    assert letters(spark, ["just words"], partition=1).first().id != first
 
 
 def test_empty_key_has_no_hash(spark):
     frame = raw_frame(spark, ["x"]).withColumn("key", F.lit(b""))
     (row,) = dead_letter_rows(to_dead_letters(classify(frame), F.lit(NOON))).collect()
     assert "key_sha256" not in json.loads(bytes(row.value))
+
+
+def test_half_a_surrogate_pair_is_replaced(spark):
+    texts = [r"x\ud800y", r"\udc01", r"\ud83d\ude00", r"\\ud800", r"\ud800\ud83d\ude00", r"\uD83Dz"]
+    payloads = [json.dumps(event(message="@")).replace("@", text) for text in texts]
+    rows = decode_strict(raw_frame(spark, payloads)).orderBy("offset").select("event.message", "decode_ok").collect()
+    assert all(r.decode_ok for r in rows)
+    assert [r.message for r in rows] == ["x\ufffdy", "\ufffd", "\U0001f600", r"\ud800", "\ufffd\U0001f600", "\ufffdz"]
+
+
+def test_settings_are_asked_for(spark):
+    name = "spark.sql.variant.allowDuplicateKeys"
+    spark.conf.set(name, "false")
+    try:
+        with pytest.raises(ValueError, match="configure"):
+            decode_strict(raw_frame(spark, [event()]))
+    finally:
+        spark.conf.set(name, "true")

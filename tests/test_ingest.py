@@ -27,7 +27,7 @@ def results(spark, *bodies, **limits):
 
 
 def test_guards_and_partial_acceptance(spark):
-    good, bad = event(), event(id="event-2", level="sideways")
+    good, bad = event(), event(id="m-301", level="shouting")
     assert results(
         spark,
         {"events": []},
@@ -80,7 +80,7 @@ def test_published_rows(spark):
             event(
                 id="b",
                 level="WARNING",
-                timestamp="2026-07-07T20:15:00.120-04:00",
+                timestamp="2031-03-07T20:15:00.120-04:00",
                 attributes={"z": 1, "a": {"k": [1, "x"]}},
                 source={"host": "h", "agent": "a"},
             ),
@@ -91,8 +91,8 @@ def test_published_rows(spark):
     (row,) = publish_events(accepted_events(frame)).collect()
     assert bytes(row.key) == b"b"
     assert bytes(row.value).decode() == (
-        '{"schema_version":1,"id":"b","service":"auth-service","level":"warn","message":"ok",'
-        '"timestamp":"2026-07-08T00:15:00.12Z","attributes":{"a":{"k":[1,"x"]},"z":1},'
+        '{"schema_version":1,"id":"b","service":"ledger","level":"warn","message":"posted entry 12",'
+        '"timestamp":"2031-03-08T00:15:00.12Z","attributes":{"a":{"k":[1,"x"]},"z":1},'
         '"source":{"agent":"a","host":"h"}}'
     )
     assert frame.agg(*ingest_counters()).first().asDict() == {

@@ -22,17 +22,17 @@ def parsed(spark, rows, fmt="json", **options):
 def test_json_line(spark):
     (row,) = parsed(
         spark,
-        ['{"level":"error","message":"failed login","user_id":"123","timestamp":"2026-07-07T20:15:00Z"}'],
+        ['{"shard":7,"severity":" Warning","msg":"disk 91% full","time":"2031-03-07T20:15:00Z","tags":["a"]}'],
     )
-    assert (row.level, row.message, row.schema_version) == ("error", "failed login", 1)
-    assert row.attributes == '{"user_id":"123"}'
+    assert (row.level, row.message, row.schema_version) == ("warn", "disk 91% full", 1)
+    assert row.attributes == '{"shard":7,"tags":["a"]}'
     assert row.id and row.source == {"file": "api.log", "host": "h", "agent": "a"}
-    assert row.timestamp == dt.datetime(2026, 7, 7, 20, 15)
+    assert row.timestamp == dt.datetime(2031, 3, 7, 20, 15)
 
 
 def test_plain_line_keeps_its_spaces(spark):
-    (row,) = parsed(spark, ["  payment retry  "], "plain")
-    assert (row.level, row.message, row.attributes) == ("info", "  payment retry  ", "{}")
+    (row,) = parsed(spark, ["\t cache warm;  3 keys "], "plain")
+    assert (row.level, row.message, row.attributes) == ("info", "\t cache warm;  3 keys ", "{}")
 
 
 def test_plain_format_never_reads_json(spark):
@@ -43,7 +43,7 @@ def test_plain_format_never_reads_json(spark):
 @pytest.mark.parametrize(
     "line",
     [
-        '{"message":"unterminated',
+        '{"msg":"half a li',
         '["message"]',
         "42",
         "null",
@@ -106,8 +106,8 @@ def test_lenient_levels(spark):
 
 
 def test_only_the_line_ending_is_stripped(spark):
-    rows = parsed(spark, ["  message  \r", "a\r\r", "\r", "   ", "  "], "plain")
-    assert [r.message for r in rows] == ["  message  ", "a\r"]
+    rows = parsed(spark, [" tail of x \r", "a\r\r", "\r", "   ", "  "], "plain")
+    assert [r.message for r in rows] == [" tail of x ", "a\r"]
 
 
 def test_broken_utf8_is_replaced(spark):
@@ -152,3 +152,16 @@ def test_read_lines_of_several_sources(spark, tmp_path):
     assert {r.file for r in rows} == {s.path for s in sources}
     with pytest.raises(ValueError):
         LogSource("x", "y", "xml")
+
+
+@pytest.mark.parametrize("start", [b"\xc3", b"\xe2", b"\xe2\x82", b"\xf0", b"\xf0\x9f\x98"])
+def test_a_cut_character_before_the_carriage_return(spark, start):
+    """Only the carriage return goes; what stands before it is repaired, not lost."""
+    rows = parsed(spark, [b"caf" + start + b"\r", start + b"\r", start, b"ok\r"], "plain")
+    assert [r.message for r in rows] == ["caf\ufffd", "\ufffd", "\ufffd", "ok"]
+
+
+def test_half_a_surrogate_pair_makes_a_line_plain(spark):
+    lines = [r'{"msg":"a\ud83d"}', r'{"msg":"a\udc00b"}', r'{"msg":"\ud83d\ude00"}', r'{"msg":"\\ud83d"}']
+    rows = parsed(spark, lines)
+    assert [r.message for r in rows] == [lines[0], lines[1], "\U0001f600", r"\ud83d"]

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from cordwood.functions.times import format_rfc3339
 from cordwood.operators import store
 from cordwood.operators.firstwins import first_per_key
 from cordwood.operators.quality import constraint_violations, contract_violations, summary_contract
@@ -30,9 +31,9 @@ def test_first_write_wins_within_and_across_batches(spark, table):
     later = deliveries(spark, [event(message="three"), event(id="c")], partition=1)
     assert insert_logs(later, table) == {"unique": 2, "stored": 1}
     rows = {r.id: r for r in read_logs(spark, table).collect()}
-    assert sorted(rows) == ["b", "c", "event-1"]
-    assert rows["event-1"].message == "one" and rows["b"].received_at is not None
-    assert rows["b"].event_date == dt.date(2026, 7, 7)
+    assert sorted(rows) == ["b", "c", "m-300"]
+    assert rows["m-300"].message == "one" and rows["b"].received_at is not None
+    assert rows["b"].event_date == dt.date(2031, 3, 7)
 
 
 def test_a_replay_changes_nothing(spark, table):
@@ -46,7 +47,7 @@ def test_a_replay_changes_nothing(spark, table):
 def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, monkeypatch, broadcast_bytes):
     table = LogTable(table.path, table.buckets, broadcast_bytes)
     insert_logs(deliveries(spark, [event(id="old")], partition=3), table)
-    batch = deliveries(spark, [event(), event(id="b", timestamp="2026-07-09T00:00:00Z"), event(id="old")])
+    batch = deliveries(spark, [event(), event(id="b", timestamp="2031-03-09T00:00:00Z"), event(id="old")])
     append = store._append
 
     def fail_on_logs(df, path, *rest):
@@ -60,7 +61,7 @@ def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, mon
     assert read_logs(spark, table).count() == 1
     monkeypatch.setattr(store, "_append", append)
     assert insert_logs(batch, table)["stored"] == 2
-    assert sorted(r.id for r in read_logs(spark, table).collect()) == ["b", "event-1", "old"]
+    assert sorted(r.id for r in read_logs(spark, table).collect()) == ["b", "m-300", "old"]
 
 
 @pytest.mark.parametrize("limit, joins, broadcasts", [(0, 4, 0), (200, 2, 2), (360, 1, 1)])
@@ -91,21 +92,21 @@ def test_a_hot_id_is_collapsed_before_the_shuffle(spark):
 
 
 def test_an_empty_batch_writes_nothing(spark, table):
-    assert insert_logs(deliveries(spark, ["not-json"]), table) == {"unique": 0, "stored": 0}
+    assert insert_logs(deliveries(spark, ["just words"]), table) == {"unique": 0, "stored": 0}
     assert read_logs(spark, table).count() == 0
 
 
 def test_filters_and_two_pages_over_the_table(spark, table):
-    times = [f"2026-07-07T20:15:0{n}Z" for n in range(3)]
+    times = [f"2031-03-07T20:15:0{n}Z" for n in range(3)]
     rows = [
         event(
             id=f"it-{n}",
             service="it",
             level="error",
-            message="integration idempotentmarker",
+            message="nightly rollup zanzibarmark",
             timestamp=times[n],
-            attributes={"test": True},
-            source={"test": "integration"},
+            attributes={"probe": True},
+            source={"origin": "suite"},
         )
         for n in range(3)
     ]
@@ -113,25 +114,25 @@ def test_filters_and_two_pages_over_the_table(spark, table):
     logs = read_logs(spark, table)
     from cordwood.functions.cursors import decode_cursor
 
-    params = dict(service="it", level="error", query="idempotentmarker", limit=2)
+    params = dict(service="it", level="error", query="zanzibarmark", limit=2)
     first, cursor = fetch_page(logs, SearchParams(**params))
     assert [r.id for r in first] == ["it-2", "it-1"] and cursor
-    assert first[0].attributes.toPython() == {"test": True}
+    assert first[0].attributes.toPython() == {"probe": True}
     second, cursor = fetch_page(logs, SearchParams(**params, cursor=decode_cursor(cursor)))
     assert [r.id for r in second] == ["it-0"] and cursor == ""
-    assert [r.service for r in services(logs).collect()] == ["auth-service", "it"]
-    counts = delivery_counts(logs, {"twice": "it-0", "other": "event-1", "none": "x"}).first()
+    assert [r.service for r in services(logs).collect()] == ["it", "ledger"]
+    counts = delivery_counts(logs, {"twice": "it-0", "other": "m-300", "none": "x"}).first()
     assert counts.asDict() == {"twice": 1, "other": 1, "none": 0}
 
 
 def test_a_time_range_prunes_days_and_row_groups(spark, table):
-    rows = [event(id=str(d), timestamp=f"2026-07-0{d}T00:00:00Z") for d in range(1, 8)]
+    rows = [event(id=str(d), timestamp=f"2031-03-0{d}T00:00:00Z") for d in range(1, 8)]
     insert_logs(deliveries(spark, rows), table)
     from cordwood.operators.search import matching
 
     found = matching(
         read_logs(spark, table),
-        SearchParams(start=dt.datetime(2026, 7, 3, tzinfo=UTC), end=dt.datetime(2026, 7, 4, tzinfo=UTC)),
+        SearchParams(start=dt.datetime(2031, 3, 3, tzinfo=UTC), end=dt.datetime(2031, 3, 4, tzinfo=UTC)),
     )
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     text = found._jdf.queryExecution().explainString(mode)
@@ -141,10 +142,10 @@ def test_a_time_range_prunes_days_and_row_groups(spark, table):
 
 
 def test_summary_counts(spark):
-    now = dt.datetime(2026, 7, 7, 12, tzinfo=UTC)
+    now = dt.datetime(2031, 3, 7, 12, tzinfo=UTC)
     rows = [("a", "error", 60), ("a", "fatal", 0), ("b", "error", 61), ("c", "info", -300), ("c", "warn", 59)]
     frame = spark.createDataFrame(rows, "service string, level string, age int").withColumn(
-        "received_at", F.expr("timestamp'2026-07-07 12:00:00' - make_dt_interval(0, 0, 0, age)")
+        "received_at", F.expr("timestamp'2031-03-07 12:00:00' - make_dt_interval(0, 0, 0, age)")
     )
     counts = summary(frame, now)
     assert counts.first().asDict() == {
@@ -183,3 +184,49 @@ def test_row_contract_and_constraints(spark, table):
     doubled = logs.unionByName(logs.where("id = 'b'").withColumn("schema_version", F.expr("2S")))
     found = sorted(tuple(r) for r in constraint_violations(doubled).collect())
     assert found == [("schema_version", "b", 1), ("unique_id", "b", 2)]
+
+
+def test_the_bucket_count_stays_with_the_table(spark, table):
+    batch = deliveries(spark, [event(id=f"n-{n}") for n in range(50)])
+    assert insert_logs(batch, table)["stored"] == 50
+    # Opened by its path, the table keeps its four buckets.
+    again = deliveries(spark, [event(id=f"n-{n}") for n in range(60)], partition=2)
+    assert insert_logs(again, table.path) == {"unique": 60, "stored": 10}
+    assert read_logs(spark, table.path).count() == 60
+    with pytest.raises(ValueError, match="has 4 buckets, not 8"):
+        insert_logs(again, LogTable(table.path, buckets=8))
+
+
+def test_inserts_leave_no_extra_folder(spark, table, tmp_path):
+    for n in range(3):
+        insert_logs(deliveries(spark, [event(id=f"n-{n}")], partition=n), table)
+    left = {path.name for path in (tmp_path / "table").iterdir()}
+    assert left <= {"logs", "claims", "layout", "_lookup"}
+    assert not list((tmp_path / "table").glob("_lookup/[!.]*"))
+
+
+def test_a_replay_reads_only_its_own_days(spark, table):
+    days = [f"20{year}-01-01T00:00:00Z" for year in range(10, 30)]
+    insert_logs(deliveries(spark, [event(id=day, timestamp=day) for day in days]), table)
+    batch = deliveries(spark, [event(id=days[0], timestamp=days[0]), event(id=days[-1], timestamp=days[-1])])
+    assert insert_logs(batch, table)["stored"] == 0
+    assert read_logs(spark, table).count() == 20
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu"])
+def test_the_zone_of_the_session_changes_nothing(spark, table, zone):
+    moments = ["2031-03-09T02:30:00Z", "2031-03-08T23:59:59.5Z", "1969-12-31T23:00:00Z", "2031-11-02T06:30:00Z"]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        insert_logs(deliveries(spark, [event(id=m, timestamp=m) for m in moments]), table)
+        logs = read_logs(spark, table)
+        days = {r.id: str(r.event_date) for r in logs.select("id", "event_date").collect()}
+        assert days == {m: m[:10] for m in moments}
+        for m in moments:
+            start = dt.datetime.fromisoformat(m)
+            rows, _ = fetch_page(logs, SearchParams(start=start, end=start), today=dt.date(2032, 1, 1))
+            assert [r.id for r in rows] == [m]
+        text = logs.select("id", F.expr(format_rfc3339("timestamp")).alias("text")).collect()
+        assert {r.id: r.text for r in text} == {m: m for m in moments}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
