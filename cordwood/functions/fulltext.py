@@ -35,10 +35,15 @@ _TOKEN = "|".join(
     (
         # mail address; tried once per run of its characters
         r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}][\p{L}\p{N}._+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+        # protocol: no term, but what follows is read as a host
+        r"(?<![\p{L}\p{N}])[A-Za-z][A-Za-z0-9+.-]*+://",
+        # host name with a port, a path or both
+        rf"{_HYPHENATED}(?:\.{_HYPHENATED})++(?::\p{{N}}++(?:/[^\s\x22\x27<>]*+)?|/[^\s\x22\x27<>]*+)",
+        # file path, with a slash in front or between names
+        r"(?<![\p{L}\p{N}/._~-])(?:~|\.{1,2})?(?:/[A-Za-z0-9_][A-Za-z0-9._-]*+)++/?+",
+        r"(?<![\p{L}\p{N}/._~-])[A-Za-z_][A-Za-z0-9._-]*+(?:/[A-Za-z0-9_][A-Za-z0-9._-]*+)++(?![\p{L}])",
         # number: signed, decimal, version
         r"(?<![\p{L}\p{N}])[+-]?\p{N}++(?:\.\p{N}++)*+(?![\p{L}\p{N}])",
-        # host name with a path
-        rf"{_HYPHENATED}(?:\.{_HYPHENATED})++/[^\s\x22\x27<>]*+",
         # word, hyphenated word or dotted name
         rf"{_HYPHENATED}(?:\.{_HYPHENATED})*+",
     )
@@ -47,6 +52,9 @@ _TOKEN = "|".join(
 _HOST = r"\.\p{L}[^.]*$"
 # Only letters and hyphens: these are stemmed, the rest is kept as it is.
 _PLAIN_WORD = r"^[\p{L}-]+$"
+# A token with a slash that begins with a host name; others are file paths.
+_WITH_HOST = rf"^{_HYPHENATED}(?:\.{_HYPHENATED})++(?::\p{{N}}++)?/"
+
 # Fixed limits in bytes, rules of the text search type that is matched: longer tokens are
 # not indexed and longer words not stemmed, in messages and in queries alike.
 _MAX_TOKEN = 2046
@@ -57,7 +65,9 @@ def tokens(lowered: str) -> str:
     """SQL for the tokens of a lower-case text; compounds also give their parts."""
     names = rf"""flatten(transform(regexp_extract_all({lowered}, r'{_TOKEN}', 0), t -> CASE
  WHEN contains(t, '@') THEN array(t)
- WHEN contains(t, '/') THEN array(t, regexp_extract(t, '^[^/]*', 0), regexp_extract(t, '/.*$', 0))
+ WHEN endswith(t, '://') THEN cast(array() AS array<string>)
+ WHEN contains(t, '/') AND t RLIKE r'{_WITH_HOST}' THEN array(t, regexp_extract(t, '^[^/]*', 0), regexp_extract(t, '/.*$', 0))
+ WHEN contains(t, '/') OR contains(t, ':') THEN array(t)
  WHEN contains(t, '.') AND NOT t RLIKE r'{_HOST}' AND t RLIKE r'\p{{L}}' THEN split(t, '[.]')
  ELSE array(t) END))"""
     parts = rf"""flatten(transform({names}, t -> IF(t RLIKE r'^[\p{{L}}\p{{N}}]+-[^.@/]*$',

@@ -35,6 +35,12 @@ def test_stems(spark):
     [
         ("The quick-brown foxes failed at login", {"quick-brown", "quick", "brown", "fox", "fail", "login"}),
         ("don't e-mail bob@example.com", {"e-mail", "e", "mail", "bob@example.com"}),
+        ("see https://docs.example.org/guide now", {"see", "docs.example.org/guide", "docs.example.org", "/guide"}),
+        ("ftp://x", {"x"}),
+        ("wrote /srv/mail/queue.db, not ~/tmp/x", {"wrote", "/srv/mail/queue.db", "~/tmp/x"}),
+        ("in src/main.rs line", {"src/main.rs", "line"}),
+        ("db.internal.net:5432 refused", {"db.internal.net:5432", "refus"}),
+        ("10.1.2.3:80/x", {"10.1.2.3:80/x", "10.1.2.3:80", "/x"}),
         ("www.example.com/a?b=1 v2 -5 3.14", {"www.example.com/a?b=1", "www.example.com", "/a?b=1", "v2", "-5", "3.14"}),
         ("a v1.2.3 end.Next state-of-1 x-1.y-2", {"v1", "2", "3", "end.next", "state-of-1", "state", "1", "x-1.y-2"}),
         ("user_id=42 ÉTATS", {"user", "id", "42", "état"}),
