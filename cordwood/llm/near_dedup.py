@@ -11,11 +11,16 @@ Only components are asked for, so pairs whose nodes are connected already need n
 1. each node of a bucket is compared with the bucket's first node; survivors are confirmed,
    the most similar partner of each node first, and connected;
 2. buckets that still hold several components are compared completely: their nodes are dealt
-   into blocks, and each pair of blocks is compared inside a task. Pairs within a component
-   are skipped; only survivors become rows. These are confirmed and connected too.
+   into blocks, and each pair of blocks is compared by signatures inside a task. Of the
+   survivors between components a task hands on a spanning forest, the most similar pairs
+   first: they are confirmed, and they gather the nodes into families, so that every survivor
+   lies within one family;
+3. families that still hold several components are compared completely, signatures first
+   and then full shingle sets, again by blocks inside tasks. Each task hands on a spanning
+   forest of the links that it has confirmed.
 
-So no pair of a bucket is left out and no bucket is capped, while a large group of near
-copies costs about one comparison per node and band. Nothing of this is collected.
+So no pair of a bucket is left out and no bucket is capped, while the rows that are passed
+on grow with the nodes and not with their pairs. Nothing of this is collected.
 
 Documents without words are linked with nothing; their component is their own ``doc_id``.
 A null text counts as empty. A null ``doc_id`` is never the least of a component unless
@@ -33,18 +38,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cordwood.llm.components import components
+from cordwood.llm.components import connect, rooted
 from cordwood.llm.shared import Scratch, as_bytes
 from cordwood.llm.shingles import shingle_hashes, shingle_set, signature
 
 #: So many keys of texts to fetch are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Nodes of a bucket that are compared as one block.
-BLOCK = 512
+#: Nodes and bytes that are compared as one block, about.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -160,24 +165,15 @@ class _Linker:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, settings: Settings, scratch: Scratch):
         self.docs, self.nodes, self.settings, self.scratch = docs, nodes, settings, scratch
-        self.links: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
-    def rooted(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        """Adds the component of the node in ``column``."""
-        if self.roots is None:
-            return rows.withColumn(name, F.col(column))
-        side = self.roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
-        return rows.join(side, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
-
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose nodes are not connected yet."""
-        both = self.rooted(self.rooted(pairs, "a", "_one"), "b", "_two")
+        both = rooted(rooted(pairs, self.roots, "a", "_one"), self.roots, "b", "_two")
         return both.where("_one <> _two").drop("_one", "_two")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in the pairs, from one document of each."""
-        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def texts(self, used: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in ``used``, from one document of each."""
         keys = self.nodes.join(used, "node", "left_semi").select("node", "one.doc_id", "one.key1", "one.key2")
         keys = self.scratch.write(keys, "keys")
         side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
@@ -220,20 +216,13 @@ class _Linker:
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         linked = pairs.select("a", "b").join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
-        linked = self.scratch.write(linked, "links")
-        if linked.isEmpty():
-            return
-        # Components so far stand for their links.
-        edges = linked
-        if self.roots is not None:
-            edges = edges.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.roots = components(self.scratch, edges)
+        self.roots = connect(self.scratch, self.scratch.write(linked, "links"), self.roots)
 
     def take(self, survivors: DataFrame) -> None:
         """Confirms survivors: the most similar partner of each node, then all still apart."""
         if survivors.isEmpty():
             return
-        texts = self.texts(survivors)
+        texts = self.texts(_nodes_of(survivors))
         best = Window.partitionBy("b").orderBy(F.desc("equal"), "a")
         ranked = self.scratch.write(survivors.withColumn("_n", F.row_number().over(best)), "ranked")
         self.confirm(ranked.where("_n = 1"), texts)
@@ -243,56 +232,164 @@ class _Linker:
         self.scratch.drop(texts, ranked, rest)
 
 
-def _mixed(linker: _Linker, banded: DataFrame, nodes: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
-    """Survivors among all pairs of buckets that hold several components."""
-    members = scratch.write(linker.rooted(banded, "node", "root"), "members")
-    kinds = members.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+class _Forest:
+    """Which nodes of two blocks are connected; kept as long as the blocks are compared."""
+
+    def __init__(self) -> None:
+        self._parent: dict[int, int] = {}
+
+    def find(self, node: int) -> int:
+        while (above := self._parent.get(node, node)) != node:
+            self._parent[node] = node = self._parent.get(above, above)
+        return node
+
+    def join(self, one: int, two: int) -> bool:
+        """Whether the two were apart."""
+        one, two = self.find(one), self.find(two)
+        self._parent[max(one, two)] = min(one, two)
+        return one != two
+
+
+@dataclass
+class _Side:
+    """The nodes of a block."""
+
+    node: np.ndarray
+    root: np.ndarray
+    signature: np.ndarray
+    text: list[bytes | None] | None
+
+    @classmethod
+    def of(cls, block: pa.Scalar, count: int) -> _Side:
+        fields = block.values
+        names = [field.name for field in fields.type]
+        node, root = (fields.field(n).to_numpy() for n in ("node", "root"))
+        text = as_bytes(fields.field("text")) if "text" in names else None
+        return cls(node, root, _matrix(fields.field("signature"), count), text)
+
+
+def _cross_survivors(left: _Side, right: _Side, same: bool, settings: Settings) -> Iterator[tuple[int, int, int]]:
+    """Places and equal values of the pairs between components that survive, best first."""
+    found = []
+    for i in range(len(left.node)):
+        on = np.flatnonzero(right.root != left.root[i])
+        if same:
+            on = on[on > i]
+        if len(on):
+            one = np.broadcast_to(left.signature[i], (len(on), settings.count))
+            alive, equal = surviving(one, right.signature[on], settings)
+            if len(alive):
+                found.append(np.stack([np.full(len(alive), i), on[alive], equal]))
+    if found:
+        pairs = np.concatenate(found, axis=1)
+        yield from pairs[:, np.argsort(-pairs[2], kind="stable")].T.tolist()
+
+
+def _blocks(members: DataFrame, group: str, carried: list[str], size: Column) -> DataFrame:
+    """The pairs of blocks of every group that holds several components.
+
+    ``members`` have ``node`` and ``root``. A group is dealt into blocks of about BLOCK nodes
+    and BLOCK_BYTES bytes.
+    """
+    kinds = members.groupBy(group).agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")
     )
-    kinds = scratch.write(kinds.where("low <> high").select("bucket", "n"), "kinds")
-    block = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))
-    several = members.join(kinds, "bucket").withColumn("block", block)
-    several = several.join(nodes.select("node", "signature"), "node")
-    # Blocks are of about BLOCK nodes, whatever the bucket.
-    blocks = several.groupBy("bucket", "block", "n").agg(
-        F.collect_list(F.struct("node", "root", "signature")).alias("nodes"),
+    kinds = kinds.where("low <> high").select(group, F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("parts"))
+    dealt = members.join(kinds, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return dealt.groupBy(group, "block").agg(
+        F.collect_list(F.struct("node", "root", *carried)).alias("nodes"),
         F.min("root").alias("low"),
         F.max("root").alias("high"),
     )
-    blocks = scratch.write(blocks, "blocks")
-    one = blocks.select("bucket", "block", F.col("nodes").alias("left"), F.col("low").alias("low1"), F.col("high").alias("high1"))
-    two = blocks.select("bucket", F.col("block").alias("other"), F.col("nodes").alias("right"), "low", "high")
-    pairs = one.join(two, "bucket").where("block <= other AND NOT (low1 = high1 AND low = high AND low1 = low)")
+
+
+def _block_pairs(blocks: DataFrame, group: str) -> DataFrame:
+    """``left``, ``right`` and whether they are the same block; blocks of one and the same
+    component are left out."""
+    one = blocks.select(group, "block", F.col("nodes").alias("left"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    two = blocks.select(group, F.col("block").alias("other"), F.col("nodes").alias("right"), "low", "high")
+    pairs = one.join(two, group).where("block <= other AND NOT (low1 = high1 AND low = high AND low1 = low)")
+    return pairs.select("left", "right", (F.col("block") == F.col("other")).alias("same"))
+
+
+def _compare(pairs: DataFrame, settings: Settings, confirm: bool) -> DataFrame:
+    """A spanning forest of the survivors of each pair of blocks, or of the links among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right, same in zip(
-                batch.column("left"), batch.column("right"), batch.column("same").to_pylist(), strict=True
-            ):
-                sides = []
-                for side in (left.values, right.values):
-                    node, root = (side.field(n).to_numpy() for n in ("node", "root"))
-                    sides.append((node, root, _matrix(side.field("signature"), settings.count)))
-                (node_a, root_a, sign_a), (node_b, root_b, sign_b) = sides
-                for i in range(len(node_a)):
-                    on = np.flatnonzero(root_b != root_a[i])
-                    if same:
-                        on = on[node_b[on] > node_a[i]]
-                    if not len(on):
-                        continue
-                    alive, equal = surviving(np.broadcast_to(sign_a[i], (len(on), settings.count)), sign_b[on], settings)
-                    other = node_b[on][alive]
-                    a = np.minimum(other, node_a[i])
-                    b = np.maximum(other, node_a[i])
-                    arrays = [pa.array(a), pa.array(b), pa.array(equal, pa.int32())]
-                    if len(alive):
-                        yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "equal"])
-
-    dealt = pairs.select("left", "right", (F.col("block") == F.col("other")).alias("same"))
-    found = dealt.mapInArrow(run, "a long, b long, equal int").distinct()
-    found = scratch.write(found, "survivors")
-    scratch.drop(members, kinds, blocks)
-    return found
+            columns = batch.column("left"), batch.column("right"), batch.column("same").to_pylist()
+            for left, right, same in zip(*columns, strict=True):
+                sides = [_Side.of(left, settings.count)]
+                sides.append(sides[0] if same else _Side.of(right, settings.count))
+                yield batch_of(list(joined(*sides, same)))
+
+    def joined(left: _Side, right: _Side, same: bool) -> Iterator[tuple[int, int]]:
+        forest = _Forest()
+        hashes: dict[tuple[bool, int], np.ndarray] = {}
+
+        def hashed(is_left: bool, i: int) -> np.ndarray:
+            key = (is_left or same, i)
+            if key not in hashes:
+                hashes[key] = shingle_hashes((left if is_left else right).text[i], settings.width)
+            return hashes[key]
+
+        def is_link(i: int, j: int) -> bool:
+            one, two = hashed(True, i), hashed(False, j)
+            if 100 * min(len(one), len(two)) < settings.percent * max(len(one), len(two)):
+                return False
+            common = len(one) + len(two) - len(np.union1d(one, two))
+            if 100 * common < settings.percent * (len(one) + len(two) - common):
+                return False
+            sets = shingle_set(left.text[i], settings.width), shingle_set(right.text[j], settings.width)
+            common = len(sets[0] & sets[1])
+            return 100 * common >= settings.percent * (len(sets[0]) + len(sets[1]) - common)
+
+        # Components are connected already; survivors of one family join them further.
+        for i, j, _ in _cross_survivors(left, right, same, settings):
+            one, two = int(left.root[i]), int(right.root[j])
+            if not confirm:
+                if forest.join(int(left.node[i]), int(right.node[j])):
+                    yield int(left.node[i]), int(right.node[j])
+            elif forest.find(one) != forest.find(two) and is_link(i, j):
+                forest.join(one, two)
+                yield int(left.node[i]), int(right.node[j])
+
+    def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*rows, strict=True) if rows else ((), ())
+        arrays = [pa.array([min(p) for p in zip(a, b, strict=True)], pa.int64()), pa.array([max(p) for p in zip(a, b, strict=True)], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def _complete(linker: _Linker, banded: DataFrame) -> None:
+    """Compares completely what shares a bucket and isn't connected yet."""
+    scratch, settings, nodes = linker.scratch, linker.settings, linker.nodes
+    signatures = nodes.select("node", "signature")
+    members = scratch.write(rooted(banded, linker.roots, "node", "root"), "members")
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = scratch.write(mixed.where("low <> high").select("bucket"), "mixed")
+    members = members.join(mixed, "bucket", "left_semi").join(signatures, "node")
+    blocks = scratch.write(_blocks(members, "bucket", ["signature"], F.lit(4 * settings.count)), "blocks")
+    forest = scratch.write(_compare(_block_pairs(blocks, "bucket"), settings, confirm=False), "forest")
+    if forest.isEmpty():
+        return
+    texts = linker.texts(_nodes_of(forest))
+    linker.confirm(forest, texts)
+    families = connect(scratch, forest)
+    members = rooted(_nodes_of(forest), families, "node", "family")
+    members = scratch.write(rooted(members, linker.roots, "node", "root"), "family-members")
+    mixed = members.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    members = members.join(mixed.where("low <> high").select("family"), "family", "left_semi")
+    members = members.join(signatures, "node").join(texts, "node")
+    size = F.octet_length("text") + 4 * settings.count
+    blocks = scratch.write(_blocks(members, "family", ["signature", "text"], size), "family-blocks")
+    links = scratch.write(_compare(_block_pairs(blocks, "family"), settings, confirm=True), "links")
+    linker.roots = connect(scratch, links, linker.roots)
 
 
 def near_duplicates(docs: DataFrame, carry: list[str], settings: Settings | None = None) -> DataFrame:
@@ -322,12 +419,12 @@ def near_duplicates(docs: DataFrame, carry: list[str], settings: Settings | None
     linker = _Linker(docs, nodes, settings, scratch)
     stars = scratch.write(_survivors(stars, nodes, settings), "survivors")
     linker.take(stars)
-    linker.take(linker.apart(_mixed(linker, shared.select("bucket", "node"), nodes, settings, scratch)))
+    _complete(linker, shared.select("bucket", "node"))
     scratch.drop(firsts, shared, stars)
 
-    rooted = linker.rooted(nodes.select("set1", "set2", "node", "least_doc"), "node", "root")
-    least = scratch.write(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "least")
-    labels = rooted.join(least, "root").select("set1", "set2", "root", "component_id")
+    with_roots = rooted(nodes.select("set1", "set2", "node", "least_doc"), linker.roots, "node", "root")
+    least = scratch.write(with_roots.groupBy("root").agg(F.min("least_doc").alias("component_id")), "least")
+    labels = with_roots.join(least, "root").select("set1", "set2", "root", "component_id")
     labels = scratch.write(labels.withColumn("linked", F.lit(True)), "labels")
     told = signed.drop("signature", "key1", "key2").join(
         labels, (signed["set1"] == labels["set1"]) & (signed["set2"] == labels["set2"]) & (signed["n_shingles"] > 0), "left"

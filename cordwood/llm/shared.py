@@ -80,19 +80,6 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def fresh_name(df: DataFrame, *stems: str) -> list[str]:
-    """Column names that ``df`` does not have yet, whatever its own are called."""
-    taken = {c.lower() for c in df.columns}
-    names = []
-    for stem in stems:
-        name = stem
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        names.append(name)
-    return names
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A text column as UTF-8 bytes; nulls stay null."""
     return pc.cast(column, pa.large_binary()).to_pylist()
