@@ -34,9 +34,11 @@ from cordwood.llm.shared import as_bytes
 #: Words and chunks longer than this many bytes are encoded each time and not kept.
 LONGEST_KEPT = 48
 #: Beyond so many entries a worker's tables keep only those of the texts at hand.
-MOST_KEPT = 500_000
+MOST_KEPT = 300_000
 #: Bytes of text whose new words are replayed together.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
+#: Rows that a task takes out of an Arrow batch at a time.
+ROWS = 1_000
 
 #: White space other than blanks and line ends.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -57,7 +59,7 @@ class MergeReplay:
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
         self._size = size
-        self._byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self._byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # Every split of a token into two tokens is a pair that merges to it.
         keys, merged = [], []
         for token, rank in ranks.items():
@@ -77,7 +79,7 @@ class MergeReplay:
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank at which two tokens merge; -1 if they don't."""
-        key = left * self._size + right
+        key = left.astype(np.int64) * self._size + right
         at = np.searchsorted(self._pair_keys, key)
         return np.where(self._pair_keys[at] == key, self._pair_ranks[at], -1)
 
@@ -121,10 +123,10 @@ class MergeReplay:
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         tokens = self._byte_ids[np.frombuffer(b"".join(words[i] for i in rest), dtype=np.uint8)]
-        word_of = np.repeat(np.arange(len(rest)), sizes)
-        after = np.arange(1, n + 1)
+        word_of = np.repeat(np.arange(len(rest), dtype=np.int32), sizes)
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[ends - 1] = n  # n: no neighbour
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[ends - sizes] = -1
         alone = np.zeros(len(rest), dtype=bool)  # words taken out
         index: dict[int, list[np.ndarray]] = {}
@@ -196,7 +198,6 @@ class BytePairs:
     def __init__(self, path: str, pattern: str):
         self._replay = MergeReplay.from_file(path)
         self._pattern = regex.compile(pattern)
-        self._decimals = [str(i) for i in range(len(self._replay.token_bytes))]
         self._chunks: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
@@ -256,9 +257,19 @@ class BytePairs:
                 del chunks[chunk]
         return encoded
 
+
+class Decoder:
+    """Texts from ids. It needs the tokens alone, not the merges."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            tokens = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+        self._tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self._decimals = [str(i) for i in range(len(self._tokens))]
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of a text from its ids."""
-        return b"".join(map(self._replay.token_bytes.__getitem__, memoryview(ids).cast("I")))
+        return b"".join(map(self._tokens.__getitem__, memoryview(ids).cast("I")))
 
     def decimals(self, ids: bytes) -> str:
         """Ids as decimals joined by commas."""
@@ -271,6 +282,19 @@ def byte_pairs(path: str, pattern: str) -> BytePairs:
     return BytePairs(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """The worker's decoder for a rank file."""
+    return Decoder(path)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_documents(docs: DataFrame, carry: list[str], path: str, pattern: str) -> DataFrame:
     """One row per document: ``row`` (a struct of the ``carry`` columns), ``n_tokens`` and
     ``ids`` as little-endian unsigned 32-bit integers."""
@@ -280,7 +304,7 @@ def encode_documents(docs: DataFrame, carry: list[str], path: str, pattern: str)
     schema = T.StructType([narrow.schema["row"]]).add("n_tokens", T.LongType()).add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids = byte_pairs(path, pattern).encode(as_bytes(batch.column("text")))
             sizes = pa.array([len(own) // 4 for own in ids], pa.int64())
             columns = [batch.column("row"), sizes, pa.array(ids, pa.binary())]
@@ -289,14 +313,14 @@ def encode_documents(docs: DataFrame, carry: list[str], path: str, pattern: str)
     return narrow.mapInArrow(run, schema)
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Adds to encoded documents the bytes of their text (``decoded``) and their ids as
     decimals joined by commas (``ids_text``)."""
     schema = T.StructType(list(encoded.schema)).add("decoded", T.BinaryType()).add("ids_text", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = byte_pairs(path, pattern)
+        for batch in _slices(batches):
+            pairs = decoder(path)
             ids = as_bytes(batch.column("ids"))
             decoded = pa.array([pairs.decode(own) for own in ids], pa.binary())
             texts = pa.array([pairs.decimals(own) for own in ids], pa.string())

@@ -87,7 +87,7 @@ def op4_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level BPE ids, and back."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ["doc_id"], ranks, pattern)
-    decoded = bpe.decode_documents(encoded, ranks, pattern)
+    decoded = bpe.decode_documents(encoded, ranks)
     return decoded.select(
         "row.doc_id",
         "n_tokens",
