@@ -7,9 +7,10 @@ above the limit of its host is removed. A document that loses more than the allo
 of its words is rejected, as is one that fails the base rules.
 
 Everything is DataFrame operations. Counting starts with the distinct (host, line, text) of
-each task. Lines above the limit are few per host by the limit itself: no more than the
-lines of an average document divided by the least share. They come back as one list per
-host, so no document is taken apart and joined together again.
+each task. Lines above the share are few per host by the share itself: no more than the
+lines of an average document divided by it. They come back as one list per host. Lines that
+are common by their number of texts alone may be many: they come back as one list per text,
+no longer than the text, joined by host and text.
 
 A null text has no words and fails the base rules. Null hosts are one host. Rows that
 repeat are judged alike. An empty table gives an empty result.
@@ -34,13 +35,15 @@ SYMBOLS = r"[^#*$%&|<>]+"
 @dataclass(frozen=True)
 class Limits:
     """A line is common when more than ``least_documents`` distinct texts of its host hold
-    it, and more than ``share`` of them. A document is depleted when more than
+    it, and more than ``share`` of them; also, at any share, when more than
+    ``enough_documents`` hold it, if that is given. A document is depleted when more than
     ``most_removed`` of its words stand in common lines."""
 
     least_documents: int = 20
     share: float = 0.1
     most_removed: float = 0.5
     broadcast_hashes: int = 1_000_000
+    enough_documents: int | None = None
 
 
 def _trimmed(text: Column) -> Column:
@@ -59,19 +62,40 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda line: F.when(_trimmed(line) != "", F.xxhash64(normal_line(line))))
 
 
-def common_lines(docs: DataFrame, limits: Limits) -> DataFrame:
-    """(host, lines): the hashes of the lines above the limit, for hosts that have any.
+def text_lines(docs: DataFrame) -> DataFrame:
+    """(host, text_hash, line): the distinct line hashes of the distinct texts.
 
     ``docs`` has ``host`` and ``text``.
     """
     texts = docs.select("host", F.xxhash64("text").alias("text_hash"), line_hashes(F.col("text")).alias("lines"))
-    host_sizes = texts.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     found = texts.select("host", "text_hash", F.explode(F.array_distinct(F.array_compact("lines"))).alias("line"))
-    counted = found.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where(F.col("n") > limits.least_documents)
-    limit = F.col("documents") * F.lit(limits.share)
-    over = often.join(host_sizes, "host").where(F.col("n") > limit)
-    return over.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("common"))
+    return found.distinct()
+
+
+def frequent_lines(docs: DataFrame, limits: Limits) -> DataFrame:
+    """(host, line, by_share): the hashes of the common lines, and whether the share of
+    their host makes them common or only the number of texts."""
+    texts = docs.select("host", F.xxhash64("text").alias("text_hash")).distinct()
+    host_sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
+    counted = text_lines(docs).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    n, enough = F.col("n"), limits.enough_documents
+    by_share = (n > limits.least_documents) & (n > F.col("documents") * F.lit(limits.share))
+    by_count = F.lit(False) if enough is None else n > enough
+    least = limits.least_documents if enough is None else min(limits.least_documents, enough)
+    over = counted.where(n > least).join(host_sizes, "host").where(by_share | by_count)
+    return over.select("host", "line", by_share.alias("by_share"))
+
+
+def common_lists(frequent: DataFrame) -> DataFrame:
+    """(host, common): the lines above the share, for hosts that have any."""
+    return frequent.where("by_share").groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("common"))
+
+
+def own_lists(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(host, text_hash, own): the other common lines of each text that has any. Two texts
+    of a host with one hash would share a list, which holds common lines only all the same."""
+    held = text_lines(docs).join(frequent.where("NOT by_share").drop("by_share"), ["host", "line"])
+    return held.groupBy("host", "text_hash").agg(F.collect_list("line").alias("own"))
 
 
 def repeated_words(words: Column) -> Column:
@@ -117,12 +141,22 @@ def judge(docs: DataFrame, carry: list[str], host: str = "source", limits: Limit
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    common = scratch.write(common_lines(plain, limits), "common")
+    frequent = frequent_lines(plain, limits)
+    if limits.enough_documents is not None:
+        frequent = scratch.write(frequent, "frequent")
+    common = scratch.write(common_lists(frequent), "common")
     # A bounded list per host; how many hosts there are is checked.
     hashes = common.agg(F.sum(F.size("common"))).first()[0] or 0
     side = F.broadcast(common) if hashes <= limits.broadcast_hashes else common
 
-    held = plain.join(side, "host", "left")
+    held = plain
+    if limits.enough_documents is not None:
+        hashed = plain.withColumn("text_hash", F.xxhash64("text"))
+        held = hashed.join(own_lists(plain, frequent), ["host", "text_hash"], "left")
+    held = held.join(side, "host", "left")
+    if limits.enough_documents is not None:
+        both = F.coalesce(F.concat("listed", "own"), "listed", "own")
+        held = with_once(held.withColumnRenamed("common", "listed"), "common", both)
     held = with_once(held, "words", F.filter(F.split(_trimmed(F.col("text")), BLANK_RUN), lambda w: w != ""))
     lines = F.split(F.col("text"), "\n")
     with_word = F.filter(lines, lambda line: _trimmed(line) != "")

@@ -15,6 +15,11 @@ from cordwood.llm.queries import WORD_TOKENIZER, is_held_out
 from cordwood.llm.shared import Scratch, table, with_package
 
 
+#: More than 20 texts make a line common in a host of any size. In a small host more than five
+#: do, if they are more than a tenth of its texts.
+LINE_LIMITS = line_rules.Limits(least_documents=5, share=0.1, enough_documents=20)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language isn't clear."""
     with_package(spark)
@@ -25,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes common lines from texts, and drops documents that fail the rules or are
     depleted by that. ``n_chars`` follows a changed text."""
-    judged = line_rules.judge(docs, docs.columns).where("kept")
+    judged = line_rules.judge(docs, docs.columns, limits=LINE_LIMITS).where("kept")
     changed = F.col("n_common_lines") > 0
     held = {name: F.col(f"row.`{name}`") for name in docs.columns}
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}

@@ -114,6 +114,30 @@ def test_line_rules(make, rows, limits):
     assert sum(r["n_common_lines"] for r in found) == 40
 
 
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_line_limits_hold_at_every_host_size(make, broadcast):
+    """A large host with lines well under a tenth of its texts, and a small one."""
+    rng = random.Random(10)
+    lines = {"Follow us": ("large", 21), "Read on 7": ("large", 20), "Next page": ("small", 6), "Go back": ("small", 5)}
+    rows = []
+    for host, size in (("large", 600), ("small", 40)):
+        for i in range(size):
+            own = [line for line, (at, n) in lines.items() if at == host and i < n]
+            body = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+            rows.append((len(rows), "\n".join([*own, body]), "en", host, 1))
+    # A copy of a text adds no text.
+    rows += [(len(rows) + i, rows[0][1], "en", "large", 1) for i in range(50)]
+    limits = line_rules.Limits(least_documents=5, enough_documents=20, broadcast_hashes=broadcast)
+    found = line_rules.judge(make(rows, extra=True), ["doc_id"], limits=limits).collect()
+    expected = Counter()
+    for row in rows:
+        parts = row[1].split("\n")
+        rest = [part for part in parts if part not in ("Follow us", "Next page")]
+        expected[row[0], len(parts) - len(rest), "\n".join(rest), True] += 1
+    got = Counter((r["row"]["doc_id"], r["n_common_lines"], r["kept_text"], r["kept"]) for r in found)
+    assert got == expected
+
+
 def test_copies_do_not_make_a_line_common(make):
     text = "first line of a document\n" + " ".join(f"w{i}" for i in range(60))
     found = line_rules.judge(make([(i, text, "en", "a", 1) for i in range(50)]), ["doc_id"]).collect()
