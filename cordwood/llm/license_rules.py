@@ -5,7 +5,8 @@ pattern sees no punctuation: "Apache-2.0" is ``apache 2 0``. Each line holds
 
     label | kind | keyword | pattern
 
-A pattern is tried only where its keyword occurs somewhere in the text. The kind gives the
+A pattern is tried only where its keyword occurs somewhere in the text, so the keyword must
+occur in every text that the pattern accepts. The kind gives the
 priority and the score: ``text`` (wording of a license), ``notice`` (grant of a license),
 ``tag`` (machine-readable identifier), ``name`` (a license by its name), ``clue`` (words
 that only hint at one). ``{v}`` stands for the word "version" or "v", or nothing.
@@ -53,10 +54,10 @@ isc | text | the author disclaims all warranties | the software is provided as i
 isc | name | isc license | (?:the )?isc license
 isc | tag | identifier isc | spdx license identifier isc
 0bsd | tag | 0bsd | spdx license identifier 0bsd
-0bsd | name | zero clause bsd | (?:bsd zero clause|zero clause bsd)(?: license)?
+0bsd | name | zero clause | (?:bsd zero clause|zero clause bsd)(?: license)?
 0bsd | name | bsd zero clause | bsd zero clause license
-bsd-3-clause | text | neither the name of | neither the names? of (?:\S+ ){1,12}(?:nor|or) the names of (?:its|the|any) contributors may be used to endorse or promote products
-bsd-3-clause | text | may be used to endorse or promote products | names? of (?:\S+ ){1,8}may not be used to endorse or promote products derived from this software without specific prior written permission
+bsd-3-clause | text | neither the name | neither the names? of (?:\S+ ){1,12}(?:nor|or) the names of (?:its|the|any) contributors may be used to endorse or promote products
+bsd-3-clause | text | may not be used to endorse or promote products | names? of (?:\S+ ){1,8}may not be used to endorse or promote products derived from this software without specific prior written permission
 bsd-3-clause | name | 3 clause bsd | (?:the )?3 clause bsd(?: license)?
 bsd-3-clause | name | bsd 3 clause | bsd 3 clause(?: license)?
 bsd-3-clause | name | new bsd license | (?:the )?new bsd license
@@ -154,7 +155,7 @@ zlib | text | altered source versions must be plainly marked | altered source ve
 zlib | text | the origin of this software must not be misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software
 zlib | name | zlib license | (?:the )?zlib license
 zlib | tag | identifier zlib | spdx license identifier zlib
-libpng | name | libpng license | (?:the )?(?:png reference library|libpng) license(?: {v}2)?
+libpng | name | png | (?:the )?(?:png reference library|libpng) license(?: {v}2)?
 bsl-1.0 | notice | boost software license | (?:distributed|licensed|released) under the boost software license {v}1 0
 bsl-1.0 | name | boost software license | boost software license(?: {v}1 0)?
 bsl-1.0 | tag | bsl 1 0 | spdx license identifier bsl 1 0
@@ -249,7 +250,7 @@ w3c | text | w3c document license | w3c document license
 unicode | name | unicode license | unicode license(?: {v}3)?
 unicode | notice | unicode terms of use | unicode terms of use
 json | text | used for good not evil | the software shall be used for good not evil
-openrail | name | openrail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: license)?
+openrail | name | rail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: license)?
 proprietary | notice | proprietary and confidential | (?:is |are )?proprietary and confidential
 proprietary | notice | unauthorized copying of this file | unauthorized copying of this file via any medium is strictly prohibited
 proprietary | notice | trade secret | (?:contains|constitutes) (?:\S+ ){0,4}trade secrets?
@@ -261,8 +262,8 @@ reserved | name | tous droits | tous droits (?:de reproduction )?réservés
 reserved | name | alle rechte vorbehalten | alle rechte vorbehalten
 reserved | name | todos los derechos reservados | todos los derechos reservados
 copyright | clue | copyright | copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*
-license-file | clue | see the license file | (?:see|read) the license file(?: for (?:details|more information))?
-license-file | clue | see license in | see licen[cs]e in (?:the )?(?:file|root|repository)
+license-file | clue | the license file | (?:see|read) the license file(?: for (?:details|more information))?
+license-file | clue | see licen | see licen[cs]e in (?:the )?(?:file|root|repository)
 license-tag | clue | spdx license identifier | spdx license identifier (?:\S+ )?\S+
 """
 
