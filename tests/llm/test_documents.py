@@ -258,6 +258,26 @@ def test_language(spark, make, rows):
     assert all(r["score"] == 0 and not r["accepted"] for r in unknown)
 
 
+def test_a_scarce_language_does_not_cut_the_others(make):
+    rng = random.Random(11)
+    syllables = {"aa": ["ka", "to", "mi", "ren"], "bb": ["schu", "ber", "lich", "ge"], "cc": ["ção", "ez", "lla", "os"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 4))) for _ in range(n))
+
+    # Many short texts, few long ones, and one short document.
+    told = [text("aa", 4) for _ in range(3000)], [text("bb", 9000) for _ in range(2)], [text("cc", 40)]
+    rows = [(i, t, lang, "a", 1) for lang, own in zip(syllables, told, strict=True) for i, t in enumerate(own)]
+    rows += [(9, told[1][0], "bb", "a", 1)] * 200
+    settings = language.Settings()
+    model = dict(language.fit(make(rows)))
+    assert len(model["aa"]) == len(model["bb"]) == settings.dictionary
+    assert model["cc"] == told[2][0].lower().encode()
+    for lang in syllables:
+        found = [language.classify(text(lang, 60).encode(), tuple(sorted(model.items())), settings) for _ in range(50)]
+        assert sum(name == lang for name, _, _ in found) >= 48
+
+
 def test_language_reads_the_whole_text():
     model = (("aa", b"kato miren toka " * 200), ("bb", b"schuber lichge berge " * 200))
     settings = language.Settings()
