@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import bpe, chat, exact_dedup, hilbert, language, licenses, line_rules, near_dedup, packing, records
+from cordwood.llm import bpe, chat, exact_dedup, hilbert, language, licenses, line_rules, merkle, near_dedup, packing, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,26 @@ def op10_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted)
 
 
+@query
+def op13_sibling_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, some of them checked with a text that was changed."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest(*fields, F.col("text"))
+    shorter = merkle.leaf_digest(*fields, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    is_even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = docs.withColumn("shown", F.when(is_even, shorter).otherwise(leaf))
+    found = merkle.manifest(shown, ["doc_id", "shown"], leaf, group="source", order=["doc_id"], arity=3)
+    folded = merkle.fold(F.col("row.shown"), F.col("path"))
+    return found.withColumn("folded", folded).select(
+        "row.doc_id",
+        *(merkle.hex_text(F.col(name)).alias(name) for name in ("leaf", "subroot", "root")),
+        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        merkle.hex_text(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 # The same results in SQL, where it can express them.
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -211,3 +231,60 @@ figures AS (
  FROM worded LEFT JOIN covered USING (doc_id) LEFT JOIN doubled USING (doc_id) LEFT JOIN removed USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
 SELECT *, NOT base_failed AND n_removed_words <= n_words * 0.5 AS kept FROM judged"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: a byte comes in as its number, eight bits go out as -1."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    turn = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    last = f"list_reduce(list_prepend(4294967295::BIGINT, {steps}::BIGINT[]), lambda c, s: CASE WHEN s < 0 THEN {turn} ELSE xor(c, s) END)"
+    return f"xor({last}, 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+SQL["op13_sibling_merkle"] = f"""WITH RECURSIVE rows AS (
+ SELECT doc_id, source, concat({", ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))}) AS head, text,
+  {_crc32_sql("doc_id::VARCHAR")} AS crc FROM documents),
+leaves AS (
+ SELECT doc_id, source, sha256(head || {_field_sql("text")}) AS leaf,
+  sha256(head || {_field_sql("CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS shown FROM rows),
+placed AS (
+ SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+  count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS gid FROM leaves),
+nodes AS (
+ SELECT gid, 0 AS level, idx, n, leaf AS digest FROM placed
+ UNION ALL
+ SELECT gid, min(level) + 1, idx // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+ FROM nodes WHERE n > 1 GROUP BY gid, idx // 3),
+upper AS (
+ SELECT 0 AS level, gid AS idx, count(*) OVER () AS n, digest FROM nodes WHERE n = 1
+ UNION ALL
+ SELECT min(level) + 1, idx // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+ FROM upper WHERE n > 1 GROUP BY idx // 3),
+sides AS (
+ SELECT above, level, g, i,
+  coalesce(string_agg(digest, '' ORDER BY i) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(digest, '' ORDER BY i) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+ FROM (SELECT FALSE AS above, level, gid AS g, idx AS i, digest FROM nodes WHERE n > 1
+  UNION ALL SELECT TRUE, level, 0, idx, digest FROM upper WHERE n > 1)
+ WINDOW run AS (PARTITION BY above, level, g, i // 3 ORDER BY i)),
+-- Upper levels go on where the lower ones of a group end.
+folds AS (
+ SELECT gid, idx, 0 AS level, FALSE AS above, n, shown AS folded, '' AS proof, gid AS g, idx AS i FROM placed
+ UNION ALL
+ SELECT f.gid, f.idx, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, f.above OR f.n = 1,
+  CASE WHEN f.n = 1 THEN u.n ELSE (f.n + 2) // 3 END,
+  CASE WHEN f.n = 1 THEN f.folded ELSE sha256(s.before || f.folded || s.behind) END,
+  CASE WHEN f.n = 1 THEN f.proof ELSE f.proof || s.before || s.behind END,
+  f.g, CASE WHEN f.n = 1 THEN f.g ELSE f.i // 3 END
+ FROM folds f CROSS JOIN (SELECT max(n) AS n FROM upper) u
+ LEFT JOIN sides s ON s.above = f.above AND s.level = f.level AND s.i = f.i AND (f.above OR s.g = f.g)
+ WHERE NOT (f.above AND f.n = 1))
+SELECT p.doc_id, p.leaf, subroots.digest AS subroot, root.digest AS root, sha256(f.proof) AS proof_sha256,
+ f.folded AS folded_root, f.folded = root.digest AS verified
+FROM placed p JOIN folds f ON f.gid = p.gid AND f.idx = p.idx AND f.above AND f.n = 1
+JOIN nodes subroots ON subroots.gid = p.gid AND subroots.n = 1
+JOIN upper root ON root.n = 1"""
