@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import bpe, chat, exact_dedup, hilbert, language, licenses, line_rules, merkle, near_dedup, packing, records
+from cordwood.llm import bpe, chat, exact_dedup, hilbert, language, licenses, line_rules, merkle, near_dedup, packing, prefix_trie, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,38 @@ def op10_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted)
 
 
+@query
+def op12_hashed_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that take their first turns from one of their family."""
+    scratch = Scratch(spark, "trie")
+    conv = F.col("conv_id")
+    base, borrowed = conv - conv % 5, F.crc32(conv.cast("string")) % 9
+    is_base = conv % 5 == 0
+    convs: list[DataFrame] = []
+
+    def with_base(runs: DataFrame) -> DataFrame:
+        sizes = runs.groupBy("conv_id").agg(F.max("n").alias("n"))
+        bases = sizes.select(conv.alias("base"), F.col("n").alias("n_base"))
+        known = sizes.withColumn("base", base).join(bases, "base", "left").fillna(0, ["n_base"])
+        taken = F.least(borrowed, F.col("n_base"))
+        n_turns = F.when(is_base, F.col("n")).otherwise(taken + F.greatest(F.col("n") - borrowed, F.lit(0)))
+        known = known.select("conv_id", taken.alias("taken"), n_turns.alias("n_turns"))
+        convs.append(scratch.write(known, "conversations"))
+        return runs.join(convs[0], "conv_id")
+
+    turns = prefix_trie.in_order(scratch, table(spark, sf_dir, "conversations"), with_base)
+    held = ["n_turns", "n_bytes", "t1", "t2"]
+    place = F.when(is_base, F.col("idx")).otherwise(F.col("taken") + F.col("idx") - borrowed)
+    own = turns.where(is_base | (F.col("idx") >= borrowed)).select("conv_id", (place + 1).alias("depth"), *held)
+    family = F.explode(F.filter(F.sequence(conv - 4, conv + 4), lambda c: (c != conv) & (c - c % 5 == conv)))
+    heads = turns.where(is_base & (F.col("idx") < 8)).drop("n_turns").withColumn("conv_id", family)
+    heads = heads.where(F.col("idx") < borrowed).join(convs[0].select("conv_id", "n_turns"), "conv_id")
+    heads = heads.select("conv_id", (F.col("idx") + 1).alias("depth"), *held)
+    rebuilt = scratch.write(own.unionByName(heads), "rebuilt")
+    found = prefix_trie.prefix_trie(scratch, rebuilt, convs[0].where("n_turns = 0"))
+    return found.withColumnRenamed("saved_bytes", "saved_tokens")
+
+
 @query
 def op13_sibling_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proofs of all documents, some of them checked with a text that was changed."""
@@ -245,6 +277,33 @@ def _field_sql(value: str) -> str:
     return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
 
 
+SQL["op12_hashed_trie"] = f"""WITH turns AS (
+ SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+told AS (
+ SELECT conv_id AS c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS turns
+ FROM turns GROUP BY conv_id),
+rebuilt AS (
+ SELECT c, list_concat(coalesce(base.turns, [])[1:h], own.turns[h + 1:]) AS turns
+ FROM (SELECT *, CAST({_crc32_sql("c::VARCHAR")} % 9 AS BIGINT) AS h FROM told) own
+ LEFT JOIN (SELECT c AS b, turns FROM told) base ON base.b = c - c % 5),
+prefixes AS (
+ SELECT c, d, len(turns) AS n, turns[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+ SELECT min(c) AS conv_id, d AS depth, prefix, count(*) AS n_convs,
+  (count(*) - 1) * coalesce(strlen(prefix[d].text), 0) AS saved,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+ FROM prefixes GROUP BY d, prefix),
+parents AS (
+ SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN children USING (conv_id, depth)),
+below AS (
+ SELECT a.conv_id, a.depth, count(*) FILTER (n.n_children = 0) AS n_leaves, CAST(sum(n.saved) AS BIGINT) AS saved_tokens
+ FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted) n
+ JOIN nodes a ON a.depth = n.up AND a.prefix = n.prefix[1:n.up] GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted JOIN below USING (conv_id, depth)"""
+
 SQL["op13_sibling_merkle"] = f"""WITH RECURSIVE rows AS (
  SELECT doc_id, source, concat({", ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))}) AS head, text,
   {_crc32_sql("doc_id::VARCHAR")} AS crc FROM documents),
