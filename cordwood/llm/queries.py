@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.llm import bpe, chat, exact_dedup, hilbert, language, licenses, line_rules, merkle, near_dedup, packing, prefix_trie, records
+from cordwood.llm import bpe, chat, exact_dedup, hilbert, language, licenses, line_rules, merkle, near_dedup, ngram_join, packing, prefix_trie, records
 from cordwood.llm.shared import Scratch, table, with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,13 @@ def op10_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted)
 
 
+@query
+def op11_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their runs of five words."""
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op12_hashed_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of conversations that take their first turns from one of their family."""
@@ -277,6 +284,21 @@ def _field_sql(value: str) -> str:
     return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
 
 
+SQL["op11_vertical_join"] = rf"""WITH RECURSIVE worded AS (
+ SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}'),
+  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+runs AS (
+ SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS run
+ FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM worded WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+links AS (
+ SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM runs x JOIN runs y USING (run) GROUP BY ALL)
+ JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reached GROUP BY a) USING (doc_id)"""
+
 SQL["op12_hashed_trie"] = f"""WITH turns AS (
  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
 told AS (
