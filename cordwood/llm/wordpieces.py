@@ -4,10 +4,14 @@ A tokenizer whose pre-tokenizer never matches across white space gives a text th
 its white-space separated chunks, one after the other. Chunks repeat, so each worker keeps
 a bounded table of the chunks it has met and asks the library only for new ones: many in
 one call, with a control character between them whose id marks the ends.
+
+Strings of special tokens in a text are special, as in a library call, unless they are asked
+to be ordinary: a text that holds one in any case goes to the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -47,22 +51,51 @@ def _is_lower_word(part: bytes) -> bool:
 
 
 def _ends_in_letter(part: bytes) -> bool:
-    return (part[-1:] if part[-1] < 128 else part[-4:]).decode("utf-8", "replace")[-1].isalpha()
+    """Whether a part ends in a letter that normalising leaves a letter.
+
+    Others may become a letter and a mark, which is a pre-token together with a stop.
+    """
+    last = (part[-1:] if part[-1] < 128 else part[-4:]).decode("utf-8", "replace")[-1]
+    return last.isalpha() and last.lower() == last and unicodedata.is_normalized("NFC", last)
+
+
+#: What a tokenizer does before its merges, as far as the ways around the library need it.
+_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _check(tokenizer: str) -> None:
+    """Raises for a tokenizer whose chunks, words or stops are other than is assumed here."""
+    parts = json.loads(tokenizer)
+    normalizer, split = parts["normalizer"] or {}, (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    fits = normalizer.get("normalizers") == _NORMALIZERS and len(split) == 2
+    fits = fits and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True
+    fits = fits and split[1].get("type") == "ByteLevel" and not split[1].get("add_prefix_space")
+    if not fits or parts["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError("the tokenizer normalises or splits texts in another way than this encoder knows")
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    Strings of special tokens that stand in a text are ordinary text. Null and empty texts
-    have no ids.
+    ``ordinary`` takes strings of special tokens that stand in a text as ordinary text. Null
+    and empty texts have no ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        _check(self._tokenizer.to_str())
+        # The tokens of a text that holds none of these strings are the same either way.
+        self._tokenizer.encode_special_tokens = ordinary
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._special = [] if ordinary else [token.content.encode().lower() for token in added]
         # The same merges for words that need no normalising and are one pre-token.
         self._plain = Tokenizer(self._tokenizer.model)
         self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -107,8 +140,20 @@ class ChunkEncoder:
                 self._parts[parts[i]] = array("I", ids[start:end]).tobytes()
                 start = end + 1
 
+    def _has_special(self, text: bytes | None) -> bool:
+        lower = text.lower() if text and self._special else b""
+        return any(string in lower for string in self._special)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of every text."""
+        alone = {i: text for i, text in enumerate(texts) if self._has_special(text)}
+        encoded = self._encode_ordinary([b"" if i in alone else text for i, text in enumerate(texts)])
+        for i, text in alone.items():
+            (ids,) = self._library([text.decode("utf-8", "replace")])
+            encoded[i] = array("I", ids).tobytes()
+        return encoded
+
+    def _encode_ordinary(self, texts: list[bytes | None]) -> list[bytes]:
         encoded: list[bytes] = []
         block, size = [], 0
         for text in texts:

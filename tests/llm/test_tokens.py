@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -27,7 +28,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -46,12 +46,52 @@ TEXTS = st.lists(st.text(alphabet=" \n\t ab.,'ÉéΣσ1#<|>_-漢🙂́\x01\x85"
 @settings(max_examples=150, deadline=None)
 @given(TEXTS)
 def test_chunked_ids_are_the_library_s(texts):
-    tokenizer = CHUNKS._tokenizer
+    tokenizer = Tokenizer.from_file(WORDS)
     expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
     found = CHUNKS.encode([text.encode() for text in texts])
     assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == expected
 
 
+def changed_by_case_or_form():
+    """Letters and marks that lower case or composition changes, and their neighbours."""
+    for code in range(128, 0x110000):
+        char = chr(code)
+        if unicodedata.category(char)[0] in "LM":
+            if char.lower() != char or any(unicodedata.normalize(f, char) != char for f in ("NFC", "NFD")):
+                yield char
+
+
+def test_letters_before_stops(library):
+    texts = [f"ab{char}{stop} x{char}{stop}{stop}" for char in changed_by_case_or_form() for stop in ".,"]
+    # Hangul syllables are many and alike.
+    texts = [text for text in texts if not "\uac00" <= text[2] <= "\ud7a3" or ord(text[2]) % 50 == 0]
+    tokenizer = Tokenizer.from_file(WORDS)
+    expected = [one.ids for one in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    found = ChunkEncoder(WORDS).encode([text.encode() for text in texts])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == expected
+    assert library("GELD\u0130.") == np.frombuffer(CHUNKS.encode(["GELD\u0130.".encode()])[0], "<u4").tolist()
+
+
+SPECIAL = ["x<|endoftext|>y", "<|ENDOFTEXT|> a", "<|startoftext|>", " a <|endoftext|>. b,", "<|endoftext|"]
+
+
+def test_special_strings(library):
+    found = CHUNKS.encode([text.encode() for text in SPECIAL])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [library(text) for text in SPECIAL]
+    assert library(SPECIAL[0]) == [343, 49407, 344]
+    ordinary = Tokenizer.from_file(WORDS)
+    ordinary.encode_special_tokens = True
+    found = ChunkEncoder(WORDS, ordinary=True).encode([text.encode() for text in SPECIAL])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [
+        ordinary.encode(text, add_special_tokens=False).ids for text in SPECIAL
+    ]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="another way"):
+        ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_chunk_table_is_bounded(monkeypatch, library):
     monkeypatch.setattr("cordwood.llm.wordpieces.MOST_KEPT", 50)
     encoder = ChunkEncoder(WORDS)
