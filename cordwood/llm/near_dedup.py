@@ -102,17 +102,19 @@ def _matrix(column: pa.Array, count: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, count)
 
 
+def _identity(docs: DataFrame) -> list[Column]:
+    """``doc_id`` and two hashes of the text: the same for rows that repeat both."""
+    text = F.col("text").cast("string")
+    keys = [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(1), text).alias("key2")]
+    return [F.col("doc_id").cast("long").alias("doc_id"), *keys]
+
+
 def sign(docs: DataFrame, carry: list[str], settings: Settings) -> DataFrame:
     """Per document: ``row``, ``doc_id``, two hashes of the text, and of its shingles the
     number, two hashes of the whole set and the signature (null without shingles)."""
     text = F.col("text").cast("string")
-    narrow = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("key1"),
-        F.xxhash64(F.lit(1), text).alias("key2"),
-        text.alias("text"),
-    )
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    narrow = docs.select(*row, *_identity(docs), text.alias("text"))
     schema = T.StructType([f for f in narrow.schema if f.name != "text"])
     for name in ("n_shingles", "set1", "set2"):
         schema = schema.add(name, T.LongType())
@@ -392,12 +394,9 @@ def _complete(linker: _Linker, banded: DataFrame) -> None:
     linker.roots = connect(scratch, links, linker.roots)
 
 
-def near_duplicates(docs: DataFrame, carry: list[str], settings: Settings | None = None) -> DataFrame:
-    """One row per document: ``row`` (a struct of the ``carry`` columns), ``doc_id``,
-    ``n_shingles``, ``component_id``, ``kept``, and ``stays``, which is true for exactly one
-    row of each component, also where rows repeat a ``doc_id``."""
-    settings = settings or Settings()
-    scratch = Scratch(docs.sparkSession, "near")
+def _labelled(docs: DataFrame, carry: list[str], settings: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What ``sign`` gives of all documents but the signature, with ``rid``, and of each set
+    the ``root`` and ``component_id``."""
     signed = scratch.write(sign(docs, carry, settings).withColumn("rid", F.monotonically_increasing_id()), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("set1", "set2").agg(
         F.min("doc_id").alias("least_doc"),
@@ -419,19 +418,35 @@ def near_duplicates(docs: DataFrame, carry: list[str], settings: Settings | None
     linker = _Linker(docs, nodes, settings, scratch)
     stars = scratch.write(_survivors(stars, nodes, settings), "survivors")
     linker.take(stars)
+    scratch.drop(firsts, stars)
     _complete(linker, shared.select("bucket", "node"))
-    scratch.drop(firsts, shared, stars)
 
     with_roots = rooted(nodes.select("set1", "set2", "node", "least_doc"), linker.roots, "node", "root")
     least = scratch.write(with_roots.groupBy("root").agg(F.min("least_doc").alias("component_id")), "least")
     labels = with_roots.join(least, "root").select("set1", "set2", "root", "component_id")
     labels = scratch.write(labels.withColumn("linked", F.lit(True)), "labels")
-    told = signed.drop("signature", "key1", "key2").join(
-        labels, (signed["set1"] == labels["set1"]) & (signed["set2"] == labels["set2"]) & (signed["n_shingles"] > 0), "left"
-    )
+    scratch.keep_only(signed, labels)
+    return signed.drop("signature"), labels
+
+
+def _told(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with the component of their set; ``root`` is null for an empty set."""
+    same = (signed["set1"] == labels["set1"]) & (signed["set2"] == labels["set2"]) & (signed["n_shingles"] > 0)
+    told = signed.join(labels.select("set1", "set2", "root", "component_id", "linked"), same, "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
-    told = told.select("rid", "row", "doc_id", "n_shingles", "root", component.alias("component_id"))
-    told = told.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    held = [signed[c] for c in signed.columns if c not in ("set1", "set2")]
+    told = told.select(*held, "root", component.alias("component_id"))
+    return told.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, carry: list[str], settings: Settings | None = None) -> DataFrame:
+    """One row per document: ``row`` (a struct of the ``carry`` columns), ``doc_id``,
+    ``n_shingles``, ``component_id``, ``kept``, and ``stays``, which is true for exactly one
+    row of each component, also where rows repeat a ``doc_id``.
+
+    What is carried is written and shuffled: to thin out whole documents use ``thinned``."""
+    scratch = Scratch(docs.sparkSession, "near")
+    told = _told(*_labelled(docs, carry, settings or Settings(), scratch))
     # Of rows that repeat the kept doc_id in a component one stays.
     chosen = told.where("kept AND root IS NOT NULL").groupBy("root").agg(F.min("rid").alias("_rid"))
     told = told.join(chosen, "root", "left")
@@ -443,3 +458,43 @@ def near_duplicates(docs: DataFrame, carry: list[str], settings: Settings | None
         "kept",
         (F.col("root").isNull() | (F.col("rid") == F.col("_rid"))).alias("stays"),
     )
+
+
+def thinned(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The documents, whole and in their columns, with one row of each component: the one
+    with the least ``doc_id``.
+
+    Only identities go through the search. The documents are read once more and lose the
+    rejected ones by an anti join, which is a broadcast as long as those are few. Of rows that
+    repeat a ``doc_id`` and its text one is taken; only such rows are shuffled for it.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    told = _told(*_labelled(docs, [], settings or Settings(), scratch)).where("root IS NOT NULL")
+    identity = ["doc_id", "key1", "key2"]
+    told = scratch.write(told.select("root", "kept", F.struct(*identity).alias("one")), "told")
+    chosen = told.where("kept").groupBy("root").agg(F.min("one").alias("_chosen"))
+    marked = told.join(chosen, "root").withColumn("is_chosen", F.col("one").eqNullSafe(F.col("_chosen")))
+    facts = marked.groupBy("one").agg(F.bool_or("is_chosen").alias("stays"), F.count(F.lit(1)).alias("n"))
+    facts = scratch.write(facts.where("NOT stays OR n > 1").select("one.*", "stays"), "facts")
+    scratch.keep_only(facts)
+
+    def side(rows: DataFrame) -> DataFrame:
+        known = rows.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_doc"), "key1", "key2")
+        known = known.toDF("_null", "_doc", "_key1", "_key2")
+        return F.broadcast(known) if rows.count() <= BROADCAST_ROWS else known
+
+    doc, key1, key2 = (c for c in _identity(docs))
+    names = ["_null", "_doc", "_key1", "_key2"]
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        doc.isNull().alias("_null"),
+        F.coalesce(doc, F.lit(0)).alias("_doc"),
+        key1.alias("_key1"),
+        key2.alias("_key2"),
+    )
+    repeated = facts.where("stays")
+    kept = whole.join(side(facts), names, "left_anti").select("row.*")
+    if repeated.isEmpty():
+        return kept
+    ones = whole.join(side(repeated), names, "left_semi").groupBy(*names).agg(F.first("row").alias("row"))
+    return kept.unionByName(ones.select("row.*"))

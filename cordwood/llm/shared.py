@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -45,17 +48,34 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_within: ContextVar[str | None] = ContextVar("_within", default=None)
+
+
+@contextmanager
+def cleared(spark: SparkSession, name: str) -> Iterator[None]:
+    """All scratch tables made inside are deleted at the end: what is wanted of them has been
+    written elsewhere by then."""
+    path = f"{_within.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _within.set(path)
+    try:
+        yield
+    finally:
+        _within.reset(token)
+        delete(spark, path)
+
+
 class Scratch:
     """Intermediate tables of one run, written to the shared folder.
 
     A written table cuts the lineage and survives the loss of executors. ``drop``
-    removes tables that no later step reads.
+    removes tables that no later step reads, ``keep_only`` all but some.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_within.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
+        self._written: set[str] = set()
 
     def folder(self, name: str) -> str:
         self._next += 1
@@ -67,11 +87,18 @@ class Scratch:
         df.write.parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
         read._scratch_path = path
+        self._written.add(path)
         return read
 
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             delete(self.spark, frame._scratch_path)
+            self._written.discard(frame._scratch_path)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        for path in self._written - {frame._scratch_path for frame in frames}:
+            delete(self.spark, path)
+        self._written = {frame._scratch_path for frame in frames}
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import combinations, product
+from pathlib import Path
 from re import _parser
 
 import numpy as np
@@ -459,3 +460,31 @@ def test_shard_files_are_pruned_by_the_manifest(make, rows, spark, tmp_path):
     for r in manifest.collect():
         own = data.where(F.col("shard") == r["shard"]).agg(F.min("n_chars"), F.max("n_chars")).first()
         assert (r["least_chars"], r["greatest_chars"]) == tuple(own)
+
+
+def test_thinned_keeps_one_whole_row_of_each_component(make, rows, monkeypatch):
+    found = near_dedup.near_duplicates(make(rows, extra=True), ["doc_id", "text"], near_dedup.Settings()).collect()
+    told = Counter((r["row"]["doc_id"], r["row"]["text"]) for r in found if r["stays"])
+    for limit in (near_dedup.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", limit)
+        docs = make(rows, extra=True)
+        thinned = near_dedup.thinned(docs)
+        assert thinned.columns == docs.columns
+        kept = thinned.collect()
+        assert Counter(r["doc_id"] for r in kept) == Counter(d for d, _ in told.elements())
+        texts = {(r["doc_id"], r["text"]) for r in kept}
+        assert texts <= {(row[0], row[1]) for row in rows}
+    assert near_dedup.thinned(make([])).count() == 0
+
+
+def test_cleared_leaves_no_table(spark, make, rows):
+    from cordwood.llm.shared import Scratch, cleared, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = {p.name for p in Path(folder).iterdir()}
+    with cleared(spark, "stage"):
+        assert near_dedup.thinned(make(rows)).count()
+        inside = Scratch(spark, "x")
+        inside.write(make(rows), "y")
+        assert inside.path.startswith(shared_folder(spark))
+    assert {p.name for p in Path(folder).iterdir()} == before
