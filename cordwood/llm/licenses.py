@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +79,11 @@ class Scanner:
                 high += 1
             starts[low:high], ends[low:high] = [start], [end]
         taken.sort()
+        spans = np.array([span[:2] for span in taken], dtype=np.int64).reshape(-1, 2)
+        before, until = blanks_before(joined, spans[:, 0]), blanks_before(joined, spans[:, 1])
         return [
-            (self._rules[n].label, self._rules[n].score, joined.count(b" ", 0, start) - 1, joined.count(b" ", start, end) + 1)
-            for start, end, n in taken
+            (self._rules[n].label, self._rules[n].score, int(first) - 1, int(last - first) + 1)
+            for (_, _, n), first, last in zip(taken, before, until, strict=True)
         ]
 
 
@@ -89,14 +92,22 @@ def scanner() -> Scanner:
     return Scanner(load())
 
 
+def blanks_before(joined: bytes, places: np.ndarray) -> np.ndarray:
+    """How many blanks stand before each place: one pass over the text for all of them."""
+    if not len(places):
+        return np.zeros(0, dtype=np.int64)
+    return np.searchsorted(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32), places)
+
+
 def base_places(joined: bytes) -> list[tuple[int, str]]:
     """First word and label of every place of a base phrase."""
     places = []
     for phrase, label in BASE:
         wanted, at = b" " + phrase + b" ", -1
         while (at := joined.find(wanted, at + 1)) >= 0:
-            places.append((joined.count(b" ", 0, at), label))
-    return sorted(places)
+            places.append((at, label))
+    words = blanks_before(joined, np.array([at for at, _ in places], dtype=np.int64))
+    return sorted((int(word), label) for word, (_, label) in zip(words, places, strict=True))
 
 
 def scan_documents(docs: DataFrame, carry: list[str]) -> DataFrame:

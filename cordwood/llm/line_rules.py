@@ -4,13 +4,15 @@ Lines are normalised (A-Z and other letters in lower case, digits as 0, blanks j
 hashed. For each host the distinct texts that hold a line are counted: copies of one text
 are one document here, so that a document is not condemned for having been copied. A line
 above the limit of its host is removed. A document that loses more than the allowed share
-of its words is rejected, as is one that fails the base rules.
+of its words is rejected, as is one that fails the base rules. So a host that serves one
+text under many names loses nothing by that, while a line that many different pages share
+goes, in hosts of any size.
 
 Everything is DataFrame operations. Counting starts with the distinct (host, line, text) of
 each task. Lines above the share are few per host by the share itself: no more than the
 lines of an average document divided by it. They come back as one list per host. Lines that
-are common by their number of texts alone may be many: they come back as one list per text,
-no longer than the text, joined by host and text.
+are common by their number of texts alone may be many: unless they are few as well, they come
+back as one list per text, no longer than the text, joined by host and text.
 
 A null text has no words and fails the base rules. Null hosts are one host. Rows that
 repeat are judged alike. An empty table gives an empty result.
@@ -34,16 +36,20 @@ SYMBOLS = r"[^#*$%&|<>]+"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is common when more than ``least_documents`` distinct texts of its host hold
-    it, and more than ``share`` of them; also, at any share, when more than
-    ``enough_documents`` hold it, if that is given. A document is depleted when more than
-    ``most_removed`` of its words stand in common lines."""
+    """A line is common when more than ``enough_documents`` distinct texts of its host hold it;
+    in a small host more than ``least_documents`` do, if they are more than ``share`` of its
+    texts. Without ``enough_documents`` the second rule alone holds. A document is depleted
+    when more than ``most_removed`` of its words stand in common lines.
 
-    least_documents: int = 20
+    Up to ``listed_hashes`` lines of a host and ``broadcast_hashes`` in all are looked up in
+    lists of their hosts; more come back as a list per text."""
+
+    least_documents: int = 5
     share: float = 0.1
     most_removed: float = 0.5
     broadcast_hashes: int = 1_000_000
-    enough_documents: int | None = None
+    enough_documents: int | None = 20
+    listed_hashes: int = 512
 
 
 def _trimmed(text: Column) -> Column:
@@ -141,20 +147,23 @@ def judge(docs: DataFrame, carry: list[str], host: str = "source", limits: Limit
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    frequent = frequent_lines(plain, limits)
-    if limits.enough_documents is not None:
-        frequent = scratch.write(frequent, "frequent")
+    frequent = scratch.write(frequent_lines(plain, limits), "frequent")
+    by_host = frequent.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    most, lines = by_host.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = most <= limits.listed_hashes and lines <= limits.broadcast_hashes
+    frequent = frequent.withColumn("by_share", F.lit(True)) if few else frequent
+    in_texts = limits.enough_documents is not None and not few
     common = scratch.write(common_lists(frequent), "common")
     # A bounded list per host; how many hosts there are is checked.
     hashes = common.agg(F.sum(F.size("common"))).first()[0] or 0
     side = F.broadcast(common) if hashes <= limits.broadcast_hashes else common
 
     held = plain
-    if limits.enough_documents is not None:
+    if in_texts:
         hashed = plain.withColumn("text_hash", F.xxhash64("text"))
         held = hashed.join(own_lists(plain, frequent), ["host", "text_hash"], "left")
     held = held.join(side, "host", "left")
-    if limits.enough_documents is not None:
+    if in_texts:
         both = F.coalesce(F.concat("listed", "own"), "listed", "own")
         held = with_once(held.withColumnRenamed("common", "listed"), "common", both)
     held = with_once(held, "words", F.filter(F.split(_trimmed(F.col("text")), BLANK_RUN), lambda w: w != ""))

@@ -255,7 +255,7 @@ lines AS (
  WHERE trim(line, {_BLANKS}) <> ''),
 hosts AS (SELECT host, count(DISTINCT text) AS documents FROM texts GROUP BY host),
 counted AS (SELECT host, normal, count(DISTINCT text) AS n FROM lines GROUP BY host, normal),
-common AS (SELECT host, normal FROM counted JOIN hosts USING (host) WHERE n > 20 AND n > documents * 0.1),
+common AS (SELECT host, normal FROM counted JOIN hosts USING (host) WHERE n > 20 OR n > 5 AND n > documents * 0.1),
 removed AS (
  SELECT doc_id, count(*) AS n_common_lines,
   sum(len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS n_removed_words

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import combinations, product
@@ -88,7 +89,10 @@ def brute_common(rows, limits) -> set:
     common = set()
     for host, own in texts.items():
         seen = Counter(line for text in own for line in {normal(part) for part in text.split("\n") if WORD.search(part)})
-        common |= {(host, k) for k, n in seen.items() if n > limits.least_documents and n > limits.share * len(own)}
+        enough = limits.enough_documents or len(rows)
+        common |= {
+            (host, k) for k, n in seen.items() if n > enough or n > limits.least_documents and n > limits.share * len(own)
+        }
     return common
 
 
@@ -97,7 +101,16 @@ def normal(line: str) -> str:
     return re.sub("[0-9]+", "0", joined)
 
 
-@pytest.mark.parametrize("limits", [line_rules.Limits(), line_rules.Limits(broadcast_hashes=0), line_rules.Limits(most_removed=0.05)])
+LIMITS = [
+    line_rules.Limits(),
+    line_rules.Limits(broadcast_hashes=0),
+    line_rules.Limits(listed_hashes=0),
+    line_rules.Limits(most_removed=0.05),
+    line_rules.Limits(least_documents=20, enough_documents=None),
+]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
 def test_line_rules(make, rows, limits):
     found = line_rules.judge(make(rows, extra=True), ["doc_id", "row"], limits=limits).collect()
     common = brute_common(rows, limits)
@@ -340,6 +353,20 @@ def test_licenses(make, rows):
     assert got == expected
 
 
+def test_scans_take_time_in_proportion():
+    """Places of detections are counted in one pass over a text, however many they are."""
+    notice = b"all rights reserved cc by licensed under the apache license version 2.0 "
+    rules = licenses.scanner()
+    took = []
+    for times in (4_000, 16_000):
+        joined = b" " + notice * times
+        started = time.perf_counter()
+        assert len(licenses.base_places(joined)) == 2 * times
+        assert len(rules.scan(joined)) >= times
+        took.append(time.perf_counter() - started)
+    assert took[1] < 10 * took[0]
+
+
 def test_rules_have_their_keywords():
     rules = load()
     assert len(rules) >= 200
