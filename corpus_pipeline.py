@@ -12,12 +12,7 @@ from pyspark.sql import functions as F
 
 from cordwood.llm import exact_dedup, language, line_rules, near_dedup, packing
 from cordwood.llm.queries import WORD_TOKENIZER, is_held_out
-from cordwood.llm.shared import Scratch, table, with_package
-
-
-#: More than 20 texts make a line common in a host of any size. In a small host more than five
-#: do, if they are more than a tenth of its texts.
-LINE_LIMITS = line_rules.Limits(least_documents=5, share=0.1, enough_documents=20)
+from cordwood.llm.shared import Scratch, cleared, table, with_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes common lines from texts, and drops documents that fail the rules or are
     depleted by that. ``n_chars`` follows a changed text."""
-    judged = line_rules.judge(docs, docs.columns, limits=LINE_LIMITS).where("kept")
+    judged = line_rules.judge(docs, docs.columns).where("kept")
     changed = F.col("n_common_lines") > 0
     held = {name: F.col(f"row.`{name}`") for name in docs.columns}
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
@@ -47,13 +42,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five words, 0.8) the row with the smallest ``doc_id`` stays."""
     with_package(spark)
-    return near_dedup.near_duplicates(docs, docs.columns).where("stays").select("row.*")
+    return near_dedup.thinned(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of sequences of 2048 ids."""
+    """All documents as pieces of sequences of 2048 ids, with the ids."""
     with_package(spark)
-    return packing.pack_documents(docs, WORD_TOKENIZER, capacity=2048, end_id=0)
+    return packing.pack_documents(docs, WORD_TOKENIZER, capacity=2048, end_id=0, keep_ids=True)
 
 
 STAGES = [
@@ -74,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(with_package(spark), "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
-        last, docs = docs, scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with cleared(spark, "stage"):
+            last, docs = docs, scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if number:
             scratch.drop(last)
     return docs
