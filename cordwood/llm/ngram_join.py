@@ -7,16 +7,16 @@ is never compared as a whole in one row.
 
 1. Documents with the same set are one node, whichever their number.
 2. Two sets with a Jaccard similarity of t share one of the first ``n - ceil(t n) + 1`` n-grams
-   of either (n its size). Only those are posted to lists, one for each n-gram. A list is met
-   by its smallest node: one pair for every other node, not all pairs of the list. Lists of
-   very common n-grams are dealt out to many tasks, and the smallest nodes of the parts are
-   paired with the smallest of all.
-3. The overlaps of these pairs are counted per fragment and summed per pair; pairs that reach
-   the threshold are links, and links make components.
-4. Lists that still hold several components are compared completely, in blocks: a pair of
-   different components goes on if its sizes allow a link and if the n-grams that both have in
-   each of 64 ranges could suffice. Each task hands on a spanning forest of these pairs. It
-   makes families, and every link that is still missing lies within a family.
+   of either (n its size). Only those are posted to lists, one for each n-gram; lists of the
+   same nodes are one list. Nodes of a list are met in the order of their sizes by leaders: a
+   node whose size rules out a link to the last leader is the next leader. That makes one pair
+   a node, not all pairs of the list.
+3. A pair goes on if the n-grams that both have in each of 64 ranges of hashes could suffice.
+   Its overlap is counted per fragment and summed: first the leader that a node shares most
+   lists with, then what is still apart. Links make components.
+4. Lists that still hold several components are compared completely, in blocks, by sizes and
+   ranges. Each task hands on a spanning forest of the pairs that could be links. It makes
+   families, and every link that is still missing lies within a family.
 5. Families that hold several components are compared completely, in blocks: the overlaps of
    two blocks are summed over the fragments, as products of incidence matrices, and each task
    hands on a spanning forest of the links it has found.
@@ -41,7 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,7 +128,7 @@ class _Texts:
         return found.where(F.col("_doc").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
 
-def _common(texts: DataFrame, entries: int, settings: Settings) -> np.ndarray:
+def _common(docs: DataFrame, entries: int, settings: Settings) -> np.ndarray:
     """Sorted hashes of the n-grams that more than 2**-COMMON of all entries are.
 
     Such an n-gram is as frequent in at least one of the portions that tasks count, which is
@@ -153,7 +153,8 @@ def _common(texts: DataFrame, entries: int, settings: Settings) -> np.ndarray:
                     held, size = [], 0
         yield count(held)
 
-    counted = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counted = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # More entries than this for each of them: there can't be more than 2**COMMON.
     rows = counted.where(F.col("n") > max(16, entries >> COMMON)).select("shingle").collect()
     return np.sort(np.array([row[0] for row in rows], dtype=np.int64).view(np.uint64))
@@ -165,38 +166,43 @@ def _is_common(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
 
 
-def _ordered(text: bytes, common: np.ndarray, width: int) -> tuple[np.ndarray, int]:
-    """A text's n-grams in the global order, and how many of them are not common."""
-    hashes = shingle_hashes(text, width)
+def _in_order(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """N-grams in the global order, and how many of them are not common."""
     last = _is_common(hashes, common)
     return np.concatenate([hashes[~last], hashes[last]]), int((~last).sum())
 
 
-def _posted(texts: DataFrame, common: np.ndarray, parts: int, settings: Settings) -> DataFrame:
-    """Posting lists: ``shingle``, ``node``, and ``first``, the least node of the list (or, for
-    a common n-gram, of the list's part). Entries of lists with a single node are left out."""
+def _lists(docs: DataFrame, common: np.ndarray, parts: int, settings: Settings) -> DataFrame:
+    """Posting lists: ``shingle``, ``is_common``, ``members`` (first halves of set hashes) and a
+    hash of them. Lists of a common n-gram come in parts, the others whole and only if they
+    have two members or more."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number = [], 0, 0
+        held, size, number = {}, 0, 0
         for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                hashes, rare = _ordered(text, common, settings.width)
-                taken = len(hashes) - int(settings.required(np.int64(len(hashes)))) + 1
-                held.append((hashes[:taken], node, min(rare, taken)))
-                size += taken
-            if size >= POSTED // 4:
-                yield rows(held, number)
-                held, size, number = [], 0, number + 1
+            for text in as_bytes(batch.column("text")):
+                hashes = shingle_hashes(text, settings.width)
+                if not len(hashes):
+                    continue
+                node = int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
+                if node not in held:
+                    ordered, rare = _in_order(hashes, common)
+                    taken = len(hashes) - int(settings.required(np.int64(len(hashes)))) + 1
+                    held[node] = ordered[:taken], min(rare, taken)
+                    size += taken
+                if size >= POSTED // 4:
+                    yield rows(held, number)
+                    held, size, number = {}, 0, number + 1
         if held:
             yield rows(held, number)
 
-    def rows(held: list[tuple[np.ndarray, int, int]], number: int) -> pa.RecordBatch:
-        shingles = np.concatenate([h for h, _, _ in held])
-        nodes = np.repeat(np.array([n for _, n, _ in held], dtype=np.int64), [len(h) for h, _, _ in held])
-        is_common = np.concatenate([np.arange(len(h)) >= rare for h, _, rare in held])
+    def rows(held: dict[int, tuple[np.ndarray, int]], number: int) -> pa.RecordBatch:
+        shingles = np.concatenate([h for h, _ in held.values()])
+        nodes = np.repeat(np.array(list(held), dtype=np.int64), [len(h) for h, _ in held.values()])
+        is_common = np.concatenate([np.arange(len(h)) >= rare for h, rare in held.values()])
         # Rare n-grams are dealt by ranges of hashes; common ones stay in parts of their lists.
-        part = (shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        part = np.where(is_common, -1 - (hash((int(nodes[0]), number)) % parts), part.astype(np.int64))
+        part = ((shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part = np.where(is_common, -1 - (int(nodes[0]) + number) % parts, part)
         order = np.lexsort((nodes, shingles, part))
         part, shingles, nodes = part[order], shingles[order], nodes[order]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -224,87 +230,203 @@ def _posted(texts: DataFrame, common: np.ndarray, parts: int, settings: Settings
         fresh = np.r_[True, (shingles[1:] != shingles[:-1]) | (nodes[1:] != nodes[:-1])]
         shingles, nodes = shingles[fresh], nodes[fresh]
         starts = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
-        sizes = np.diff(np.r_[starts, len(shingles)])
-        kept = np.repeat((sizes > 1) | (part < 0), sizes)
-        columns = [shingles.view(np.int64), nodes, np.repeat(nodes[starts], sizes)]
-        arrays = [pa.array(c[kept]) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(int(kept.sum()), part < 0))], names=["shingle", "node", "first", "is_part"])
-
+        ends = np.r_[starts[1:], len(shingles)]
+        kept = np.flatnonzero((ends - starts > 1) | (part < 0))
+        members = [nodes[i:j].tobytes() for i, j in zip(starts[kept], ends[kept], strict=True)]
+        known = [xxhash.xxh3_64_intdigest(m) for m in members]
+        arrays = [
+            pa.array(shingles[starts[kept]].view(np.int64)),
+            pa.array(np.full(len(kept), part < 0)),
+            pa.array(members, pa.binary()),
+            pa.array(np.array(known, dtype=np.uint64).view(np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["shingle", "is_common", "members", "known"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     dealt = texts.mapInArrow(post, "part long, shingles binary, nodes binary")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(gather, "shingle long, node long, first long, is_part boolean")
+    return dealt.mapInArrow(gather, "shingle long, is_common boolean, members binary, known long")
 
 
-def _sets(texts: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
-    """Per node: its n-grams in the global order, how many are rare, and how many lie in each of
-    RANGES ranges of hashes."""
+def _entries(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(group, node, n, weight): the members of every different list, and how many lists it
+    stands for. Lists that share a hash by chance are one longer list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [np.frombuffer(m, dtype=np.int64) for m in batch.column("members").to_pylist()]
+            at = np.repeat(np.arange(len(members)), [len(m) for m in members])
+            held = [batch.column(n).take(pa.array(at)) for n in ("group", "weight")]
+            flat = np.concatenate([*members, np.zeros(0, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(flat)], names=["group", "weight", "set1"])
+
+    whole = lists.where("NOT is_common").groupBy(F.col("known").alias("group"), "members").agg(F.count(F.lit(1)).alias("weight"))
+    parts = lists.where("is_common").select(F.xxhash64("shingle").alias("group"), "members", F.lit(1).cast("long").alias("weight"))
+    flat = whole.unionByName(parts).mapInArrow(run, "group long, weight long, set1 long")
+    flat = flat.groupBy("group", "set1").agg(F.max("weight").alias("weight"))
+    return flat.join(nodes.select("set1", "node", F.col("n_shingles").alias("n")), "set1").drop("set1")
+
+
+def _led(entries: DataFrame, settings: Settings) -> DataFrame:
+    """Adds ``leader`` and ``leader_n`` to the entries of the lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leader, size = None, 0, 0
+        for batch in batches:
+            leaders, sizes = [], []
+            for at, node, n in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "n")), strict=True):
+                if at != group or 100 * size < settings.percent * n:
+                    group, leader, size = at, node, n
+                leaders.append(leader)
+                sizes.append(size)
+            names = [*batch.schema.names, "leader", "leader_n"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaders, pa.int64()), pa.array(sizes, pa.int64())], names=names)
+
+    # Ranges: the entries of a long list lie in several partitions, each with leaders of its own.
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["group", "n", "node"]
+    placed = entries.select("group", "node", "n", "weight").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return placed.mapInArrow(run, "group long, node long, n long, weight long, leader long, leader_n long")
+
+
+def _stars(led: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b, n1, n2, weight) of leaders and those they lead, and of leaders that follow
+    one another in a list."""
+    led_by = led.where("leader <> node").select(
+        F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("n1"), F.col("n").alias("n2"), "weight"
+    )
+    leaders = led.where("leader = node")
+    following = Window.partitionBy("group").orderBy("n", "node")
+    last = F.lag(F.struct("node", "n")).over(following)
+    among = leaders.withColumn("last", last).where("last IS NOT NULL").select(
+        F.col("last.node").alias("a"), F.col("node").alias("b"), F.col("last.n").alias("n1"), F.col("n").alias("n2"), "weight"
+    )
+    among = among.where(100 * F.col("n1") >= settings.percent * F.col("n2"))
+    both = led_by.unionByName(among)
+    return both.groupBy("a", "b", "n1", "n2").agg(F.sum("weight").alias("weight"))
+
+
+def _ranges(texts: DataFrame, settings: Settings) -> DataFrame:
+    """Per node: how many n-grams lie in each of RANGES ranges of hashes, in one byte each. A
+    node that has more than that in any range has full bytes throughout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, rares, ranges = [], [], []
+            found = []
             for text in as_bytes(batch.column("text")):
-                hashes, rare = _ordered(text, common, settings.width)
-                items.append(hashes.tobytes())
-                rares.append(rare)
+                hashes = shingle_hashes(text, settings.width)
                 counts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=RANGES)
-                ranges.append(counts.astype("<u4").tobytes())
-            arrays = [batch.column("node"), pa.array(items, pa.binary()), pa.array(rares, pa.int64()), pa.array(ranges, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "items", "rare", "ranges"])
+                found.append((counts if counts.max() < 255 else np.full(RANGES, 255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "ranges"])
 
-    return texts.mapInArrow(run, "node long, items binary, rare long, ranges binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, ranges binary").dropDuplicates(["node"])
 
 
-def _fragments(items: np.ndarray, rare: int, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The segments of a set: rare n-grams cut by their hashes, then common ones likewise."""
-    pivots = (np.arange(1, fragments, dtype=np.uint64) << np.uint64(32)) // np.uint64(fragments) << np.uint64(32)
-    for number, side in enumerate((items[:rare], items[rare:])):
-        for at, segment in enumerate(np.split(side, np.searchsorted(side, pivots))):
-            if len(segment):
-                yield number * fragments + at, segment
+def _most_common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The largest overlap that rows of ranges allow; unbounded where both have full bytes."""
+    most = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+    return np.where(most == 255 * RANGES, np.int64(1) << 40, most)
 
 
-def _segments(sets: DataFrame, settings: Settings) -> DataFrame:
-    """(node, fragment, segment)."""
+def _possible_pairs(pairs: DataFrame, ranges: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs whose ranges allow a link."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for node, items, rare in zip(*(batch.column(n).to_pylist() for n in ("node", "items", "rare")), strict=True):
-                whole = np.frombuffer(items, dtype=np.uint64)
-                rows += [(node, at, segment.tobytes()) for at, segment in _fragments(whole, rare, settings.fragments)]
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "fragment", "segment"]
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for c in ("one", "two")
             )
+            n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
+            fits = settings.is_link(np.minimum(_most_common(one, two), np.minimum(n1, n2)), n1, n2)
+            yield batch.select(names).filter(pa.array(fits))
 
-    return sets.mapInArrow(run, "node long, fragment int, segment binary")
+    one = ranges.select(F.col("node").alias("a"), F.col("ranges").alias("one"))
+    two = ranges.select(F.col("node").alias("b"), F.col("ranges").alias("two"))
+    return pairs.join(one, "a").join(two, "b").select(*names, "one", "two").mapInArrow(run, pairs.schema)
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Adds ``common`` to pairs (a, b and what they carry) that share an n-gram: partial
-    overlaps of each fragment, summed."""
-    carried = pairs.columns
-    # The first node of very many pairs comes in several copies, each for some of the pairs.
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).alias("copies"))
-    dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("copies")
-    one = segments.withColumnRenamed("node", "a").withColumnRenamed("segment", "one").join(copies, "a")
-    one = one.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
-    two = segments.withColumnRenamed("node", "b").withColumnRenamed("segment", "two")
-    both = dealt.join(two, "b").join(one, ["a", "copy", "fragment"]).select(*carried, "one", "two")
+def _sets(texts: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
+    """Per node: its n-grams in the global order, and how many of them are not common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            partial = [
-                len(np.intersect1d(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), assume_unique=True))
-                for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in carried), pa.array(partial, pa.int64())], names=[*carried, "partial"]
-            )
+            found = [_in_order(shingle_hashes(text, settings.width), common) for text in as_bytes(batch.column("text"))]
+            arrays = [pa.array([items.tobytes() for items, _ in found], pa.binary()), pa.array([rare for _, rare in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *arrays], names=["node", "items", "rare"])
+
+    return texts.mapInArrow(run, "node long, items binary, rare long").dropDuplicates(["node"])
+
+
+def _fragments(items: np.ndarray, rare: int, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The segments of a set: rare n-grams cut by their hashes, then common ones likewise."""
+    pivots = (np.arange(1, fragments, dtype=np.uint64) << np.uint64(32)) // np.uint64(fragments) << np.uint64(32)
+    for number, side in enumerate((items[:rare], items[rare:])):
+        for at, segment in enumerate(np.split(side, np.searchsorted(side, pivots))):
+            if len(segment):
+                yield number * fragments + at, segment
+
+
+def _overlaps(find: _Texts, pairs: DataFrame, nodes: DataFrame, common: np.ndarray, settings: Settings) -> DataFrame:
+    """``common`` of the pairs (a, b, n1, n2) that share an n-gram: partial overlaps of each
+    fragment, summed.
+
+    The segments of a leader and of those it is paired with meet in a task per fragment. A
+    leader of very many pairs comes in several copies, each for some of them.
+    """
+    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).alias("copies"))
+    dealt = pairs.join(copies, "a")
+    second = dealt.select(
+        F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"), "b", "n1", "n2"
+    )
+    nothing = F.lit(None).cast("long")
+    first = copies.select(
+        F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"),
+        nothing.alias("b"), nothing.alias("n1"), nothing.alias("n2"),
+    )
+    roles = find.scratch.write(second.unionByName(first), "roles")
+    side = F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles
+    texts = find.of(nodes.join(roles.select("node").distinct(), "node", "left_semi")).join(side, "node")
+    held = ["a", "copy", "b", "n1", "n2"]
 
-    schema = T.StructType(pairs.schema.fields).add("partial", T.LongType())
-    return both.mapInArrow(run, schema).groupBy(*carried).agg(F.sum("partial").alias("common"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, fragments, segments = [], [], []
+            for i, text in enumerate(as_bytes(batch.column("text"))):
+                items, rare = _in_order(shingle_hashes(text, settings.width), common)
+                for at, segment in _fragments(items, rare, settings.fragments):
+                    rows.append(i)
+                    fragments.append(at)
+                    segments.append(segment.tobytes())
+            kept = [batch.column(n).take(pa.array(rows, pa.int64())) for n in held]
+            found = [pa.array(fragments, pa.int32()), pa.array(segments, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=[*held, "fragment", "segment"])
+
+    schema = "a long, copy long, b long, n1 long, n2 long, fragment int, segment binary"
+    key = ["a", "copy", "fragment"]
+    dealt = texts.select(*held, "text").mapInArrow(cut, schema).repartition(*key)
+    # A null comes first: the leader before the others.
+    dealt = dealt.sortWithinPartitions(*key, "b")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = last = (None, None)
+        segment = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            found = []
+            columns = (batch.column(n).to_pylist() for n in (*key, "b", "n1", "n2", "segment"))
+            for a, copy, fragment, b, n1, n2, items in zip(*columns, strict=True):
+                at = (a, copy, fragment)
+                if b is None:
+                    leader, segment = at, np.frombuffer(items, dtype=np.uint64)
+                elif at == leader and (at, b) != last:
+                    partial = len(np.intersect1d(segment, np.frombuffer(items, dtype=np.uint64), assume_unique=True))
+                    found.append((a, b, n1, n2, partial))
+                last = (at, b)
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n1", "n2", "partial"])
+
+    partial = dealt.mapInArrow(count, "a long, b long, n1 long, n2 long, partial long")
+    return partial.groupBy("a", "b", "n1", "n2").agg(F.sum("partial").alias("common"))
 
 
 class _Forest:
@@ -386,14 +508,14 @@ def _possible(settings: Settings):
         forest = _Forest()
         sides = []
         for side in (left, right):
-            ranges = np.frombuffer(b"".join(side.field("ranges").to_pylist()), dtype="<u4").reshape(-1, RANGES)
-            sides.append((_numbers(side, "node"), _numbers(side, "root"), _numbers(side, "n"), ranges.astype(np.int64)))
+            ranges = np.frombuffer(b"".join(side.field("ranges").to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
+            sides.append((_numbers(side, "node"), _numbers(side, "root"), _numbers(side, "n"), ranges))
         (node, root, n, ranges), (node2, root2, n2, ranges2) = sides
         for i in range(len(node)):
             others = np.flatnonzero((root2 != root[i]) & (100 * np.minimum(n[i], n2) >= settings.percent * np.maximum(n[i], n2)))
             if same:
                 others = others[others > i]
-            most = np.minimum(ranges[i], ranges2[others]).sum(axis=1)
+            most = np.minimum(_most_common(ranges[i], ranges2[others]), np.minimum(n[i], n2[others]))
             for j in others[settings.is_link(most, n[i], n2[others])].tolist():
                 one, two = int(node[i]), int(node2[j])
                 if forest.join(one, two):
@@ -450,46 +572,45 @@ def _components(docs: DataFrame, nodes: DataFrame, settings: Settings, scratch:
     """(node, root) of the nodes that are linked to a smaller one."""
     find = _Texts(docs, scratch)
     entries = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    texts = find.of(nodes)
-    common = _common(texts, entries, settings)
+    common = _common(docs, entries, settings)
     parts = max(1, entries * (101 - settings.percent) // 100 // POSTED)
-    lists = scratch.write(_posted(texts, common, parts, settings), "lists")
-    firsts = lists.where("is_part").groupBy("shingle").agg(F.min("first").alias("a"), F.count(F.lit(1)).alias("n"))
-    firsts = scratch.write(firsts.where("n > 1").select("shingle", "a"), "firsts")
-    # At most 2**COMMON lists come in parts.
-    met = lists.where("is_part").select("shingle", F.col("first").alias("b")).distinct().join(F.broadcast(firsts), "shingle")
-    stars = lists.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(met.select("a", "b"))
-    sizes = nodes.select("node", F.col("n_shingles").alias("n"))
-    stars = stars.where("a <> b").distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n1")), "a")
-    stars = stars.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n2")), "b")
-    fits = 100 * F.least("n1", "n2") >= settings.percent * F.greatest("n1", "n2")
-    stars = scratch.write(stars.where(fits), "stars")
-
+    lists = scratch.write(_lists(docs, common, parts, settings), "lists")
+    members = scratch.write(_entries(lists, nodes), "entries")
+    scratch.drop(lists)
+    led = scratch.write(_led(members, settings), "led")
     # Nodes of lists, and of no others, can be linked.
-    used = lists.select("node").distinct()
-    sets = scratch.write(_sets(find.of(nodes.join(used, "node", "left_semi")), common, settings), "sets")
-    segments = _segments(sets.join(_nodes_of(stars), "node", "left_semi"), settings)
-    segments = scratch.write(segments, "segments")
-    counted = _overlaps(stars, segments)
-    links = counted.where(100 * F.col("common") >= settings.percent * (F.col("n1") + F.col("n2") - F.col("common")))
-    links = scratch.write(links.select("a", "b"), "links")
-    scratch.drop(stars, segments)
-    roots = connect(scratch, links)
+    used = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    ranges = scratch.write(_ranges(find.of(used), settings), "ranges")
+    stars = scratch.write(_possible_pairs(_stars(led, settings), ranges, settings), "stars")
+    scratch.drop(led)
+
+    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        counted = _overlaps(find, pairs.select("a", "b", "n1", "n2"), nodes, common, settings)
+        links = counted.where(100 * F.col("common") >= settings.percent * (F.col("n1") + F.col("n2") - F.col("common")))
+        return connect(scratch, scratch.write(links.select("a", "b"), "links"), roots)
+
+    best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
+    ranked = scratch.write(stars.withColumn("_n", F.row_number().over(best)), "ranked")
+    roots = linked(ranked.where("_n = 1"), None)
+    apart = rooted(rooted(ranked.where("_n > 1"), roots, "a", "_one"), roots, "b", "_two").where("_one <> _two")
+    apart = scratch.write(apart.select(*stars.columns), "apart")
+    if not apart.isEmpty():
+        roots = linked(apart, roots)
+    scratch.drop(stars, ranked, apart)
 
     # A list of two nodes has been compared completely.
-    long = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("shingle")
-    members = rooted(lists.select("shingle", "node").join(long, "shingle", "left_semi"), roots, "node", "root")
-    members = _mixed(scratch.write(members, "members"), "shingle")
-    described = sets.select("node", "items", "rare", "ranges").join(sizes, "node")
-    members = members.join(described.select("node", "n", "ranges"), "node")
-    forest = _compared(scratch, members, "shingle", F.lit(4 * RANGES), _possible(settings), ["n", "ranges"])
+    long = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("group")
+    members = rooted(members.join(long, "group", "left_semi").select("group", "node", "n"), roots, "node", "root")
+    mixed = _mixed(scratch.write(members, "members"), "group").join(ranges, "node")
+    forest = _compared(scratch, mixed, "group", F.lit(RANGES + 24), _possible(settings), ["n", "ranges"])
     if forest.isEmpty():
         return roots
     families = connect(scratch, forest)
     members = rooted(_nodes_of(forest), families, "node", "family")
     members = _mixed(scratch.write(rooted(members, roots, "node", "root"), "family-members"), "family")
-    members = members.join(described.select("node", "n", "items", "rare"), "node")
+    whole = nodes.join(members.select("node"), "node", "left_semi")
+    sets = scratch.write(_sets(find.of(whole), common, settings), "sets")
+    members = members.join(sets, "node").join(nodes.select("node", F.col("n_shingles").alias("n")), "node")
     found = _compared(scratch, members, "family", F.octet_length("items"), _linked(settings), ["n", "items", "rare"])
     return connect(scratch, found, roots)
 

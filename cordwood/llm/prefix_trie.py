@@ -48,7 +48,7 @@ from cordwood.llm.shared import Scratch
 
 MODULUS = (1 << 61) - 1
 #: Subtrees up to this weight, or this part of all turns if that is more, are never divided.
-LEAST_LIMIT, PART_LIMIT = 8192, 15
+LEAST_LIMIT, PART_LIMIT = 512, 15
 #: Nodes that are folded together, about.
 SHARD_NODES, BAND_NODES = 1 << 16, 1 << 20
 #: So many upper nodes are broadcast; more are joined by shuffle.
