@@ -11,7 +11,7 @@ is never compared as a whole in one row.
    same nodes are one list. Nodes of a list are met in the order of their sizes by leaders: a
    node whose size rules out a link to the last leader is the next leader. That makes one pair
    a node, not all pairs of the list.
-3. A pair goes on if the n-grams that both have in each of 64 ranges of hashes could suffice.
+3. A pair goes on if the n-grams that both have in each of 256 ranges of hashes could suffice.
    Its overlap is counted per fragment and summed: first the leader that a node shares most
    lists with, then what is still apart. Links make components.
 4. Lists that still hold several components are compared completely, in blocks, by sizes and
@@ -59,7 +59,7 @@ POSTED, COUNTED = 1 << 18, 1 << 21
 BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Pairs that share a copy of their first node's segments.
 PAIRS_PER_COPY = 2048
-RANGES = 64
+RANGES = 256
 
 
 @dataclass(frozen=True)
@@ -315,7 +315,7 @@ def _ranges(texts: DataFrame, settings: Settings) -> DataFrame:
             found = []
             for text in as_bytes(batch.column("text")):
                 hashes = shingle_hashes(text, settings.width)
-                counts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+                counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES)
                 found.append((counts if counts.max() < 255 else np.full(RANGES, 255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "ranges"])
 
