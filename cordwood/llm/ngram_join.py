@@ -78,8 +78,16 @@ class Settings:
         return 100 * common >= self.percent * (one + two - common)
 
 
+def _counted(hashes: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """The n-grams that are frequent among those of a portion, and how often each occurs."""
+    values, n = np.unique(np.concatenate(hashes), return_counts=True)
+    often = n > max(1, int(n.sum()) >> COMMON)
+    return values[often].tobytes(), n[often].astype(np.int64).tobytes()
+
+
 def _sign(docs: DataFrame, carry: list[str], width: int) -> DataFrame:
-    """Per document: ``row``, ``doc_id``, two hashes of the text, ``n_shingles`` and two hashes of the set."""
+    """Per document: ``row``, ``doc_id``, two hashes of the text, ``n_shingles`` and two hashes of
+    the set. Rows with ``shingles`` and ``counts`` hold instead what is frequent in a portion."""
     text = F.col("text").cast("string")
     narrow = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"),
@@ -88,21 +96,37 @@ def _sign(docs: DataFrame, carry: list[str], width: int) -> DataFrame:
         F.xxhash64(F.lit(1), text).alias("key2"),
         text.alias("text"),
     )
-    schema = T.StructType([f for f in narrow.schema if f.name != "text"])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in narrow.schema if f.name != "text"])
     for name in ("n_shingles", "set1", "set2"):
         schema = schema.add(name, T.LongType())
+    schema = schema.add("shingles", T.BinaryType()).add("counts", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kinds = [], 0, None
+
+        def portion() -> pa.RecordBatch:
+            blobs = [pa.array([blob], pa.binary()) for blob in _counted(held)]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in kinds), *blobs], names=schema.names)
+
         for batch in batches:
             found = []
             for value in as_bytes(batch.column("text")):
                 hashes = shingle_hashes(value, width)
                 whole = xxhash.xxh3_128_digest(hashes.tobytes())
                 found.append((len(hashes), *np.frombuffer(whole, dtype="<i8").tolist()))
-            kept = [n for n in batch.schema.names if n != "text"]
+                held.append(hashes)
+                size += len(hashes)
+            kept = [batch.column(n) for n in batch.schema.names if n != "text"]
             figures = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-            names = [*kept, "n_shingles", "set1", "set2"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *figures], names=names)
+            columns = [*kept, *figures]
+            kinds = [column.type for column in columns]
+            nothing = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, nothing, nothing], names=schema.names)
+            if size >= COUNTED:
+                yield portion()
+                held, size = [], 0
+        if size:
+            yield portion()
 
     return narrow.mapInArrow(run, schema)
 
@@ -128,33 +152,19 @@ class _Texts:
         return found.where(F.col("_doc").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
 
-def _common(docs: DataFrame, entries: int, settings: Settings) -> np.ndarray:
+def _common(portions: DataFrame, entries: int) -> np.ndarray:
     """Sorted hashes of the n-grams that more than 2**-COMMON of all entries are.
 
     Such an n-gram is as frequent in at least one of the portions that tasks count, which is
     where it is noticed. The order of n-grams changes no result, only the length of lists.
     """
 
-    def count(hashes: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(hashes or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
-        often = n > max(1, int(n.sum()) >> COMMON)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["shingle", "n"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for value in as_bytes(batch.column("text")):
-                held.append(shingle_hashes(value, settings.width))
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield count(held)
-                    held, size = [], 0
-        yield count(held)
+            blobs = (b"".join(batch.column(n).to_pylist()) for n in ("shingles", "counts"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b, dtype=np.int64)) for b in blobs], names=["shingle", "n"])
 
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = portions.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # More entries than this for each of them: there can't be more than 2**COMMON.
     rows = counted.where(F.col("n") > max(16, entries >> COMMON)).select("shingle").collect()
     return np.sort(np.array([row[0] for row in rows], dtype=np.int64).view(np.uint64))
@@ -452,49 +462,61 @@ class _Forest:
         return one != two
 
 
-def _mixed(members: DataFrame, group: str) -> DataFrame:
-    """The members (node, root) of the groups that hold several components."""
-    kinds = members.groupBy(group).agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    return members.join(kinds.where("_low <> _high").select(group), group, "left_semi")
+def _compared(
+    scratch: Scratch, members: DataFrame, group: str, size: Column, run, described: DataFrame, carried: list[str]
+) -> DataFrame:
+    """(a, b) that ``run`` hands on from the groups of ``members`` (group, node, root and what
+    ``size`` needs) that hold several components.
 
-
-def _compared(scratch: Scratch, members: DataFrame, group: str, size: Column, run, carried: list[str]) -> DataFrame:
-    """(a, b) that ``run`` hands on from the pairs of blocks of every group.
-
-    Nodes of a component that fills a block lie in blocks of their own, so that pairs of
-    blocks of one and the same component need no comparing. Block pairs are made from the
-    narrow table of blocks; their nodes are joined by group and block, so no key holds more
-    than the pairs of one block.
+    ``described`` has the ``carried`` columns of the nodes; they are joined last, and moved once
+    to the group or block. A group of up to one block is compared in a row. In others, nodes of a
+    component that fills a block lie in blocks of their own, so that pairs of blocks of one and
+    the same component need no comparing. Block pairs are made from the narrow table of blocks;
+    their nodes are joined by group and block, so no key holds more than the pairs of one block.
     """
     weight = F.greatest(F.lit(1) / BLOCK, size / BLOCK_BYTES)
-    kinds = members.groupBy(group, "root").agg(F.sum(weight).alias("w")).withColumn("own", F.col("w") >= 0.5)
-    rest = kinds.where("NOT own").groupBy(group).agg(F.ceil(F.sum("w")).alias("shared"))
-    dealt = members.join(kinds, [group, "root"]).join(rest, group, "left")
-    own = F.concat_ws("/", F.col("root"), F.pmod(F.xxhash64("node"), F.ceil("w")))
-    block = F.when(F.col("own"), own).otherwise(F.pmod(F.xxhash64("root"), F.col("shared")).cast("string"))
-    blocks = dealt.withColumn("block", block).groupBy(group, "block").agg(
-        F.collect_list(F.struct("node", "root", *carried)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    blocks = scratch.write(blocks, "blocks")
-    names = blocks.select(group, "block", "low", "high")
-    others = names.select(group, F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = names.join(others, group).where("block <= other AND (low <> high OR low2 <> high2 OR low <> low2)")
-    left = blocks.select(group, "block", F.col("nodes").alias("left"))
-    right = blocks.select(group, F.col("block").alias("other"), F.col("nodes").alias("right"))
-    both = pairs.select(group, "block", "other").join(left, [group, "block"]).join(right, [group, "other"])
-    both = both.select("left", "right", (F.col("block") == F.col("other")).alias("same"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    members = members.withColumn("_w", weight)
+    totals = members.groupBy(group).agg(F.sum("_w").alias("_total"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    totals = totals.where("_low <> _high").select(group, "_total")
+    mixed = scratch.write(members.join(totals, group).select(group, "node", "root", "_w", "_total"), "mixed")
+    described = described.select("node", *carried)
+    nodes = F.collect_list(F.struct("node", "root", *carried)).alias("nodes")
+
+    def pairs_of(left: pa.StructScalar, right: pa.StructScalar | None) -> pa.RecordBatch:
+        pairs = list(run(left.values, (left if right is None else right).values, right is None))
+        columns = list(zip(*pairs, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    def compare_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right, same in zip(batch.column("left"), batch.column("right"), batch.column("same").to_pylist(), strict=True):
-                one = left.values
-                pairs = list(run(one, one if same else right.values, same))
-                columns = list(zip(*pairs, strict=True)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            for block in batch.column("nodes"):
+                yield pairs_of(block, None)
 
-    found = scratch.write(both.mapInArrow(compare, "a long, b long").distinct(), "forest")
-    scratch.drop(blocks)
-    return found
+    def compare_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, same in zip(batch.column("left"), batch.column("right"), batch.column("same").to_pylist(), strict=True):
+                yield pairs_of(left, None if same else right)
+
+    small = mixed.where("_total <= 1").join(described, "node").groupBy(group).agg(nodes)
+    found = small.select("nodes").mapInArrow(compare_one, "a long, b long")
+    large = mixed.where("_total > 1")
+    if not large.isEmpty():
+        kinds = large.groupBy(group, "root").agg(F.sum("_w").alias("w")).withColumn("own", F.col("w") >= 0.5)
+        rest = kinds.where("NOT own").groupBy(group).agg(F.ceil(F.sum("w")).alias("shared"))
+        dealt = large.join(kinds, [group, "root"]).join(rest, group, "left")
+        own = F.concat_ws("/", F.col("root"), F.pmod(F.xxhash64("node"), F.ceil("w")))
+        block = F.when(F.col("own"), own).otherwise(F.pmod(F.xxhash64("root"), F.col("shared")).cast("string"))
+        blocks = dealt.select(group, "node", "root", block.alias("block")).join(described, "node").groupBy(group, "block")
+        blocks = scratch.write(blocks.agg(nodes, F.min("root").alias("low"), F.max("root").alias("high")), "blocks")
+        names = blocks.select(group, "block", "low", "high")
+        others = names.select(group, F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        pairs = names.join(others, group).where("block <= other AND (low <> high OR low2 <> high2 OR low <> low2)")
+        left = blocks.select(group, "block", F.col("nodes").alias("left"))
+        right = blocks.select(group, F.col("block").alias("other"), F.col("nodes").alias("right"))
+        both = pairs.select(group, "block", "other").join(left, [group, "block"]).join(right, [group, "other"])
+        both = both.select("left", "right", (F.col("block") == F.col("other")).alias("same"))
+        found = found.unionByName(both.mapInArrow(compare_two, "a long, b long"))
+    return scratch.write(found.distinct(), "forest")
 
 
 def _numbers(side: pa.StructArray, name: str) -> np.ndarray:
@@ -511,15 +533,16 @@ def _possible(settings: Settings):
             ranges = np.frombuffer(b"".join(side.field("ranges").to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
             sides.append((_numbers(side, "node"), _numbers(side, "root"), _numbers(side, "n"), ranges))
         (node, root, n, ranges), (node2, root2, n2, ranges2) = sides
-        for i in range(len(node)):
-            others = np.flatnonzero((root2 != root[i]) & (100 * np.minimum(n[i], n2) >= settings.percent * np.maximum(n[i], n2)))
-            if same:
-                others = others[others > i]
-            most = np.minimum(_most_common(ranges[i], ranges2[others]), np.minimum(n[i], n2[others]))
-            for j in others[settings.is_link(most, n[i], n2[others])].tolist():
-                one, two = int(node[i]), int(node2[j])
-                if forest.join(one, two):
-                    yield min(one, two), max(one, two)
+        sizes = 100 * np.minimum(n[:, None], n2) >= settings.percent * np.maximum(n[:, None], n2)
+        apart = sizes & (root[:, None] != root2)
+        one, two = np.nonzero(np.triu(apart, 1) if same else apart)
+        for at in range(0, len(one), 8192):
+            i, j = one[at : at + 8192], two[at : at + 8192]
+            most = np.minimum(_most_common(ranges[i], ranges2[j]), np.minimum(n[i], n2[j]))
+            fits = settings.is_link(most, n[i], n2[j])
+            for a, b in zip(node[i[fits]].tolist(), node2[j[fits]].tolist(), strict=True):
+                if forest.join(a, b):
+                    yield min(a, b), max(a, b)
 
     return run
 
@@ -568,11 +591,13 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _components(docs: DataFrame, nodes: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame | None:
+def _components(
+    docs: DataFrame, portions: DataFrame, nodes: DataFrame, settings: Settings, scratch: Scratch
+) -> DataFrame | None:
     """(node, root) of the nodes that are linked to a smaller one."""
     find = _Texts(docs, scratch)
     entries = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    common = _common(docs, entries, settings)
+    common = _common(portions, entries)
     parts = max(1, entries * (101 - settings.percent) // 100 // POSTED)
     lists = scratch.write(_lists(docs, common, parts, settings), "lists")
     members = scratch.write(_entries(lists, nodes), "entries")
@@ -600,18 +625,21 @@ def _components(docs: DataFrame, nodes: DataFrame, settings: Settings, scratch:
 
     # A list of two nodes has been compared completely.
     long = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("group")
-    members = rooted(members.join(long, "group", "left_semi").select("group", "node", "n"), roots, "node", "root")
-    mixed = _mixed(scratch.write(members, "members"), "group").join(ranges, "node")
-    forest = _compared(scratch, mixed, "group", F.lit(RANGES + 24), _possible(settings), ["n", "ranges"])
+    members = rooted(members.join(long, "group", "left_semi").select("group", "node"), roots, "node", "root")
+    sizes = nodes.select("node", F.col("n_shingles").alias("n"))
+    described = ranges.join(sizes, "node")
+    forest = _compared(scratch, members, "group", F.lit(RANGES + 24), _possible(settings), described, ["n", "ranges"])
     if forest.isEmpty():
         return roots
     families = connect(scratch, forest)
-    members = rooted(_nodes_of(forest), families, "node", "family")
-    members = _mixed(scratch.write(rooted(members, roots, "node", "root"), "family-members"), "family")
-    whole = nodes.join(members.select("node"), "node", "left_semi")
-    sets = scratch.write(_sets(find.of(whole), common, settings), "sets")
-    members = members.join(sets, "node").join(nodes.select("node", F.col("n_shingles").alias("n")), "node")
-    found = _compared(scratch, members, "family", F.octet_length("items"), _linked(settings), ["n", "items", "rare"])
+    members = rooted(rooted(_nodes_of(forest), families, "node", "family"), roots, "node", "root")
+    members = scratch.write(members.join(sizes, "node"), "family-members")
+    kinds = members.groupBy("family").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    mixed = members.join(kinds.where("_low <> _high").select("family"), "family", "left_semi").select("node")
+    sets = scratch.write(_sets(find.of(nodes.join(mixed, "node", "left_semi")), common, settings), "sets")
+    found = _compared(
+        scratch, members, "family", 8 * F.col("n"), _linked(settings), sets.join(sizes, "node"), ["n", "items", "rare"]
+    )
     return connect(scratch, found, roots)
 
 
@@ -620,14 +648,16 @@ def jaccard_components(docs: DataFrame, carry: list[str], settings: Settings | N
     ``n_shingles`` and ``component_id``, the least ``doc_id`` reachable by links."""
     settings = settings or Settings()
     scratch = Scratch(docs.sparkSession, "ngram")
-    signed = scratch.write(_sign(docs, carry, settings.width), "signed")
+    every = scratch.write(_sign(docs, carry, settings.width), "signed")
+    signed = every.where("shingles IS NULL").drop("shingles", "counts")
+    portions = every.where("shingles IS NOT NULL").select("shingles", "counts")
     nodes = signed.where("n_shingles > 0").groupBy("set1", "set2").agg(
         F.min("doc_id").alias("least_doc"),
         F.max(F.struct("doc_id", "key1", "key2")).alias("one"),
         F.first("n_shingles").alias("n_shingles"),
     )
     nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = _components(docs, nodes, settings, scratch)
+    roots = _components(docs, portions, nodes, settings, scratch)
     told = rooted(nodes.select("set1", "set2", "node", "least_doc"), roots, "node", "root")
     least = told.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     labels = scratch.write(told.join(least, "root").select("set1", "set2", "component_id"), "labels")
