@@ -106,6 +106,18 @@ def _stable_prefix(term: str) -> str:
     return term[:-2]
 
 
+def where_terms(df: DataFrame, stored: str, column: str, terms: list[str]) -> DataFrame:
+    """Rows whose stored index terms hold every term; no terms match nothing.
+
+    Where a row has no stored terms they are made from its text column.
+    """
+    if not terms:
+        return df.where(F.lit(False))
+    wanted = F.array(*[F.lit(term) for term in terms])
+    held = F.coalesce(F.col(stored), message_terms(column))
+    return df.where(F.size(F.array_intersect(held, wanted)) == len(set(terms)))
+
+
 def where_text(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
     """Rows whose text column holds every term; no terms match nothing.
 

@@ -8,13 +8,16 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cordwood.functions.cursors import PageCursor, decode_cursor, encode_cursor, parse_moment
-from cordwood.functions.fulltext import query_terms, where_text
+from cordwood.functions.fulltext import query_terms, where_terms, where_text
 from cordwood.functions.times import UTC, as_utc, moment_literal
+from cordwood.operators.store import LogTable, read_logs, read_term_hours, read_totals
+from cordwood.operators.terms import hours_of, within_hours
+from cordwood.operators.totals import rows_by_day
 from cordwood.schemas import DEFAULT_PAGE, LEVELS, MAX_FILTER_BYTES, MAX_PAGE, RECORD_FIELDS
 
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=UTC)
@@ -136,7 +139,11 @@ def matching(df: DataFrame, params: SearchParams) -> DataFrame:
         tests.append(F.col("level") == _level_name(params.level))
     found = df.where(reduce(and_, tests)) if tests else df
     if params.query:
-        found = where_text(found, "message", query_terms(df.sparkSession, params.query))
+        wanted = query_terms(df.sparkSession, params.query)
+        if "message_terms" in df.columns:
+            found = where_terms(found, "message_terms", "message", wanted)
+        else:
+            found = where_text(found, "message", wanted)
     return found
 
 
@@ -197,6 +204,25 @@ def search(df: DataFrame, params: SearchParams) -> SearchPage:
     return SearchPage(newest_first(found, limit), newest_first(found, limit + 1), limit)
 
 
+#: Days in the second step of a search over stored days.
+_SECOND_STEP = 31
+
+
+def _stored_windows(days: Sequence[dt.date], enough: int) -> Iterator[tuple[dt.date | None, dt.date | None]]:
+    """``[low, high)`` day ranges over the days that exist: the newest ``enough``, the next
+    month of them, then all others."""
+    days = sorted(days, reverse=True)
+    high: dt.date | None = None
+    at = 0
+    for size in (max(enough, 1), _SECOND_STEP):
+        step = days[at : at + size]
+        if step:
+            yield step[-1], high
+            high, at = step[-1], at + size
+    if days[at:]:
+        yield None, high
+
+
 def _day_windows(params: SearchParams, today: dt.date) -> Iterator[tuple[dt.date | None, dt.date | None]]:
     """``[low, high)`` day ranges from the newest back, doubling in length, the last unbounded."""
     known_end = min(
@@ -222,14 +248,18 @@ def _day_windows(params: SearchParams, today: dt.date) -> Iterator[tuple[dt.date
 
 
 def fetch_page(
-    logs: DataFrame, params: SearchParams, today: dt.date | None = None
+    logs: DataFrame,
+    params: SearchParams,
+    today: dt.date | None = None,
+    windows: Iterator[tuple[dt.date | None, dt.date | None]] | None = None,
 ) -> tuple[list[Row], str]:
     """Rows of one page and the encoded next cursor, reading recent days first.
 
     For a table partitioned by ``event_date`` the newest days are searched
     before older ones and the search stops once the page is full, so the first
     page of a long history reads a day or two of it. At most limit + 1 rows
-    reach the driver.
+    reach the driver. ``windows`` gives the ranges of days to go through, where
+    the days that exist are known.
     """
     limit = page_limit(params.limit)
     if "event_date" not in logs.columns:
@@ -238,7 +268,7 @@ def fetch_page(
         return _without_instant(rows[:limit]), encode_cursor(_next_cursor(rows, limit))
     rows: list[Row] = []
     today = today or dt.datetime.now(UTC).date()
-    for low, high in _day_windows(params, today):
+    for low, high in _day_windows(params, today) if windows is None else windows:
         window = logs
         if low is not None:
             window = window.where(F.col("event_date") >= F.lit(low))
@@ -252,6 +282,38 @@ def fetch_page(
     return _without_instant(rows[:limit]), encode_cursor(_next_cursor(rows, limit))
 
 
+def fetch_stored_page(spark: SparkSession, table: LogTable | str, params: SearchParams) -> tuple[list[Row], str]:
+    """A page from a stored table, by its counts and its index of terms.
+
+    A text is looked up in the index first, and only the hours where all its terms occur are
+    read. Days come from the counts of the table, so empty days take no job: a first step over
+    the newest days that hold a page without filters, then a month, then the rest.
+    """
+    logs = read_logs(spark, table)
+    totals, index = read_totals(spark, table), read_term_hours(spark, table)
+    if totals is None:
+        return fetch_page(logs, params)
+    stored = rows_by_day(totals)
+    for test in _date_bounds(stored, params):
+        stored = stored.where(test)
+    # One row for each stored day.
+    days = {row["event_date"]: row["rows"] for row in stored.collect()}
+    wanted = query_terms(spark, params.query) if params.query else []
+    if wanted:
+        hours = hours_of(index, wanted)
+        for test in _date_bounds(hours, params):
+            hours = hours.where(test)
+        found = [tuple(row) for row in hours.collect()]
+        logs = within_hours(logs, found)
+        days = {day: days.get(day, 0) for day in {day for day, _ in found}}
+    limit, enough, rows = page_limit(params.limit), 0, 0
+    for day in sorted(days, reverse=True):
+        enough, rows = enough + 1, rows + days[day]
+        if rows > limit:
+            break
+    return fetch_page(logs, params, windows=_stored_windows(list(days), enough))
+
+
 def walk_pages(
     logs: DataFrame, params: SearchParams, today: dt.date | None = None
 ) -> Iterator[list[Row]]:

@@ -1,23 +1,29 @@
 """The stored log table: idempotent insert, first write wins.
 
-Two Parquet folders make up a table:
+Parquet folders make up a table:
 
-``logs/``    the records, partitioned by ``event_date`` and sorted by time
-             within each file;
+``logs/``    the records with their index terms, partitioned by ``event_date``
+             and sorted by time within each file;
 ``claims/``  one narrow row per stored id with the stream position that won
-             it, partitioned by a hash bucket of the id;
+             it, partitioned by a hash bucket of the id and sorted by a hash;
+``terms/``   in which hours a term occurs (``operators.terms``);
+``totals/``  counts of each batch (``operators.totals``);
 ``layout/``  the number of buckets, written with the first batch.
 
 A batch looks its ids up in the claims, which hold every id ever stored and
-nothing else, instead of in the records. One writer per table is assumed.
+nothing else, instead of in the records. A small batch probes the claims by the
+hashes of its ids, so it reads the pages that may hold them and not the
+history. Claims, terms and totals are written before the records. One writer
+per table is assumed.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -25,10 +31,12 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cordwood.functions.fulltext import message_terms
 from cordwood.functions.levels import strict_level
-from cordwood.operators.firstwins import first_per_key
 from cordwood.functions.times import utc_day
-from cordwood.schemas import POSITION, RECORD, RECORD_FIELDS
+from cordwood.operators import terms, totals
+from cordwood.operators.firstwins import first_per_key
+from cordwood.schemas import POSITION, STORED
 
 CLAIM = T.StructType(
     [
@@ -36,14 +44,25 @@ CLAIM = T.StructType(
         T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
         T.StructField("offset", T.LongType()),
+        T.StructField("id_hash", T.LongType()),
         T.StructField("bucket", T.IntegerType()),
     ]
 )
 
-LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
+LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType()), T.StructField("version", T.IntegerType())])
+#: From this version on claims have hashes, and terms and totals cover all records.
+VERSION = 2
 
 #: Buckets of a new table whose creator doesn't choose.
 DEFAULT_BUCKETS = 16
+#: A batch of up to so many ids probes the claims; a larger one is joined to them.
+PROBED_IDS = 256
+#: Parquet settings by which pages and row groups without an id are skipped.
+_PROBED = {
+    "parquet.bloom.filter.enabled#id_hash": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.page.row.count.limit": "1000",
+}
 
 
 @dataclass(frozen=True)
@@ -58,6 +77,7 @@ class LogTable:
     path: str
     buckets: int | None = None
     broadcast_bytes: int = 64 * 1024 * 1024
+    version: int | None = None
 
     @property
     def layout_path(self) -> str:
@@ -71,6 +91,14 @@ class LogTable:
     def claims_path(self) -> str:
         return f"{self.path.rstrip('/')}/claims"
 
+    @property
+    def terms_path(self) -> str:
+        return f"{self.path.rstrip('/')}/terms"
+
+    @property
+    def totals_path(self) -> str:
+        return f"{self.path.rstrip('/')}/totals"
+
 
 def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     """A Parquet folder with a fixed schema; empty before the first write."""
@@ -83,9 +111,21 @@ def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, table: LogTable | str) -> DataFrame:
-    """All stored records, with ``event_date`` for partition pruning."""
+    """All stored records, with ``event_date`` for partition pruning and ``message_terms``."""
     table = LogTable(table) if isinstance(table, str) else table
-    return _read(spark, RECORD, table.logs_path)
+    return _read(spark, STORED, table.logs_path)
+
+
+def read_term_hours(spark: SparkSession, table: LogTable | str) -> DataFrame | None:
+    """The index of terms, where it covers all records."""
+    table = open_table(spark, table)
+    return _read(spark, terms.TERM_HOUR, table.terms_path) if table.version >= VERSION else None
+
+
+def read_totals(spark: SparkSession, table: LogTable | str) -> DataFrame | None:
+    """The counts of all records, where they cover them."""
+    table = open_table(spark, table)
+    return totals.last_attempts(_read(spark, totals.TOTAL, table.totals_path)) if table.version >= VERSION else None
 
 
 def open_table(spark: SparkSession, table: LogTable | str, create: bool = False) -> LogTable:
@@ -93,14 +133,14 @@ def open_table(spark: SparkSession, table: LogTable | str, create: bool = False)
     table = LogTable(table) if isinstance(table, str) else table
     kept = _read(spark, LAYOUT, table.layout_path).first()
     if kept is None:
-        table = replace(table, buckets=table.buckets or DEFAULT_BUCKETS)
+        table = replace(table, buckets=table.buckets or DEFAULT_BUCKETS, version=VERSION)
         if create:
-            row = spark.createDataFrame([(table.buckets,)], LAYOUT)
+            row = spark.createDataFrame([(table.buckets, table.version)], LAYOUT)
             row.coalesce(1).write.mode("overwrite").parquet(table.layout_path)
         return table
     if table.buckets not in (None, kept["buckets"]):
         raise ValueError(f"the table at {table.path} has {kept['buckets']} buckets, not {table.buckets}")
-    return replace(table, buckets=kept["buckets"])
+    return replace(table, buckets=kept["buckets"], version=kept["version"] or 1)
 
 
 def to_records(
@@ -126,11 +166,11 @@ def _bucket(table: LogTable) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(table.buckets)).cast("int")
 
 
-def _append(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
+def _append(df: DataFrame, path: str, partition: str, order: list[str], settings: Mapping[str, str] | None = None) -> None:
     """Append with few files per partition; a hot partition is split, not piled up."""
     balanced = df.hint("rebalance", F.col(partition))
     ordered = balanced.sortWithinPartitions(partition, *order)
-    ordered.write.mode("append").partitionBy(partition).parquet(path)
+    ordered.write.mode("append").options(**settings or {}).partitionBy(partition).parquet(path)
 
 
 def _claims_of(ids: DataFrame, sizes: list[Row], table: LogTable) -> DataFrame:
@@ -159,6 +199,22 @@ def _claims_of(ids: DataFrame, sizes: list[Row], table: LogTable) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _probed_claims(ids: DataFrame, table: LogTable) -> DataFrame:
+    """Claims of a few ids: only pages that may hold one of their hashes are read.
+
+    Equalities are pushed down one by one; a list of values would reach Parquet as its
+    bounds only.
+    """
+    rows = ids.select("bucket", "id", F.xxhash64("id").alias("id_hash")).collect()
+    claims = _read(ids.sparkSession, CLAIM, table.claims_path)
+    tests = [F.col("id_hash") == row["id_hash"] for row in rows]
+    while len(tests) > 1:
+        # Pair by pair, so that the tree stays flat.
+        tests = [reduce(or_, tests[at : at + 2]) for at in range(0, len(tests), 2)]
+    chosen = F.col("bucket").isin(sorted({row["bucket"] for row in rows}))
+    return claims.where(chosen).where(tests[0]).where(F.col("id").isin([row["id"] for row in rows]))
+
+
 def pending(winners: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
     """The winners still to be stored, each with the claim on its id (``_claim``) if any.
 
@@ -202,7 +258,9 @@ def insert_logs(
         if not unique:
             return {"unique": 0, "stored": 0}
         table = open_table(spark, table, create=True)
-        found = _claims_of(winners.select("bucket", "id"), sizes, table)
+        ids = winners.select("bucket", "id")
+        probed = unique <= PROBED_IDS and table.version >= VERSION
+        found = _probed_claims(ids, table) if probed else _claims_of(ids, sizes, table)
         found.groupBy("id").agg(F.min(F.struct(*POSITION)).alias("_claim")).write.parquet(lookup)
         seen = spark.read.parquet(lookup)
         small = sum(size["bytes"] for size in sizes) <= table.broadcast_bytes
@@ -226,7 +284,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _store(pending: DataFrame, table: LogTable, received_at: Column | None) -> int:
     replayed = F.col("_claim").isNotNull()
     facts = pending.agg(
-        F.count_if(~replayed).alias("fresh"), F.count_if(replayed).alias("again")
+        F.count_if(~replayed).alias("fresh"),
+        F.count_if(replayed).alias("again"),
+        F.bit_xor(F.xxhash64("id", *POSITION)).alias("key"),
     ).first()
     missing, lost = pending, 0
     if facts["again"]:
@@ -237,13 +297,24 @@ def _store(pending: DataFrame, table: LogTable, received_at: Column | None) -> i
         missing = pending.join(present.select("event_date", "id"), ["event_date", "id"], "left_anti")
         lost = missing.where(replayed).count()
     if facts["fresh"]:
-        fresh = pending.where(~replayed).select(*CLAIM.fieldNames())
-        _append(fresh, table.claims_path, "bucket", ["id"])
+        fresh = pending.where(~replayed).withColumn("id_hash", F.xxhash64("id")).select(*CLAIM.fieldNames())
+        _append(fresh, table.claims_path, "bucket", ["id_hash"], _PROBED)
     if not facts["fresh"] + lost:
         return 0
-    records = to_records(missing, received_at)
-    stored = records.withColumn("event_date", F.expr(utc_day("timestamp")))
-    _append(
-        stored.select(*RECORD_FIELDS, "event_date"), table.logs_path, "event_date", ["timestamp", "id"]
-    )
+    records = to_records(missing, received_at).withColumn("event_date", F.expr(utc_day("timestamp")))
+    if table.version >= VERSION:
+        records = records.withColumn("message_terms", message_terms("message"))
+    else:
+        records = records.withColumn("message_terms", F.lit(None).cast("array<string>"))
+    records = records.select(*STORED.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if table.version >= VERSION:
+            _append(terms.term_hours(records), table.terms_path, "bucket", ["term", "event_date", "hour"], terms.FILTERED)
+            # The same records of a batch make the same key, whenever they are stored.
+            key = F.lit(f"{facts['key']}:{facts['fresh'] + facts['again']}")
+            counted = totals.batch_totals(records, key, F.unix_micros(F.current_timestamp()))
+            counted.coalesce(1).write.mode("append").parquet(table.totals_path)
+        _append(records, table.logs_path, "event_date", ["timestamp", "id"])
+    finally:
+        records.unpersist()
     return facts["fresh"] + lost

@@ -54,6 +54,8 @@ RECORD = T.StructType(
         T.StructField("event_date", T.DateType()),
     ]
 )
+# What the table keeps besides: the index terms of the message.
+STORED = T.StructType([*RECORD.fields[:-1], T.StructField("message_terms", T.ArrayType(T.StringType())), RECORD.fields[-1]])
 RECORD_FIELDS = (
     "schema_version",
     "id",

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cordwood.functions.times import format_rfc3339
-from cordwood.operators import store
+from cordwood.operators import store, terms, totals
 from cordwood.operators.firstwins import first_per_key
 from cordwood.operators.quality import constraint_violations, contract_violations, summary_contract
-from cordwood.operators.search import SearchParams, delivery_counts, fetch_page
-from cordwood.operators.store import LogTable, insert_logs, read_logs
+from cordwood.operators.search import SearchParams, delivery_counts, fetch_page, fetch_stored_page
+from cordwood.operators.store import LogTable, insert_logs, read_logs, read_term_hours, read_totals
 from cordwood.operators.summary import services, summary
 from cordwood.operators.validate import classify, valid_events
 from tests.samples import UTC, event, raw_frame
@@ -43,8 +43,9 @@ def test_a_replay_changes_nothing(spark, table):
     assert read_logs(spark, table).count() == 2
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 50, 1 << 20])
-def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, monkeypatch, broadcast_bytes):
+@pytest.mark.parametrize("broadcast_bytes, probed", [(0, 0), (50, 0), (1 << 20, 0), (0, 256)])
+def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, monkeypatch, broadcast_bytes, probed):
+    monkeypatch.setattr(store, "PROBED_IDS", probed)
     table = LogTable(table.path, table.buckets, broadcast_bytes)
     insert_logs(deliveries(spark, [event(id="old")], partition=3), table)
     batch = deliveries(spark, [event(), event(id="b", timestamp="2031-03-09T00:00:00Z"), event(id="old")])
@@ -62,6 +63,104 @@ def test_a_batch_that_died_between_its_two_writes_is_completed(spark, table, mon
     monkeypatch.setattr(store, "_append", append)
     assert insert_logs(batch, table)["stored"] == 2
     assert sorted(r.id for r in read_logs(spark, table).collect()) == ["b", "m-300", "old"]
+    assert_totals_agree(spark, table)
+
+
+def assert_totals_agree(spark, table):
+    """Counts of the table are those of its records."""
+    now = dt.datetime.now(UTC)
+    logs, counted = read_logs(spark, table), read_totals(spark, table)
+    assert totals.summary(counted, now).first() == summary(logs, now).first()
+    assert totals.services(counted).collect() == services(logs).collect()
+    by_day = {r.event_date: r.n for r in logs.groupBy("event_date").agg(F.count("*").alias("n")).collect()}
+    assert {r.event_date: r.rows for r in totals.rows_by_day(counted).collect()} == by_day
+
+
+def test_totals_count_every_record_once(spark, table, monkeypatch):
+    first = deliveries(spark, [event(id=str(n), service=f"s-{n % 3}", level="error") for n in range(20)])
+    later = deliveries(spark, [event(id=str(n), timestamp="2031-04-01T00:00:00Z") for n in range(15, 40)], partition=1)
+    assert read_totals(spark, table).count() == 0
+    for batch in (first, later, first, later):
+        insert_logs(batch, table)
+        assert_totals_agree(spark, table)
+
+
+def bytes_read(spark) -> int:
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_a_lookup_follows_the_batch(spark, tmp_path):
+    """A hundred ids cost about the same in a history ten times as long."""
+    cost = []
+    ids = spark.range(100).selectExpr("concat('new-', id) AS id").collect()
+    for size in (40_000, 400_000):
+        table = store.open_table(spark, LogTable(str(tmp_path / str(size)), buckets=4), create=True)
+        history = spark.range(size).selectExpr("concat('old-', id) AS id", "'t' AS topic", "0 AS partition", "id AS offset")
+        history = history.withColumn("id_hash", F.xxhash64("id")).withColumn("bucket", store._bucket(table))
+        store._append(history, table.claims_path, "bucket", ["id_hash"], store._PROBED)
+        wanted = spark.createDataFrame([*ids, ("old-7",), ("old-39999",)], "id string").withColumn("bucket", store._bucket(table))
+        found = store._probed_claims(wanted, table)
+        before = bytes_read(spark)
+        assert sorted(r.id for r in found.collect()) == ["old-39999", "old-7"]
+        cost.append(bytes_read(spark) - before)
+    stored = sum(f.stat().st_size for f in (tmp_path / "400000").rglob("*.parquet"))
+    assert cost[1] < 2.5 * cost[0] and cost[1] < stored / 4, (cost, stored)
+
+
+def test_a_table_without_hashes_is_joined(spark, table, monkeypatch):
+    """What was written before claims had hashes is looked up by a join and read by its text."""
+    monkeypatch.setattr(store, "VERSION", 1)
+    assert insert_logs(deliveries(spark, [event(id="a"), event(id="b")]), table)["stored"] == 2
+    monkeypatch.undo()
+    again = deliveries(spark, [event(id="a"), event(id="c", message="posting entries")], partition=1)
+    assert insert_logs(again, table) == {"unique": 2, "stored": 1}
+    assert read_totals(spark, table) is None and read_term_hours(spark, table) is None
+    rows, _ = fetch_stored_page(spark, table, SearchParams(query="entry"))
+    assert [r.id for r in rows] == ["c", "b", "a"]
+
+
+def test_a_text_is_looked_up_in_the_index(spark, table):
+    days = [f"20{year}-05-0{day}T0{day}:30:00Z" for year in range(10, 20) for day in (1, 2)]
+    events = [event(id=f"d-{n}", timestamp=day, message=f"posted entry {n}") for n, day in enumerate(days)]
+    events += [event(id="rare", timestamp=days[0], message="a zebra was seen"), event(id="two", timestamp=days[3], message="Zebras")]
+    insert_logs(deliveries(spark, events), table)
+    logs = read_logs(spark, table)
+    hours = sorted(map(tuple, terms.hours_of(read_term_hours(spark, table), ["zebra"]).collect()))
+    assert hours == [(dt.date(2010, 5, 1), 1), (dt.date(2011, 5, 2), 2)]
+    narrow = terms.within_hours(logs, hours)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = narrow._jdf.queryExecution().explainString(mode)
+    assert "event_date#" in text.split("PartitionFilters:")[1].split("\n")[0] and "GreaterThanOrEqual(timestamp," in text
+    assert len(narrow.inputFiles()) <= 20 and narrow.count() == 4
+    for query in ("zebra", "entries 3", "posting", "nothing like it", "the of", "seen zebras"):
+        rows, cursor = fetch_stored_page(spark, table, SearchParams(query=query, limit=7))
+        plain = fetch_page(logs.drop("message_terms"), SearchParams(query=query, limit=7))
+        assert ([r.id for r in rows], cursor) == ([r.id for r in plain[0]], plain[1])
+    old = logs.withColumn("message_terms", F.lit(None).cast("array<string>"))
+    assert [r.id for r in fetch_page(old, SearchParams(query="zebra"))[0]] == ["two", "rare"]
+
+
+def test_a_sparse_history_takes_three_jobs(spark, table, monkeypatch):
+    days = [f"20{year}-0{month}-01T00:00:00Z" for year in range(10, 30) for month in range(1, 10, 2)]
+    insert_logs(deliveries(spark, [event(id=f"{n:03}", timestamp=day) for n, day in enumerate(days)]), table)
+    from cordwood.operators import search
+
+    seen = []
+    newest_first = search.newest_first
+    monkeypatch.setattr(search, "newest_first", lambda df, n: seen.append(n) or newest_first(df, n))
+    expected = [f"{n:03}" for n in reversed(range(100))]
+    rows, cursor = fetch_stored_page(spark, table, SearchParams(limit=10))
+    assert [r.id for r in rows] == expected[:10] and cursor and len(seen) == 1
+    seen.clear()
+    rows, cursor = fetch_stored_page(spark, table, SearchParams(limit=60, level="info"))
+    assert [r.id for r in rows] == expected[:60] and len(seen) <= 3
+    seen.clear()
+    rows, _ = fetch_stored_page(spark, table, SearchParams(limit=60, level="error"))
+    assert rows == [] and len(seen) <= 3
+    from cordwood.functions.cursors import decode_cursor
+
+    rows, cursor = fetch_stored_page(spark, table, SearchParams(limit=60, cursor=decode_cursor(cursor)))
+    assert [r.id for r in rows] == expected[60:] and cursor == ""
 
 
 @pytest.mark.parametrize("limit, joins, broadcasts", [(0, 4, 0), (200, 2, 2), (360, 1, 1)])
@@ -201,7 +300,7 @@ def test_inserts_leave_no_extra_folder(spark, table, tmp_path):
     for n in range(3):
         insert_logs(deliveries(spark, [event(id=f"n-{n}")], partition=n), table)
     left = {path.name for path in (tmp_path / "table").iterdir()}
-    assert left <= {"logs", "claims", "layout", "_lookup"}
+    assert left <= {"logs", "claims", "terms", "totals", "layout", "_lookup"}
     assert not list((tmp_path / "table").glob("_lookup/[!.]*"))
 
 
