@@ -33,21 +33,27 @@ def text_of(value: str) -> str:
     return f"try_variant_get({value}, '$', 'string')"
 
 
-# An escape that is half of a surrogate pair whose other half is missing. The
-# backslashes before it are taken along in pairs, so that an escaped backslash
-# isn't read as the beginning of an escape.
+# An escape that is half of a surrogate pair whose other half is missing. It is looked for
+# where escaped backslashes are masked by a character that no JSON text holds, so that none
+# of them is read as the beginning of an escape.
 _HIGH, _LOW = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-_LONE = rf"(?<!\\)((?:\\\\)*+)(?:{_HIGH}(?!{_LOW})|(?<!{_HIGH}){_LOW})"
+_LONE = rf"{_HIGH}(?!{_LOW})|(?<!{_HIGH}){_LOW}"
+
+
+def _may_hold_surrogates(text: str) -> str:
+    # The u of an escape is lower case.
+    return rf"(contains({text}, '\\ud') OR contains({text}, '\\uD')) AND NOT contains({text}, char(1))"
 
 
 def replace_lone_surrogates(text: str) -> str:
     """SQL: half surrogate escapes of a JSON text as U+FFFD."""
-    return rf"if(contains(lower({text}), '\\ud'), regexp_replace({text}, r'{_LONE}', r'$1\\ufffd'), {text})"
+    masked = rf"regexp_replace(replace({text}, r'\\', char(1)), r'{_LONE}', r'\\ufffd')"
+    return rf"if({_may_hold_surrogates(text)}, replace({masked}, char(1), r'\\'), {text})"
 
 
 def without_lone_surrogates(text: str) -> str:
     """SQL: the JSON text, or NULL if it has half a surrogate pair."""
-    return rf"if(contains(lower({text}), '\\ud') AND {text} RLIKE r'{_LONE}', NULL, {text})"
+    return rf"if({_may_hold_surrogates(text)} AND replace({text}, r'\\', char(1)) RLIKE r'{_LONE}', NULL, {text})"
 
 
 def with_fields(df: DataFrame, name: str, text: str, null_fields: str = "NULL") -> DataFrame:

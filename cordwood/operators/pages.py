@@ -8,30 +8,30 @@ from pyspark.sql import functions as F
 
 from cordwood.operators.firstwins import first_per_key
 from cordwood.schemas import EXPLORER_PAGE
+from cordwood.session import checkpointed
 
 
 def page_numbers(df: DataFrame, page_size: int = EXPLORER_PAGE) -> DataFrame:
     """Add ``row_no`` and ``page_no`` (from 1) in page order, newest first.
 
-    A window over the whole table would put every row into one task. A row's
-    number is the rows of the hours after its own, plus those of the later
-    seconds of its hour, plus its place within its second. The first two come
-    from counts: one row per hour, and at most 3600 of each hour. Only the rows
-    of one second are sorted together. Nothing runs before the result is read.
+    A window over the whole table would put every row into one task. Rows are sorted
+    over ranges of time and id, so a second that holds a third of all rows is divided
+    by id, and fixed by a checkpoint. A row's number is the rows of the partitions before
+    its own, one count for each, plus its place in its partition. Rows without a time
+    come last. Rows with the same time and id have any order among themselves.
     """
-    second = F.unix_seconds(F.col("timestamp").cast("timestamp"))
-    placed = df.withColumn("_second", second).withColumn("_hour", F.expr("_second div 3600"))
-    seconds = placed.groupBy("_hour", "_second").agg(F.count(F.lit(1)).alias("_rows"))
-    hours = seconds.groupBy("_hour").agg(F.sum("_rows").alias("_in_hour"))
-    later_hours = F.sum("_in_hour").over(W.orderBy(F.desc("_hour"))) - F.col("_in_hour")
-    later_seconds = F.sum("_rows").over(W.partitionBy("_hour").orderBy(F.desc("_second"))) - F.col("_rows")
-    before = seconds.withColumn("_later", later_seconds).join(
-        hours.select("_hour", later_hours.alias("_newer")), "_hour"
-    )
-    before = before.select("_second", (F.col("_later") + F.col("_newer")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_second").orderBy(F.desc("timestamp"), F.desc("id")))
-    numbered = placed.withColumn("_place", place).join(before, "_second")
-    numbered = numbered.withColumn("row_no", F.col("_before") + F.col("_place"))
+    order = [F.desc_nulls_last("timestamp"), F.desc_nulls_last("id")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The number of the partition, and below it 33 bits for the place within.
+    placed = checkpointed(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    placed = placed.withColumn("_part", part)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")
+    # One row for each partition of the sort.
+    counts = counts.select("_part", before.alias("_before"))
+    numbered = placed.join(F.broadcast(counts), "_part").withColumn("row_no", F.col("_before") + place + 1)
     return numbered.select(*df.columns, "row_no", F.expr(f"(row_no - 1) div {page_size} + 1").alias("page_no"))
 
 

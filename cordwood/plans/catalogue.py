@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from cordwood.functions import cursors
 from cordwood.functions.cursors import PageCursor
+from cordwood.functions.fulltext import message_terms, query_terms
 from cordwood.functions.levels import lenient_level
 from cordwood.functions.times import UTC, parse_rfc3339_lenient
-from cordwood.operators import deadletter, ingest, pages, parse, quality, search, validate
+from cordwood.operators import deadletter, ingest, pages, parse, quality, search, terms, totals, validate
 from cordwood.operators import summary as counts
 from cordwood.operators.firstwins import first_per_key
 from cordwood.operators.store import pending, to_records
@@ -151,6 +152,43 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.summary(views.logs(spark, sf_dir), views.NOW)
 
 
+def _with_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs as the table keeps them."""
+    logs = views.logs(spark, sf_dir).withColumn("message_terms", message_terms("message"))
+    return logs.withColumn("event_date", F.to_date("timestamp"))
+
+
+@query
+def search_stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_with_terms(spark, sf_dir), query="errors users")
+
+
+@query
+def term_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours that a search for a text has to read."""
+    index = terms.term_hours(_with_terms(spark, sf_dir))
+    hours = terms.hours_of(index, query_terms(spark, "errors users"))
+    return hours.withColumn("event_date", F.col("event_date").cast("string"))
+
+
+def _counted_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the logs as if each day were a batch; some of them were tried twice."""
+    logs = views.logs(spark, sf_dir).withColumn("event_date", F.to_date("timestamp"))
+    counted = totals.batch_totals(logs, F.col("event_date").cast("string"), F.lit(2).cast("long"))
+    lost = counted.where("day(event_date) % 3 = 0 AND level = 'error'").withColumn("attempt", F.lit(1).cast("long"))
+    return totals.last_attempts(counted.unionByName(lost))
+
+
+@query
+def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals.summary(_counted_by_day(spark, sf_dir), views.NOW)
+
+
+@query
+def services_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals.services(_counted_by_day(spark, sf_dir))
+
+
 # Lines to events.
 
 

@@ -151,6 +151,11 @@ UNION ALL
 SELECT id, 'later' AS level, message, "timestamp" FROM logs WHERE "timestamp" < TIMESTAMP '2024-01-20'""",
     "services": f"WITH {_LOGS} SELECT DISTINCT service FROM logs ORDER BY service",
     "summary": f"WITH {_LOGS}, {_SUMMARY} SELECT * FROM summary",
+    "services_totals": f"WITH {_LOGS} SELECT DISTINCT service FROM logs ORDER BY service",
+    "summary_totals": f"WITH {_LOGS}, {_SUMMARY} SELECT * FROM summary",
+    "search_stored_terms": f"WITH {_LOGS} {_FOUND} FROM logs WHERE message LIKE 'error by user %'",
+    "term_hours": f"""WITH {_LOGS} SELECT DISTINCT strftime("timestamp", '%Y-%m-%d') AS event_date,
+ CAST(hour("timestamp") AS INTEGER) AS hour FROM logs WHERE message LIKE 'error by user %'""",
     "parse_plain": f"""WITH {_TURNS}
 SELECT CAST(1 AS BIGINT) AS schema_version, conv_id || '-' || turn || '-' || line_no AS id,
  role AS service, 'info' AS level, line || CASE WHEN broken THEN chr(65533) ELSE '' END AS message, TIMESTAMP '2024-01-30 12:00:00' AS "timestamp",

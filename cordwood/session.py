@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings: timestamps are read and written as UTC, and a repeated
 # JSON key keeps its last value instead of failing the whole document.
@@ -30,6 +32,18 @@ def require_settings(spark: SparkSession) -> None:
         raise ValueError(f"{name} must be true: call cordwood.session.configure(spark)")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that ``spark.checkpoint.dir`` names: fixed from here on,
+    also where executors are lost. A session on one machine may do without the setting."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='cordwood-')}")
+    return df.checkpoint()
+
+
 def local_session(cpus: int | str = 8, app: str = "cordwood", **extra: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (

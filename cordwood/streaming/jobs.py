@@ -85,6 +85,34 @@ def collect(
     return _start(writer, checkpoint, trigger)
 
 
+JUDGED, PUBLISHED = "judged", "published"
+COUNTED = "batch long, phase string, ingested_events long, rejected_events long"
+
+
+def _count(row: DataFrame, path: str) -> None:
+    named = row.toDF("batch", "phase", "ingested_events", "rejected_events")
+    typed = named.selectExpr("cast(batch AS long)", "phase", "cast(ingested_events AS long)", "cast(rejected_events AS long)")
+    typed.coalesce(1).write.mode("append").parquet(path)
+
+
+def ingest_totals(counted: DataFrame) -> DataFrame:
+    """One row of counts from the ``counters`` of an ingest job.
+
+    A batch counts once, however often it was tried: its rejected events as soon as it was
+    judged, its accepted ones once they were published.
+    """
+    batches = counted.groupBy("batch").agg(
+        F.max("ingested_events").alias("ingested"),
+        F.max("rejected_events").alias("rejected"),
+        F.bool_or(F.col("phase") == PUBLISHED).alias("published"),
+    )
+    zero = F.lit(0).cast("long")
+    return batches.agg(
+        F.coalesce(F.sum(F.when(F.col("published"), F.col("ingested"))), zero).alias("ingested_events"),
+        F.coalesce(F.sum("rejected"), zero).alias("rejected_events"),
+    )
+
+
 def ingest(
     requests: DataFrame,
     publish: RowSink,
@@ -92,13 +120,26 @@ def ingest(
     checkpoint: str,
     max_batch: int = MAX_BATCH_EVENTS,
     trigger: dict[str, Any] | None = None,
+    counters: str | None = None,
 ) -> StreamingQuery:
-    """Judge request bodies, publish their valid events, then report the results."""
+    """Judge request bodies, publish their valid events, then report the results.
 
-    def handle(batch: DataFrame, _: int) -> None:
+    ``counters`` names a folder for counts that survive a failure: rejected events are counted
+    before the publish, whatever becomes of it, and accepted ones are confirmed after it;
+    see ``ingest_totals``.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
         judged = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            if counters:
+                # One row for each phase of a batch; a replay writes the same figures again.
+                told = judged.agg(*ingest_counters())
+                _count(told.select(F.lit(number), F.lit(JUDGED), "ingested_events", "rejected_events"), counters)
             publish(publish_events(accepted_events(judged)))
+            if counters:
+                nothing = F.lit(0)
+                _count(batch.sparkSession.range(1).select(F.lit(number), F.lit(PUBLISHED), nothing, nothing), counters)
             results(judged.drop("body", "valid"))
         finally:
             judged.unpersist()

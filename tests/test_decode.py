@@ -148,6 +148,9 @@ def test_empty_key_has_no_hash(spark):
 
 
 def test_half_a_surrogate_pair_is_replaced(spark):
+    texts = [r"\\ud83d\udc00", r"\\\ud83dz", r"\\\\\udc00", r"\ud83d\ud83d\ude00\ude00"]
+    rows = valid_events(classify(raw_frame(spark, [json.dumps(event(message="@")).replace("@", t) for t in texts]))).collect()
+    assert [r.message for r in rows] == ["\\ud83d\ufffd", "\\\ufffdz", "\\\\\ufffd", "\ufffd\U0001f600\ufffd"]
     texts = [r"x\ud800y", r"\udc01", r"\ud83d\ude00", r"\\ud800", r"\ud800\ud83d\ude00", r"\uD83Dz"]
     payloads = [json.dumps(event(message="@")).replace("@", text) for text in texts]
     rows = decode_strict(raw_frame(spark, payloads)).orderBy("offset").select("event.message", "decode_ok").collect()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cordwood.operators.parse import line_quality, parse_lines, prepare_lines
-from cordwood.sources.lines import LogSource, read_lines
+from cordwood.sources.lines import LogSource, read_lines, with_source
 from tests.samples import NOON
 
 
@@ -59,10 +59,10 @@ def test_what_is_not_one_object_is_plain_text(spark, line):
 
 
 def test_values_of_other_types_stay_attributes(spark):
-    line = '{"message":42,"level":{"name":"warn"},"timestamp":123}'
+    line = '{"level":["loud"],"message":{"text":"full"},"timestamp":false}'
     (row,) = parsed(spark, [line])
     assert (row.level, row.message) == ("info", line)
-    assert row.attributes == '{"level":{"name":"warn"},"message":42,"timestamp":123}'
+    assert row.attributes == line
 
 
 def test_first_string_wins_and_the_loser_stays(spark):
@@ -154,6 +154,27 @@ def test_read_lines_of_several_sources(spark, tmp_path):
         LogSource("x", "y", "xml")
 
 
+def test_many_sources_are_looked_up_without_patterns(spark, tmp_path):
+    for n in range(0, 200, 40):
+        folder = tmp_path / f"s{n}"
+        folder.mkdir()
+        (folder / f"app-{n}.log").write_text(f"line {n}\n")
+        (folder / "app-.log").write_text("short\n")
+        (folder / "other.log").write_text("other\n")
+    sources = [LogSource(f"svc-{n}", f"{tmp_path}/s{n // 2 * 2}/{'app-*.log' if n % 2 else 'other.log'}") for n in range(200)]
+    lines = read_lines(spark, [s for s in sources if int(s.path.split("/s")[-1].split("/")[0]) % 40 == 0])
+    found = sorted((r.service, r.value) for r in lines.select("service", "value").collect())
+    expected = [(f"svc-{n}", "other") for n in range(0, 200, 40)]
+    expected += [(f"svc-{n + 1}", v) for n in range(0, 200, 40) for v in (f"line {n}", "short")]
+    assert found == sorted(expected)
+    text = spark.createDataFrame([("x", f"{tmp_path}/s40/app-40.log")], "value string, _file string")
+    sources.append(LogSource("late", f"{tmp_path}/s40/app-40.log"))
+    located = with_source(spark, text, sources)
+    assert [r["_source"]["service"] for r in located.collect()] == ["svc-41"]
+    plan = located._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("start", [b"\xc3", b"\xe2", b"\xe2\x82", b"\xf0", b"\xf0\x9f\x98"])
 def test_a_cut_character_before_the_carriage_return(spark, start):
     """Only the carriage return goes; what stands before it is repaired, not lost."""

@@ -222,6 +222,25 @@ def test_page_numbers_with_one_hot_time(spark):
     assert [r.page_no for r in rows] == [n // 50 + 1 for n in range(3000)]
 
 
+def test_page_numbers_divide_a_hot_second_and_keep_rows_without_time(spark):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("id-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id"),
+        F.when(F.col("id") % 10 == 0, None)
+        .when(F.col("id") % 3 == 0, F.lit("2026-01-01").cast("timestamp"))
+        .otherwise(F.expr("timestamp'2026-01-01' + make_dt_interval(0, 0, 0, cast(id AS int))"))
+        .alias("timestamp"),
+    )
+    numbered = page_numbers(rows, 50)
+    found = sorted(numbered.collect(), key=lambda r: r.row_no)
+    assert [r.row_no for r in found] == list(range(1, 4001))
+    assert all(r.timestamp is None for r in found[3600:]) and found[3599].timestamp is not None
+    ids = [r.id for r in found[3600:]]
+    assert ids == sorted(ids, reverse=True)
+    hot = numbered.where("timestamp = '2026-01-01'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot > 1
+    assert page_numbers(rows.where("false")).count() == 0
+
+
 def test_append_unique_keeps_what_is_shown(spark):
     def frame(rows):
         text = spark.createDataFrame(rows, "id string, message string, t string")

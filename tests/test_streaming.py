@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 import shutil
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cordwood.operators.store import LogTable, read_logs
@@ -11,7 +13,7 @@ from cordwood.sources.dead_letters import read_dead_letters
 from cordwood.sources.lines import LogSource
 from cordwood.sources.raw import read_raw_files
 from cordwood.sources.requests import read_requests
-from cordwood.streaming.jobs import collect, ingest, parquet_rows, persist
+from cordwood.streaming.jobs import COUNTED, collect, ingest, ingest_totals, parquet_rows, persist
 from tests.samples import event, raw_frame
 
 ONCE = {"availableNow": True}
@@ -169,3 +171,36 @@ def test_requests_to_raw_records(spark, tmp_path):
     persist_once(spark, tmp_path)
     rows = {r.id: r.level for r in read_logs(spark, f"{tmp_path}/table").collect()}
     assert rows == {"a": "warn", "d": "info"}
+
+
+def test_counts_survive_a_failing_publish(spark, tmp_path):
+    bodies = [{"events": [event(id="a"), event(id="b", level="shouting")]}, {"events": [event(id="c", service="")]}]
+    requests = tmp_path / "requests"
+    requests.mkdir()
+    (requests / "1.json").write_text(
+        "\n".join(json.dumps({"request_id": str(n), "body": json.dumps(b)}) for n, b in enumerate(bodies))
+    )
+
+    def fail(rows):
+        raise RuntimeError("no broker")
+
+    def attempt(publish):
+        return ingest(
+            read_requests(spark, str(requests), streaming=True),
+            publish,
+            parquet_rows(f"{tmp_path}/results"),
+            f"{tmp_path}/ingested",
+            trigger=ONCE,
+            counters=f"{tmp_path}/counters",
+        )
+
+    def totals():
+        return ingest_totals(spark.read.schema(COUNTED).parquet(f"{tmp_path}/counters")).first().asDict()
+
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException, match="no broker"):
+            attempt(fail).awaitTermination()
+        assert totals() == {"ingested_events": 0, "rejected_events": 2}
+    run(attempt(parquet_rows(f"{tmp_path}/published")))
+    assert totals() == {"ingested_events": 1, "rejected_events": 2}
+    assert spark.read.parquet(f"{tmp_path}/published").count() == 1
