@@ -8,9 +8,9 @@ is never compared as a whole in one row.
 1. Documents with the same set are one node, whichever their number.
 2. Two sets with a Jaccard similarity of t share one of the first ``n - ceil(t n) + 1`` n-grams
    of either (n its size). Only those are posted to lists, one for each n-gram; lists of the
-   same nodes are one list. Nodes of a list are met in the order of their sizes by leaders: a
-   node whose size rules out a link to the last leader is the next leader. That makes one pair
-   a node, not all pairs of the list.
+   same nodes are one list. Nodes of a list are paired with leaders: first the node that is in most
+   lists, then one for those whose sizes rule out a link to the leaders before. That makes one
+   pair a node, not all pairs of the list.
 3. A pair goes on if the n-grams that both have in each of 256 ranges of hashes could suffice.
    Its overlap is counted per fragment and summed: first the leader that a node shares most
    lists with, then what is still apart. Links make components.
@@ -56,7 +56,7 @@ COMMON = 18
 #: Entries of the posting lists that a task sorts together, and hashes that it counts together.
 POSTED, COUNTED = 1 << 18, 1 << 21
 #: Nodes and bytes that are compared as one block, about.
-BLOCK, BLOCK_BYTES = 256, 2 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Pairs that share a copy of their first node's segments.
 PAIRS_PER_COPY = 2048
 RANGES = 256
@@ -278,24 +278,38 @@ def _entries(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _led(entries: DataFrame, settings: Settings) -> DataFrame:
-    """Adds ``leader`` and ``leader_n`` to the entries of the lists."""
+    """Adds ``leader`` and ``leader_n`` to the entries of the lists.
+
+    Nodes come in the order of the lists they are in, counted with their weights: the text that
+    others were copied from is in more lists than its copies. A node leads those after it whose
+    sizes allow a link and that have no earlier leader.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leader, size = None, 0, 0
+        # The leaders of a list differ in size by the threshold, so they are few.
+        group, led = None, []
         for batch in batches:
             leaders, sizes = [], []
             for at, node, n in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "n")), strict=True):
-                if at != group or 100 * size < settings.percent * n:
-                    group, leader, size = at, node, n
+                if at != group:
+                    group, led = at, []
+                for leader, size in led:
+                    if 100 * min(size, n) >= settings.percent * max(size, n):
+                        break
+                else:
+                    leader, size = node, n
+                    led.append((node, n))
                 leaders.append(leader)
                 sizes.append(size)
-            names = [*batch.schema.names, "leader", "leader_n"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaders, pa.int64()), pa.array(sizes, pa.int64())], names=names)
+            columns = [*(batch.column(c) for c in ("group", "node", "n", "weight")), pa.array(leaders, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "node", "n", "weight", "leader", "leader_n"])
 
     # Ranges: the entries of a long list lie in several partitions, each with leaders of its own.
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["group", "n", "node"]
-    placed = entries.select("group", "node", "n", "weight").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    degrees = entries.groupBy("node").agg(F.sum("weight").alias("degree"))
+    ranked = entries.join(degrees, "node").select("group", "node", "n", "weight", (-F.col("degree")).alias("rank"))
+    order = ["group", "rank", "node"]
+    placed = ranked.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return placed.mapInArrow(run, "group long, node long, n long, weight long, leader long, leader_n long")
 
 
@@ -311,7 +325,7 @@ def _stars(led: DataFrame, settings: Settings) -> DataFrame:
     among = leaders.withColumn("last", last).where("last IS NOT NULL").select(
         F.col("last.node").alias("a"), F.col("node").alias("b"), F.col("last.n").alias("n1"), F.col("n").alias("n2"), "weight"
     )
-    among = among.where(100 * F.col("n1") >= settings.percent * F.col("n2"))
+    among = among.where(100 * F.least("n1", "n2") >= settings.percent * F.greatest("n1", "n2"))
     both = led_by.unionByName(among)
     return both.groupBy("a", "b", "n1", "n2").agg(F.sum("weight").alias("weight"))
 
