@@ -11,7 +11,7 @@ is never compared as a whole in one row.
    same nodes are one list. Nodes of a list are paired with leaders: first the node that is in most
    lists, then one for those whose sizes rule out a link to the leaders before. That makes one
    pair a node, not all pairs of the list.
-3. A pair goes on if the n-grams that both have in each of 256 ranges of hashes could suffice.
+3. A pair goes on if the n-grams that both have in each of some hundred ranges of hashes could suffice.
    Its overlap is counted per fragment and summed: first the leader that a node shares most
    lists with, then what is still apart. Links make components.
 4. Lists that still hold several components are compared completely, in blocks, by sizes and
@@ -59,7 +59,9 @@ POSTED, COUNTED = 1 << 18, 1 << 21
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Pairs that share a copy of their first node's segments.
 PAIRS_PER_COPY = 2048
-RANGES = 256
+#: Ranges of hashes in which n-grams are counted: so many for sets of up to PER_RANGES, and
+#: twice as many for each doubling beyond, up to MOST_RANGES.
+RANGES, PER_RANGES, MOST_RANGES = 256, 1024, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -331,25 +333,55 @@ def _stars(led: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _ranges(texts: DataFrame, settings: Settings) -> DataFrame:
-    """Per node: how many n-grams lie in each of RANGES ranges of hashes, in one byte each. A
-    node that has more than that in any range has full bytes throughout."""
+    """Per node: how many n-grams lie in each of its ranges of hashes, in one byte each. A node
+    that has more than that in any range has full bytes throughout."""
+
+    def described(hashes: np.ndarray) -> bytes:
+        bits = RANGES.bit_length() - 1
+        while (PER_RANGES << bits) < len(hashes) * RANGES and (1 << bits) < MOST_RANGES:
+            bits += 1
+        counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        return (counts if counts.max() < 255 else np.full(1 << bits, 255)).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in as_bytes(batch.column("text")):
-                hashes = shingle_hashes(text, settings.width)
-                counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES)
-                found.append((counts if counts.max() < 255 else np.full(RANGES, 255)).astype(np.uint8).tobytes())
+            found = [described(shingle_hashes(text, settings.width)) for text in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "ranges"])
 
     return texts.mapInArrow(run, "node long, ranges binary").dropDuplicates(["node"])
 
 
-def _most_common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The largest overlap that rows of ranges allow; unbounded where both have full bytes."""
-    most = np.minimum(one, two).sum(axis=1, dtype=np.int64)
-    return np.where(most == 255 * RANGES, np.int64(1) << 40, most)
+def _most_common(one: list[bytes], two: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The largest overlap that the ranges of ``one[i]`` and ``two[j]`` allow, for all pairs.
+
+    Where two nodes have different numbers of ranges, neighbours are joined until they agree.
+    """
+    sides, widths, places = [], [], []
+    for side in (one, two):
+        width = np.array([len(ranges) for ranges in side], dtype=np.int64)
+        place = np.zeros(len(side), dtype=np.int64)
+        tables = {}
+        for size in np.unique(width).tolist():
+            own = np.flatnonzero(width == size)
+            place[own] = np.arange(len(own))
+            tables[size] = np.frombuffer(b"".join([side[k] for k in own]), dtype=np.uint8).reshape(-1, size)
+        sides.append(tables)
+        widths.append(width)
+        places.append(place)
+    most = np.zeros(len(i), dtype=np.int64)
+    for size, left in sides[0].items():
+        for size2, right in sides[1].items():
+            chosen = np.flatnonzero((widths[0][i] == size) & (widths[1][j] == size2))
+            least = min(size, size2)
+            step = max(1, (1 << 22) // least)
+            for at in range(0, len(chosen), step):
+                some = chosen[at : at + step]
+                a, b = left[places[0][i[some]]], right[places[1][j[some]]]
+                full = (a == 255).all(axis=1) | (b == 255).all(axis=1)
+                if size != size2:
+                    a, b = (m.reshape(len(some), least, -1).sum(axis=2, dtype=np.uint32) for m in (a, b))
+                most[some] = np.where(full, np.int64(1) << 40, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+    return most
 
 
 def _possible_pairs(pairs: DataFrame, ranges: DataFrame, settings: Settings) -> DataFrame:
@@ -358,12 +390,11 @@ def _possible_pairs(pairs: DataFrame, ranges: DataFrame, settings: Settings) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for c in ("one", "two")
-            )
+            one, two = (batch.column(c).to_pylist() for c in ("one", "two"))
             n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
-            fits = settings.is_link(np.minimum(_most_common(one, two), np.minimum(n1, n2)), n1, n2)
-            yield batch.select(names).filter(pa.array(fits))
+            own = np.arange(len(one))
+            fits = settings.is_link(np.minimum(_most_common(one, two, own, own), np.minimum(n1, n2)), n1, n2)
+            yield batch.select(names).filter(pa.array(fits, pa.bool_()))
 
     one = ranges.select(F.col("node").alias("a"), F.col("ranges").alias("one"))
     two = ranges.select(F.col("node").alias("b"), F.col("ranges").alias("two"))
@@ -542,21 +573,16 @@ def _possible(settings: Settings):
 
     def run(left: pa.StructArray, right: pa.StructArray, same: bool) -> Iterator[tuple[int, int]]:
         forest = _Forest()
-        sides = []
-        for side in (left, right):
-            ranges = np.frombuffer(b"".join(side.field("ranges").to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
-            sides.append((_numbers(side, "node"), _numbers(side, "root"), _numbers(side, "n"), ranges))
-        (node, root, n, ranges), (node2, root2, n2, ranges2) = sides
+        (node, root, n), (node2, root2, n2) = ([_numbers(side, c) for c in ("node", "root", "n")] for side in (left, right))
+        ranges, ranges2 = (side.field("ranges").to_pylist() for side in (left, right))
         sizes = 100 * np.minimum(n[:, None], n2) >= settings.percent * np.maximum(n[:, None], n2)
         apart = sizes & (root[:, None] != root2)
         one, two = np.nonzero(np.triu(apart, 1) if same else apart)
-        for at in range(0, len(one), 8192):
-            i, j = one[at : at + 8192], two[at : at + 8192]
-            most = np.minimum(_most_common(ranges[i], ranges2[j]), np.minimum(n[i], n2[j]))
-            fits = settings.is_link(most, n[i], n2[j])
-            for a, b in zip(node[i[fits]].tolist(), node2[j[fits]].tolist(), strict=True):
-                if forest.join(a, b):
-                    yield min(a, b), max(a, b)
+        most = np.minimum(_most_common(ranges, ranges2, one, two), np.minimum(n[one], n2[two]))
+        fits = settings.is_link(most, n[one], n2[two])
+        for a, b in zip(node[one[fits]].tolist(), node2[two[fits]].tolist(), strict=True):
+            if forest.join(a, b):
+                yield min(a, b), max(a, b)
 
     return run
 
@@ -639,10 +665,11 @@ def _components(
 
     # A list of two nodes has been compared completely.
     long = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("group")
-    members = rooted(members.join(long, "group", "left_semi").select("group", "node"), roots, "node", "root")
+    members = rooted(members.join(long, "group", "left_semi").select("group", "node", "n"), roots, "node", "root")
     sizes = nodes.select("node", F.col("n_shingles").alias("n"))
     described = ranges.join(sizes, "node")
-    forest = _compared(scratch, members, "group", F.lit(RANGES + 24), _possible(settings), described, ["n", "ranges"])
+    size = F.greatest(F.lit(RANGES), "n") + 24
+    forest = _compared(scratch, members, "group", size, _possible(settings), described, ["n", "ranges"])
     if forest.isEmpty():
         return roots
     families = connect(scratch, forest)

@@ -354,3 +354,27 @@ def test_manifest_of_few_rows(make, no_docs):
     assert one["leaf"] == one["subroot"] == one["root"] == expected and one["path"] == []
     with pytest.raises(ValueError, match="at least two"):
         merkle.manifest(no_docs, ["doc_id"], leaf, "source", ["doc_id"], 1)
+
+
+def test_ranges_bound_overlaps(monkeypatch):
+    """Whatever the sizes of two sets, their ranges allow the overlap that they have."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 5, 900, 1100, 2100, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        sets += [base, np.unique(np.r_[base[: int(0.9 * n) + 1], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)])]
+    sets.append(np.arange(300, dtype=np.uint64))
+
+    def described(hashes):
+        bits = 8
+        while (1024 << bits) < len(hashes) * 256:
+            bits += 1
+        counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        return (counts if counts.max() < 255 else np.full(1 << bits, 255)).astype(np.uint8).tobytes()
+
+    ranges = [described(s) for s in sets]
+    assert {len(r) for r in ranges} == {256, 512, 1024, 2048}
+    i, j = (a.ravel() for a in np.indices((len(sets), len(sets))))
+    most = ngram_join._most_common(ranges, ranges, i, j)
+    for a, b, bound in zip(i, j, most):
+        assert len(np.intersect1d(sets[a], sets[b])) <= bound

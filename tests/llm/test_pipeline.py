@@ -29,7 +29,11 @@ def test_queries_cover_their_tables(spark, tables, name):
     source = "conversations" if talks else "documents"
     expected = {r[0] for r in spark.read.parquet(f"{tables}/{source}.parquet").select(ids).collect()}
     got = [r[0] for r in found.select(ids).collect()]
-    assert set(got) == expected | ({-1} if name.startswith("op10") else set())
+    if "trie" in name:
+        # A node is named by its least member only.
+        assert set(got) <= expected and min(expected) in got
+    else:
+        assert set(got) == expected | ({-1} if name.startswith("op10") else set())
     if "packing" not in name and "trie" not in name:
         assert len(got) == len(set(got))
 
@@ -82,7 +86,8 @@ def test_same_result_as_sql(spark, tables, name):
     import duckdb
 
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
+    for name_of in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{tables}/{name_of}.parquet'")
     expected = duck.sql(SQL[name])
     found = QUERIES[name](spark, tables)
     columns = sorted(found.columns)
