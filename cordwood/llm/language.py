@@ -22,7 +22,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cordwood.llm.shared import as_bytes
+from cordwood.llm.shared import as_bytes, held, slices
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -147,9 +146,9 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=dictionary, **plain)
 
 
-@lru_cache(maxsize=2)
 def _compressors(model: Model, level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    return [(lang, _compressor(content, level)) for lang, content in model]
+    """The worker's compressors for a model."""
+    return held(("compressors", model, level), lambda: [(lang, _compressor(content, level)) for lang, content in model])
 
 
 def classify(text: bytes | None, model: Model, settings: Settings) -> tuple[str, float, bool]:
@@ -176,7 +175,7 @@ def identify(docs: DataFrame, carry: list[str], model: Model, settings: Settings
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [classify(text, sent.value, settings) for text in as_bytes(batch.column("text"))]
             columns = list(zip(*found, strict=True)) or [[], [], []]
             types = (pa.string(), pa.float64(), pa.bool_())

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordwood.llm.shared import Scratch, as_bytes
+from cordwood.llm.shared import Scratch, as_bytes, slices
 from cordwood.llm.wordpieces import encoder
 
 PIECES = (
@@ -49,7 +49,7 @@ def cut_into_pieces(
         seen = np.zeros(capacity + 1, dtype=np.int64)
         task = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             ids_of = encoder(tokenizer).encode(as_bytes(batch.column(1)))
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):

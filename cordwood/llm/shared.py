@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -101,6 +102,21 @@ class Scratch:
         self._written = {frame._scratch_path for frame in frames}
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Jobs run inside hand Python at most so many rows at once.
+
+    Whole texts make Arrow batches of the usual 10000 rows large, on both sides of the pipe.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library has written."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -110,3 +126,25 @@ def delete(spark: SparkSession, path: str) -> None:
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A text column as UTF-8 bytes; nulls stay null."""
     return pc.cast(column, pa.large_binary()).to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, few at a time, so that Python holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task to the next: the last thing asked for.
+
+    Workers go on from stage to stage, so the tables of one operator make room for those of
+    the next.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

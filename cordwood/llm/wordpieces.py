@@ -15,10 +15,11 @@ import json
 import os
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from cordwood.llm.shared import held
+
 #: Chunks longer than this many bytes are encoded each time and not kept.
 LONGEST_KEPT = 48
 #: Beyond so many chunks a worker's table keeps only those of the texts at hand.
@@ -197,7 +198,6 @@ class ChunkEncoder:
         return encoded
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
-    return ChunkEncoder(path)
+    return held(("encoder", path), lambda: ChunkEncoder(path))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from cordwood.llm import line_rules
+from cordwood.llm import line_rules, shared
 from cordwood.llm.queries import QUERIES, SQL
 from cordwood.llm.shared import Scratch
 
@@ -94,3 +95,27 @@ def test_same_result_as_sql(spark, tables, name):
     assert columns == sorted(expected.columns)
     rows = {tuple(r) for r in found.select(columns).collect()}
     assert rows == set(expected.select(*columns).fetchall())
+
+
+def test_a_worker_holds_the_tables_of_one_operator(monkeypatch):
+    monkeypatch.setattr(shared, "_held", {})
+    first = shared.held(("a", 1), list)
+    assert shared.held(("a", 1), list) is first
+    shared.held(("b", 1), dict)
+    assert shared.held(("a", 1), list) is not first
+
+
+def test_slices_keep_all_rows_in_order():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(7))})
+    found = list(shared.slices(iter([batch, batch.slice(0, 0), batch]), rows=3))
+    assert [b.num_rows for b in found] == [3, 3, 1, 3, 3, 1]
+    assert [n for b in found for n in b.column("n").to_pylist()] == [*range(7), *range(7)]
+
+
+def test_small_batches_end_with_their_block(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), shared.small_batches(spark, 5):
+        assert spark.conf.get(name) == "5"
+        raise KeyError
+    assert spark.conf.get(name) == before
