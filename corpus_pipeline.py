@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cordwood.llm import exact_dedup, language, line_rules, near_dedup, packing
 from cordwood.llm.queries import WORD_TOKENIZER, is_held_out
-from cordwood.llm.shared import Scratch, cleared, table, with_package
+from cordwood.llm.shared import Scratch, cleared, small_batches, table, with_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(with_package(spark), "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
-        with cleared(spark, "stage"):
+        with cleared(spark, "stage"), small_batches(spark):
             last, docs = docs, scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if number:
             scratch.drop(last)
