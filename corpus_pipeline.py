@@ -15,9 +15,19 @@ from cordwood.llm.queries import WORD_TOKENIZER, is_held_out
 from cordwood.llm.shared import Scratch, cleared, small_batches, table, with_package
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session for a stage with Python tasks: whole texts go to them few at a time.
+
+    Rows of a stage are computed after its function has returned, so the setting stays when a
+    stage is called by itself; ``run`` sets back what there was.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return with_package(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language isn't clear."""
-    with_package(spark)
+    prepared(spark)
     model = language.fit(docs.where(~is_held_out()))
     return language.identify(docs, docs.columns, model).where("accepted").select("row.*")
 
@@ -41,13 +51,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five words, 0.8) the row with the smallest ``doc_id`` stays."""
-    with_package(spark)
+    prepared(spark)
     return near_dedup.thinned(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 ids, with the ids."""
-    with_package(spark)
+    prepared(spark)
     return packing.pack_documents(docs, WORD_TOKENIZER, capacity=2048, end_id=0, keep_ids=True)
 
 
