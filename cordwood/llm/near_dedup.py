@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cordwood.llm.components import connect, rooted
-from cordwood.llm.shared import Scratch, as_bytes
+from cordwood.llm.shared import Scratch, as_bytes, release_memory
 from cordwood.llm.shingles import shingle_hashes, shingle_set, signature
 
 #: So many keys of texts to fetch are broadcast; more are joined by shuffle.
@@ -139,6 +139,7 @@ def sign(docs: DataFrame, carry: list[str], settings: Settings) -> DataFrame:
             ]
             names = [*kept, "n_shingles", "set1", "set2", "signature"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *found], names=names)
+        release_memory()
 
     return narrow.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -102,19 +104,31 @@ class Scratch:
         self._written = {frame._scratch_path for frame in frames}
 
 
+def small_batch_settings(rows: int = 500, size: int = 2 << 20) -> dict[str, str]:
+    """Bounds of what Spark hands Python at once: rows, and bytes for long texts."""
+    prefix = "spark.sql.execution.arrow"
+    return {f"{prefix}.maxRecordsPerBatch": str(rows), f"{prefix}.maxBytesPerBatch": str(size)}
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Jobs run inside hand Python at most so many rows at once.
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 2 << 20) -> Iterator[None]:
+    """Jobs run inside hand Python at most so many rows, or about so many bytes, at once.
 
-    Whole texts make Arrow batches of the usual 10000 rows large, on both sides of the pipe.
+    Whole texts make Arrow batches of the usual 10000 rows large, on both sides of the pipe,
+    and a few very long texts make a batch of any number of rows large.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    wanted = small_batch_settings(rows, size)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -128,11 +142,25 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return pc.cast(column, pa.large_binary()).to_pylist()
 
 
+def release_memory() -> None:
+    """Give memory that nothing holds any more back to the machine.
+
+    Python workers go on from stage to stage; what one task needed at most would otherwise
+    stay with them, beside the executor.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # with the GNU library only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches, few at a time, so that Python holds few texts at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release_memory()
 
 
 _held: dict[Hashable, Any] = {}
@@ -146,5 +174,6 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     if key not in _held:
         _held.clear()
+        release_memory()
         _held[key] = make()
     return _held[key]

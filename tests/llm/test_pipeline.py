@@ -119,3 +119,21 @@ def test_small_batches_end_with_their_block(spark):
         assert spark.conf.get(name) == "5"
         raise KeyError
     assert spark.conf.get(name) == before
+
+
+def test_small_batches_are_small_in_bytes_too(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    texts = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 100000) AS text")
+    with shared.small_batches(spark, rows=30, size=1 << 20):
+        found = [row["n"] for row in texts.mapInArrow(run, "n long").collect()]
+    assert sum(found) == 40
+    assert max(found) <= 11
+
+
+def test_releasing_memory_loses_nothing():
+    kept = pa.array(range(1000))
+    shared.release_memory()
+    assert kept.to_pylist() == [*range(1000)]
