@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cordwood.llm import exact_dedup, language, line_rules, near_dedup, packing
 from cordwood.llm.queries import WORD_TOKENIZER, is_held_out
-from cordwood.llm.shared import Scratch, cleared, small_batches, table, with_package
+from cordwood.llm.shared import Scratch, cleared, small_batch_settings, small_batches, table, with_package
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -21,7 +21,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     Rows of a stage are computed after its function has returned, so the setting stays when a
     stage is called by itself; ``run`` sets back what there was.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    for name, value in small_batch_settings().items():
+        spark.conf.set(name, value)
     return with_package(spark)
 
 
