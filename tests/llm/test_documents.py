@@ -489,6 +489,44 @@ def test_shard_files_are_pruned_by_the_manifest(make, rows, spark, tmp_path):
         assert (r["least_chars"], r["greatest_chars"]) == tuple(own)
 
 
+def test_shard_files_keep_columns_named_like_places(make, spark, tmp_path):
+    docs = make([(i, f"text {i}", "en", "a", i) for i in range(40)])
+    docs = docs.withColumn("Slot", F.lit("own")).withColumn("shard", F.col("doc_id") * 2)
+    sharded = hilbert.shard(docs, ["doc_id", "Slot", "shard"], dimensions(), shards=4)
+    hilbert.write_shards(sharded, f"file://{tmp_path}/shards")
+    data = spark.read.parquet(f"file://{tmp_path}/shards/data").withColumn("file", F.input_file_name()).collect()
+    assert {(r["Slot"], r["shard"] - 2 * r["doc_id"]) for r in data} == {("own", 0)}
+    assert sorted((r["_shard"], r["_slot"]) for r in data) == [(s, i) for s in range(4) for i in range(10)]
+    # Each file holds a run of slots without a gap.
+    for file in {r["file"] for r in data}:
+        slots = sorted(r["_slot"] for r in data if r["file"] == file)
+        assert slots == [*range(slots[0], slots[-1] + 1)]
+
+
+def test_texts_with_a_common_beginning_stay_apart(make):
+    docs = make([(i, "x", "en", f"https://h{i % 9}.example/", 1) for i in range(90)])
+    found = hilbert.shard(docs, ["doc_id"], [hilbert.Dimension("source", F.col("source"))], shards=3).collect()
+    by_curve = {}
+    for r in found:
+        by_curve.setdefault(r["curve"], set()).add(r["row"]["doc_id"] % 9)
+    assert sorted(map(len, by_curve.values())) == [1] * 9
+
+
+def test_text_bins_end_at_quantiles_of_rows(spark):
+    rng = random.Random(3)
+    common = "\u00e9" * 20
+    values = [None] * 30 + [common + str(rng.randint(0, 60)) for _ in range(300)] + [common] * 200 + ["", "\U0001f600"]
+    ordered = sorted(values, key=lambda v: b"" if v is None else b"\1" + v.encode())
+    edges = set()
+    for k in range(1, 9):
+        # The value of the first row with which k eighths of all rows are reached.
+        edges.add(ordered[-(-k * len(ordered) // 8) - 1])
+    keys = spark.createDataFrame([(v,) for v in rng.sample(values, len(values))], "value string").repartition(3)
+    found = hilbert.text_cuts(keys, "value", bits=3)
+    assert found == sorted(b"" if v is None else b"\1" + v.encode() for v in edges)
+    assert hilbert.text_cuts(keys.limit(0), "value", bits=3) == []
+
+
 def test_thinned_keeps_one_whole_row_of_each_component(make, rows, monkeypatch):
     found = near_dedup.near_duplicates(make(rows, extra=True), ["doc_id", "text"], near_dedup.Settings()).collect()
     told = Counter((r["row"]["doc_id"], r["row"]["text"]) for r in found if r["stays"])
