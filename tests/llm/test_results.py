@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -90,3 +91,51 @@ def test_records_read_back_the_ids_of_the_library(spark, tables, word_ids):
         start += len(ids)
     found = QUERIES["op8_binary_records"](spark, tables).collect()
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in found} == expected
+
+
+PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+
+def test_base_places_and_labels(spark, tables, texts):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    expected = {}
+    for doc_id, text in texts.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(lower))
+        starts, labels = [], set()
+        for phrase, label in PHRASES.items():
+            own = phrase.split()
+            places = [at for at in range(len(words)) if words[at : at + len(own)] == own]
+            starts += places
+            labels |= {label} if places else set()
+        ends = (min(starts), max(starts)) if starts else (None, None)
+        expected[doc_id] = (len(words), len(starts), *ends, ",".join(sorted(labels)))
+    found = QUERIES["op9_signature_rules"](spark, tables).collect()
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert {r["doc_id"]: tuple(r[n] for n in names) for r in found} == expected
+    for r in found:
+        base, labels = (set(filter(None, r[n].split(","))) for n in ("base_labels", "labels"))
+        assert base <= labels
+        assert ",".join(sorted(labels)) == r["labels"]
+        assert 0 <= r["score"] <= 1
+
+
+def test_formatted_conversations_read_back(spark, tables):
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = {-1: [(0, "user", said), (1, "assistant", said)]}
+    for r in spark.read.parquet(f"{tables}/conversations.parquet").collect():
+        turn = -1 if r["turn"] is None else r["turn"]
+        turns.setdefault(r["conv_id"], []).append((turn, r["role"] or "", r["text"] or ""))
+    expected = {}
+    for conv_id, own in turns.items():
+        if len({turn for turn, _, _ in own}) < len(own):
+            continue  # rows of the same turn may come in any order
+        own.sort(key=lambda row: row[0])
+        told = "".join(f"{role}\n{text}\n" for _, role, text in own)
+        loss = "".join(text for _, role, text in own if role == "assistant")
+        expected[conv_id] = (len(own), *(hashlib.sha256(x.encode()).hexdigest() for x in (told, loss)), len(loss))
+    found = QUERIES["op10_offset_masks"](spark, tables).collect()
+    names = ("n_turns", "turns_sha256", "loss_sha256", "loss_chars")
+    told = {r["conv_id"]: tuple(r[n] for n in names) for r in found}
+    assert set(told) == set(turns)
+    assert expected[-1] == told[-1]
+    assert {conv_id: told[conv_id] for conv_id in expected} == expected
